@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import bpe, neighbours
+from . import bpe, mixing, neardup, neighbours, quality
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,28 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.found_pairs(table(spark, sf_dir, "chat_docs"))
+
+
+@query
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[0]
+
+
+@query
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.reached(*mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets")))
+
+
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.found_forms(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+
+
+@query
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.text_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
