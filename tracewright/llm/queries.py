@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import bpe, mixing, neardup, neighbours, quality
+from . import bpe, language, mixing, neardup, neighbours, quality, residue
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,18 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.text_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.found_turns(table(spark, sf_dir, "chat_docs"))
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.found_languages(table(spark, sf_dir, "chat_docs"), table(spark, sf_dir, "common_words"))
+
+
+@query
+def p5_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_stretches(table(spark, sf_dir, "chat_docs"), table(spark, sf_dir, "common_words"))
