@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,3 +62,27 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 def hashed(*cols: str):
     """64-bit hash of columns, nulls included."""
     return F.xxhash64(*[F.col(c) for c in cols])
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once for a session.
+
+    Does nothing where the workers find it by themselves: on PYTHONPATH, or on one machine in the working folder.
+    """
+    root = Path(__file__).resolve().parent.parent
+    sc = spark.sparkContext
+    paths = {str(Path(p).resolve()) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if str(root) in paths or sc.master.startswith("local[") and Path.cwd().resolve() == root:
+        return
+    if sc.applicationId in _shipped:
+        return
+    name = Path(tempfile.mkdtemp(prefix="tracewright-")) / "tracewright_package"
+    files = sorted((root / "tracewright").rglob("*.py"))
+    with zipfile.ZipFile(f"{name}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for f in files:
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(f"{name}.zip")
+    _shipped.add(sc.applicationId)
+
+
+_shipped: set[str] = set()
