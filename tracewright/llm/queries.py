@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
-from ..runtime import table
-from . import bpe, language, mixing, neardup, neighbours, quality, residue
+from ..runtime import ship, table
+from . import bpe, language, mixing, neardup, neighbours, personal, quality, residue
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(f):
-    QUERIES[f.__name__] = f
-    return f
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 @query
@@ -69,3 +76,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p5_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_stretches(table(spark, sf_dir, "chat_docs"), table(spark, sf_dir, "common_words"))
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.found_items(table(spark, sf_dir, "chat_docs"))
+
+
+@query
+def p2_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.sanitised_turns(table(spark, sf_dir, "chat_docs"))
