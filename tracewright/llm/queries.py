@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import ship, table
-from . import bpe, language, mixing, neardup, neighbours, personal, quality, residue
+from . import bpe, language, mixing, neardup, neighbours, personal, quality, residue, subjects
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +86,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p2_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.sanitised_turns(table(spark, sf_dir, "chat_docs"))
+
+
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.found_areas(table(spark, sf_dir, "chat_docs"), table(spark, sf_dir, "label_topics"), table(spark, sf_dir, "subject_areas"))
