@@ -239,7 +239,8 @@ def function_word_frequencies(text) -> list[Column]:
     """Share of each function word among the tokens of a text."""
     t = tokens(text)
     n = F.greatest(F.size(t), F.lit(1))
-    return [(F.size(F.filter(t, lambda x, w=w: x == w)) / n).alias(f"fw_{w}") for w in FUNCTION_WORDS]
+    equal = lambda w: lambda x: x == F.lit(w)
+    return [(F.size(F.filter(t, equal(w))) / n).alias(f"fw_{w}") for w in FUNCTION_WORDS]
 
 
 def latin_ratio(text) -> Column:

@@ -49,7 +49,8 @@ def pair_features(a, b) -> Column:
 def fuse(blocks: list[Column], weights: list[float]) -> Column:
     """Unit blocks, each times the root of its share of the weights, in one vector."""
     total = sum(weights)
-    return F.concat(*[F.transform(unit(b), lambda x, w=w: x * (w / total) ** 0.5) for b, w in zip(blocks, weights)])
+    scaled = lambda w: lambda x: x * (w / total) ** 0.5
+    return F.concat(*[F.transform(unit(b), scaled(w)) for b, w in zip(blocks, weights)])
 
 
 def language_block(vec, lang, vocabulary: list[str], weight: float = 3.0) -> Column:

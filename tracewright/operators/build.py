@@ -227,7 +227,7 @@ def nearest_time_pairs(df: DataFrame, key: str, ident: str, ts: str, window: flo
     rows = rows.join(ids, key)
     seen = [F.last(F.when(F.col(ident) == F.get("_ids", F.lit(i)), F.col("_t")), True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for i in range(most_ids)]
     near = F.array(*[F.struct(F.get("_ids", F.lit(i)).alias("other"), (F.col("_t") - s).alias("gap")) for i, s in enumerate(seen)])
-    near = rows.select(ident, F.explode(near).alias("x")).where(F.col("x.gap").isNotNull() & (F.col("x.other") != F.col(ident)) & (F.col("x.gap") <= window))
+    near = rows.withColumn("_near", near).select(ident, F.explode("_near").alias("x")).where(F.col("x.gap").isNotNull() & (F.col("x.other") != F.col(ident)) & (F.col("x.gap") <= window))
     return near.groupBy(F.least(ident, "x.other").alias("a"), F.greatest(ident, "x.other").alias("b")).agg(F.min("x.gap").alias("seconds"))
 
 

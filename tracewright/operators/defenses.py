@@ -7,7 +7,9 @@ in with :func:`model_defense`: each distinct turn is rewritten once and joined b
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -74,11 +76,14 @@ def placeholders(docs: DataFrame) -> DataFrame:
     return docs.withColumn("turns", F.transform("turns", lambda t: T.scrub_identifiers(t, mask_ids=True)))
 
 
-def swap_word(text: Column, word: str, to: str) -> Column:
+def _swap(text: str, word: str, to: str) -> str:
     """A whole word replaced, its capitals kept."""
-    for w, r in ((word, to), (word.capitalize(), to.capitalize()), (word.upper(), to.upper())):
-        text = F.regexp_replace(text, rf"(?U)(?<!\w){w}(?!\w)", r)
-    return text
+
+    def same_case(m: re.Match) -> str:
+        w = m.group()
+        return to.upper() if w.isupper() and len(w) > 1 else to[:1].upper() + to[1:] if w[:1].isupper() else to
+
+    return re.sub(rf"(?<!\w){word}(?!\w)", same_case, text, flags=re.I)
 
 
 #: Habits that authors may share; word pairs, an opening or a closing.
@@ -96,27 +101,39 @@ def seed_collisions(docs: DataFrame, profiles: int = 8, seed: int = 1) -> DataFr
     whose rate, 0.4 to 0.7, belongs to author and marker. Openings and closings need 60 % Latin letters and stand on the edge
     turn, else with probability 0.35. Protected chunks stay byte for byte; null authors are profiles of their own document.
     """
-    key = F.coalesce("author_id", "doc_id")
-    share = lambda *k: F.pmod(F.xxhash64(F.lit(seed), *k), F.lit(1 << 20)) / float(1 << 20)
-    last = F.size("turns") - 1
+    protected = re.compile(_PROTECTED.removeprefix("(?s)"), re.S)
+    letters, latin = re.compile(r"[^\W\d_]"), re.compile(r"[A-Za-z\u00c0-\u024f]")
 
-    def rewrite(t: Column, i: Column) -> Column:
-        out = F.coalesce(t, F.lit(""))
+    def share(*k) -> float:
+        return int.from_bytes(hashlib.blake2b("\0".join(map(str, (seed, *k))).encode(), digest_size=8).digest(), "big") / 2.0**64
+
+    def rewrite(turn: str | None, i: int, last: int, author: str, doc: str) -> str:
+        out = turn or ""
+        n = len(letters.findall(out))
+        is_latin = not n or len(latin.findall(out)) >= 0.6 * n
+        profile = int(share("profile", author) * profiles)
         for name, word, to in MARKERS:
-            m = F.lit(name)
-            profile = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(profiles))
-            has = F.pmod(F.xxhash64(F.lit(seed + 1), profile, m), F.lit(2)) == 0
-            fires = has & (share(key, m, F.col("doc_id"), F.lit("coin")) < 0.4 + 0.3 * share(key, m, F.lit("rate")))
+            if share("has", profile, name) >= 0.5 or share("coin", author, name, doc) >= 0.4 + 0.3 * share("rate", author, name):
+                continue
             if word in "^$":
-                edge = (i == 0) if word == "^" else (i == last)
-                fires = fires & (T.latin_ratio(t) >= 0.6) & (edge | (share(key, m, F.col("doc_id"), i) < 0.35)) & (out != "")
-                new = F.concat(F.lit(to), out) if word == "^" else F.concat(out, F.lit(to))
-            else:
-                new = on_free_text(out, lambda c, w=word, r=to: swap_word(c, w, r))
-            out = F.when(fires, new).otherwise(out)
+                edge = i == (0 if word == "^" else last)
+                if out and is_latin and (edge or share("again", author, name, doc, i) < 0.35):
+                    out = to + out if word == "^" else out + to
+            elif word in out.lower():
+                parts, at = [], 0
+                for m in protected.finditer(out):
+                    parts += [_swap(out[at : m.start()], word, to), m.group()]
+                    at = m.end()
+                out = "".join(parts) + _swap(out[at:], word, to)
         return out
 
-    return docs.withColumn("turns", F.transform("turns", rewrite))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = zip(f["turns"], f["author_id"], f["doc_id"])
+            f["turns"] = [None if t is None else [rewrite(x, i, len(t) - 1, a if a is not None else d, d) for i, x in enumerate(t)] for t, a, d in rows]
+            yield f
+
+    return docs.mapInPandas(run, docs.schema)
 
 
 @defense("frame_pad")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_by_doc = Window.partitionBy("q")
+def _by_doc():
+    return Window.partitionBy("q")
 
 
 def true_ranks(scores: DataFrame, truth: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def true_ranks(scores: DataFrame, truth: DataFrame) -> DataFrame:
 def best(scores: DataFrame) -> DataFrame:
     """``q, label, score, second, mean, std, n``: the first candidate (ties: smaller label) and the shape of the scores."""
     s = scores.where(F.col("score").isNotNull())
-    w = _by_doc.orderBy(F.desc("score"), "label")
+    w = _by_doc().orderBy(F.desc("score"), "label")
     top = s.withColumn("r", F.row_number().over(w)).where("r <= 2")
     shape = s.groupBy("q").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.count(F.lit(1)).alias("n"))
     first = top.groupBy("q").agg(F.max(F.when(F.col("r") == 1, F.col("label"))).alias("label"), F.max(F.when(F.col("r") == 1, F.col("score"))).alias("score"), F.max(F.when(F.col("r") == 2, F.col("score"))).alias("second"))
@@ -52,7 +53,7 @@ def cmc(ranks: DataFrame) -> DataFrame:
     """``k, accuracy`` for every rank from 1 to the largest pool."""
     n = ranks.agg(F.count(F.lit(1)).alias("n"), F.max("pool").alias("most"))
     hist = ranks.groupBy(F.ceil("rank").alias("k")).agg(F.count(F.lit(1)).alias("c"))
-    grid = n.select("n", F.explode(F.sequence(F.lit(1), F.col("most").cast("int"))).cast("bigint").alias("k"))  # one number for each candidate
+    grid = n.select("n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("most"))).alias("k"))  # one number for each candidate
     return grid.join(hist, "k", "left").select("k", (F.coalesce(F.sum("c").over(Window.orderBy("k")), F.lit(0)) / F.col("n")).alias("accuracy"))
 
 
@@ -91,7 +92,7 @@ def random_identity(ranks: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataF
 def first_distinct_authors(ranked: DataFrame, k: int) -> DataFrame:
     """``q, label, place``: the first k distinct labels of a ranking ``q, label, distance``."""
     m = ranked.groupBy("q", "label").agg(F.min("distance").alias("distance"))
-    return m.withColumn("place", F.row_number().over(_by_doc.orderBy("distance", "label"))).where(F.col("place") <= k)
+    return m.withColumn("place", F.row_number().over(_by_doc().orderBy("distance", "label"))).where(F.col("place") <= k)
 
 
 # --- retrieval: each author is a query over the documents ---------------------------------------------------------------
@@ -124,7 +125,7 @@ def map_summary(table: DataFrame) -> DataFrame:
 # --- reranking ----------------------------------------------------------------------------------------------------------
 def shortlist(scores: DataFrame, k: int) -> DataFrame:
     """``q, label, score, slot``: the k best candidates, slots from 0; ties by label."""
-    return scores.where(F.col("score").isNotNull()).withColumn("slot", F.row_number().over(_by_doc.orderBy(F.desc("score"), "label")) - 1).where(F.col("slot") < k)
+    return scores.where(F.col("score").isNotNull()).withColumn("slot", F.row_number().over(_by_doc().orderBy(F.desc("score"), "label")) - 1).where(F.col("slot") < k)
 
 
 def fold(scores: DataFrame, short: DataFrame, orders: DataFrame) -> DataFrame:
@@ -162,7 +163,7 @@ def elo_round(ratings: DataFrame, wins, k: float = 32.0, seed: int = 1) -> DataF
 
     ``ratings`` has ``q, label, rating``; ``wins(a, b)`` gives a column that is true where the first wins.
     """
-    r = ratings.withColumn("place", F.row_number().over(_by_doc.orderBy(F.desc("rating"), F.xxhash64("label", F.lit(seed)))) - 1).withColumn("pair", F.floor(F.col("place") / 2))
+    r = ratings.withColumn("place", F.row_number().over(_by_doc().orderBy(F.desc("rating"), F.xxhash64("label", F.lit(seed)))) - 1).withColumn("pair", F.floor(F.col("place") / 2))
     w = Window.partitionBy("q", "pair").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     r = r.withColumn("l1", F.first("label").over(w)).withColumn("l2", F.last("label").over(w)).withColumn("r1", F.first("rating").over(w)).withColumn("r2", F.last("rating").over(w))
     expected = 1 / (1 + F.pow(F.lit(10.0), (F.col("r2") - F.col("r1")) / 400))
@@ -174,8 +175,8 @@ def elo_round(ratings: DataFrame, wins, k: float = 32.0, seed: int = 1) -> DataF
 # --- fusion and curves --------------------------------------------------------------------------------------------------
 def z_by_document(scores: DataFrame) -> DataFrame:
     """Scores z-scored over a document's candidates (population deviation, 0 counts as 1)."""
-    sd = F.stddev_pop("score").over(_by_doc)
-    return scores.select("q", "label", ((F.col("score") - F.avg("score").over(_by_doc)) / F.when(sd > 0, sd).otherwise(1.0)).alias("score"))
+    sd = F.stddev_pop("score").over(_by_doc())
+    return scores.select("q", "label", ((F.col("score") - F.avg("score").over(_by_doc())) / F.when(sd > 0, sd).otherwise(1.0)).alias("score"))
 
 
 def z_overall(scores: DataFrame) -> DataFrame:
