@@ -317,9 +317,9 @@ def normalise_style(text) -> Column:
 def ngram_reuse(original, rewritten, n: int = 8) -> Column:
     """Share of the distinct word n-grams of the original that the rewritten text still has; 0 for texts that are too short."""
     def grams(x):
-        w = words(x)
-        at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " ")))
+        # the words are bound once, as the only element of an array, instead of being found again for each n-gram
+        at = lambda w: F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.get(F.transform(F.array(words(x)), lambda w: F.array_distinct(F.transform(at(w), lambda i: F.array_join(F.slice(w, i, n), " ")))), F.lit(0))
 
     a = grams(original)
     return F.when(F.size(a) > 0, F.size(F.array_intersect(a, grams(rewritten))) / F.size(a)).otherwise(0.0)

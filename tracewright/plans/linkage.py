@@ -43,19 +43,19 @@ def mutual_knn(spark, d):
     return G.mutual(knn(spark, d), LOCALITY).select("src", "dst", F.round("distance", 6).alias("distance"))
 
 
-@query(f"WITH {_RAD} SELECT k.src, k.dst, round(k.distance - (a.r + b.r) / 2, 5) AS distance FROM knn k JOIN rad a ON k.src = a.id JOIN rad b ON k.dst = b.id")
+@query(f"WITH {_RAD} SELECT k.src, k.dst, round(round(k.distance - (a.r + b.r) / 2, 9), 5) AS distance FROM knn k JOIN rad a ON k.src = a.id JOIN rad b ON k.dst = b.id")
 def csls(spark, d):
     return G.csls(knn(spark, d), LOCALITY).select("src", "dst", F.round("distance", 5).alias("distance"))
 
 
-@query(f"WITH {_RAD} SELECT k.src, k.dst, round(k.distance * k.distance / greatest(a.r * b.r, 1e-12), 5) AS distance FROM knn k JOIN rad a ON k.src = a.id JOIN rad b ON k.dst = b.id")
+@query(f"WITH {_RAD} SELECT k.src, k.dst, round(round(k.distance * k.distance / greatest(a.r * b.r, 1e-12), 9), 5) AS distance FROM knn k JOIN rad a ON k.src = a.id JOIN rad b ON k.dst = b.id")
 def local_scaling(spark, d):
     return G.local_scaling(knn(spark, d), LOCALITY).select("src", "dst", F.round("distance", 5).alias("distance"))
 
 
 @query(
     f"""WITH {_K}, s AS (SELECT src, list(dst) AS near FROM knn WHERE rank <= {LOCALITY} GROUP BY src), w AS (SELECT max(distance) AS w FROM knn)
-    SELECT k.src, k.dst, round(-len(list_intersect(a.near, b.near)) + k.distance / (2 * (w + 1)), 5) AS distance FROM knn k JOIN s a ON k.src = a.src JOIN s b ON k.dst = b.src, w"""
+    SELECT k.src, k.dst, round(round(-len(list_intersect(a.near, b.near)) + k.distance / (2 * (w + 1)), 9), 5) AS distance FROM knn k JOIN s a ON k.src = a.src JOIN s b ON k.dst = b.src, w"""
 )
 def shared_neighbors(spark, d):
     return G.shared_neighbours(knn(spark, d), LOCALITY).select("src", "dst", F.round("distance", 5).alias("distance"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 def _late(df: DataFrame, ts: str, late: str) -> DataFrame:
-    return df.withWatermark(ts, late) if df.isStreaming else df
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if df.isStreaming else df
 
 
 def counts_by_window(df: DataFrame, ts: str = "ts", kind: str = "event_type", size: str = "1 hour", slide: str | None = None, late: str = "1 hour") -> DataFrame:
@@ -30,7 +30,7 @@ def sessions(df: DataFrame, user: str = "user_id", ts: str = "ts", gap: str = "3
 
 def dedup(df: DataFrame, *keys: str, ts: str = "ts", late: str = "1 day") -> DataFrame:
     """Each key once within the watermark."""
-    return df.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(keys)) if df.isStreaming else df.dropDuplicates(list(keys))
+    return _late(df, ts, late).dropDuplicatesWithinWatermark(list(keys)) if df.isStreaming else df.dropDuplicates(list(keys))
 
 
 def enrol(df: DataFrame, author: str = "author_id", vec: str = "vec") -> DataFrame:
