@@ -162,7 +162,7 @@ def nearest(
     tables: int = 3,
     probes: int = 7,
     width: float = 2.5,
-    bucket: int = 64,
+    bucket: int = 128,
     block: int = 2048,
     seed: int = 7,
 ) -> DataFrame:
