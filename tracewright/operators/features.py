@@ -10,11 +10,11 @@ from pyspark.sql.window import Window
 def char_ngrams(df: DataFrame, id_col: str, text_col: str, n: int = 4) -> DataFrame:
     """``id, gram, tf`` of every text; null texts and texts shorter than n have none."""
     t = df.where(F.length(text_col) >= n).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    # by blocks of a thousand characters: taking a part of a string costs its distance from the beginning
-    size = 1000
+    # by blocks: taking a part of a string costs its distance from the beginning; places are exploded, not copies of the grams
+    size = 200
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - n) / size).cast("int")), lambda b: F.substr(F.col("t"), b * size + 1, F.lit(size + n - 1)))
     parts = t.select("id", F.explode(blocks).alias("s"))
-    grams = parts.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - n + 1), lambda i: F.substr(F.col("s"), i, F.lit(n)))).alias("gram"))
+    grams = parts.select("id", "s", F.explode(F.sequence(F.lit(1), F.length("s") - n + 1)).alias("i")).select("id", F.substr(F.col("s"), F.col("i"), F.lit(n)).alias("gram"))
     return grams.groupBy("id", "gram").agg(F.count(F.lit(1)).alias("tf"))
 
 
