@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..runtime import spread
 from . import residue
 from ._turns import SENTENCE, explode_turns, without_code
+from .language import label_code
 
 #: Ordinary words of each area, for weak labels only.
 SEEDS = {
@@ -183,7 +184,7 @@ def _logistic(rows: list[list[int]], y: np.ndarray, areas: list[str], steps: int
     return Model(areas, weight, b, rarity)
 
 
-def fit(rows: list[list[int]], labels: np.ndarray, areas: list[str], steps: int = 40, rate: float = 0.7, shrink: float = 1e-6) -> Model:
+def fit(rows: list[list[int]], labels: np.ndarray, areas: list[str], steps: int = 30, rate: float = 1.0, shrink: float = 1e-6) -> Model:
     """Classifiers fitted twice, and thresholds of best F1 on a fifth held out."""
     keep = [i for i, r in enumerate(rows) if r]
     rows, y = [rows[i] for i in keep], labels[keep]
@@ -196,7 +197,7 @@ def fit(rows: list[list[int]], labels: np.ndarray, areas: list[str], steps: int
         sure = p[np.arange(len(rows)), top] >= 0.5
         y[sure] = y[sure] * (p[sure] >= 0.3)
         y[np.flatnonzero(sure), top[sure]] = 1
-    model = _logistic([r for r, h in zip(rows, held) if not h], y[~held], areas, steps, rate, shrink)
+    model = _logistic([r for r, h in zip(rows, held) if not h], y[~held], areas, 3 * steps, rate, shrink)
     if held.any():
         p = model.scores([r for r, h in zip(rows, held) if h])
         yh = y[held] > 0
@@ -220,8 +221,10 @@ def train(df: DataFrame, labels: DataFrame, areas: list[str], id_col: str = "doc
     named = labels.where(F.col("subject").isNotNull() & F.col(id_col).isNotNull())
     named = named.groupBy(F.col(id_col).cast("string").alias("doc_id")).agg(F.min("subject").alias("subject")).select("doc_id", weak("subject").alias("weak"))
     named = named.where(F.size("weak") > 0)
-    label = F.lower(F.trim(F.col(label_col).cast("string"))) if label_col in df.columns else F.lit(None).cast("string")
-    spoken = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("string").alias("doc_id")).agg(F.coalesce(F.min(label), F.lit("")).alias("label"))
+    code = F.pandas_udf(lambda x: x.map(label_code), "string")  # spellings of a language are one label
+    label = code(F.col(label_col).cast("string")) if label_col in df.columns else F.lit(None).cast("string")
+    spoken = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("doc_id"), label.alias("label"))
+    spoken = spoken.groupBy("doc_id").agg(F.coalesce(F.min("label"), F.lit("")).alias("label"))
     named = named.join(spoken, "doc_id")
     quota = F.least(F.lit(1.0), F.lit(train_rows / 8) / F.col("n"))
     share = named.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("part", quota)
