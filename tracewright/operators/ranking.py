@@ -211,3 +211,38 @@ def eligible_by_language(docs: DataFrame, known: DataFrame) -> DataFrame:
     every = lonely.join(authors.select("author").distinct(), how="cross")  # distinct sets of languages by authors: the result itself
     table = shared.unionByName(every)
     return docs.select("q", F.array_sort(F.array_distinct("langs")).alias("langs")).join(table, "langs").select("q", F.col("author").alias("label"))
+
+
+def chance_cmc(ranks: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """``k, accuracy``: mean of min(k, pool) / pool."""
+    each = ranks.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
+    return each.groupBy("k").agg(F.avg(F.least("k", "pool") / F.col("pool")).alias("accuracy"))
+
+
+def weighted_cmc(ranks: DataFrame, weights: DataFrame) -> DataFrame:
+    """``rep, k, accuracy`` of bootstrap replicates: ranks rounded up, ``weights`` has ``author, rep, w``; only ranks that occur."""
+    h = ranks.join(weights, "author").groupBy("rep", F.ceil("rank").alias("k")).agg(F.sum("w").alias("w"))
+    tot = h.groupBy("rep").agg(F.sum("w").alias("all"))
+    w = Window.partitionBy("rep").orderBy("k")
+    return h.withColumn("seen", F.sum("w").over(w)).join(tot, "rep").select("rep", "k", (F.col("seen") / F.nullif(F.col("all"), F.lit(0))).alias("accuracy"))
+
+
+def author_shares(known: DataFrame) -> DataFrame:
+    """``author, share`` of the known documents."""
+    n = known.agg(F.count(F.lit(1)).alias("n"))
+    return known.groupBy("author").agg(F.count(F.lit(1)).alias("c")).crossJoin(F.broadcast(n)).select("author", (F.col("c") / F.col("n")).alias("share"))  # one row
+
+
+def proportional_guess(known: DataFrame, truth: DataFrame) -> DataFrame:
+    """``accuracy`` of naming each author in proportion to its known documents; strangers count 0."""
+    return truth.join(author_shares(known), "author", "left").agg(F.avg(F.coalesce("share", F.lit(0.0))).alias("accuracy"))
+
+
+def interpolate(grid: DataFrame, at: DataFrame) -> DataFrame:
+    """``k, value`` of a curve ``k, value`` at other k, linear in log k; outside the grid its ends. ``at`` has ``k``."""
+    both = grid.select("k", "value", F.lit(0).alias("q")).unionByName(at.select("k", F.lit(None).cast("double").alias("value"), F.lit(1).alias("q")))
+    lo, hi = Window.orderBy("k", "q").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("k", "q").rowsBetween(0, Window.unboundedFollowing)
+    p = F.when(F.col("value").isNotNull(), F.struct("k", "value"))
+    x = both.withColumn("a", F.last(p, True).over(lo)).withColumn("b", F.first(p, True).over(hi)).where("q = 1")
+    t = F.when(F.col("b.k") > F.col("a.k"), (F.log("k") - F.log("a.k")) / (F.log("b.k") - F.log("a.k"))).otherwise(0.0)
+    return x.select("k", F.coalesce(F.col("a.value") + t * (F.col("b.value") - F.col("a.value")), F.col("a.value"), F.col("b.value")).alias("value"))

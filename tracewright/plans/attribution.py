@@ -391,3 +391,31 @@ def gaussian_exact(spark, d):
     exact = F.pandas_udf(lambda s: M.eps_exact(s), "double")
     c = spark.createDataFrame(pd.DataFrame({"sigma": [0.5, 1.0, 2.0, math.pi]}))
     return c.select("sigma", exact("sigma").alias("eps"))
+
+
+@query(f"WITH {_R} SELECT k, round(avg(least(k, pool) / pool::DOUBLE), 6) AS accuracy FROM r, (VALUES (1), (5), (10)) v(k) GROUP BY k")
+def chance_cmc(spark, d):
+    return K.chance_cmc(K.true_ranks(*scored(spark, d))).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(f"WITH {_SIDES} SELECT author, round(count(*) / (SELECT count(*) FROM k)::DOUBLE, 6) AS share FROM k GROUP BY author")
+def known_author_shares(spark, d):
+    return K.author_shares(sides(spark, d)[0]).withColumn("share", F.round("share", 6))
+
+
+@query(f"WITH {_SIDES}, p AS (SELECT author, count(*) / (SELECT count(*) FROM k)::DOUBLE AS share FROM k GROUP BY author) SELECT round(avg(coalesce(share, 0)), 6) AS accuracy FROM u LEFT JOIN p USING (author)")
+def proportional_guess(spark, d):
+    k, u = sides(spark, d)
+    return K.proportional_guess(k, truth(u)).select(F.round("accuracy", 6).alias("accuracy"))
+
+
+@query()
+def cmc_replicates(spark, d):
+    r = K.true_ranks(*scored(spark, d))
+    return K.weighted_cmc(r, M.poisson_weights(r.select("author").distinct(), 20))
+
+
+@query()
+def cmc_interpolated(spark, d):
+    c = K.cmc(K.true_ranks(*scored(spark, d))).select("k", F.col("accuracy").alias("value"))
+    return K.interpolate(c.where("k in (1, 4, 10)"), c.select("k"))

@@ -8,6 +8,8 @@ from ..functions import text as T
 from ..operators import build as B
 from ..operators import defenses as D
 from ..operators import features as X
+from ..operators import utility as U
+from ..operators.unlink import unlink
 from ..runtime import table
 from ..sources import readers as R
 from ..sources import sinks as S
@@ -404,3 +406,55 @@ def defense_reuse(spark, d):
     c = _chat(spark, d)
     both = c.select("doc_id", F.array_join("turns", "\n").alias("a")).join(D.apply("collisions", c).select("doc_id", F.array_join("turns", "\n").alias("b")), "doc_id")
     return both.select("doc_id", F.round(T.ngram_reuse("a", "b"), 6).alias("reuse"), F.round(F.length("b") / F.greatest(F.length("a"), F.lit(1)), 6).alias("expansion"))
+
+
+# --- utility ------------------------------------------------------------------------------------------------------------
+@query(
+    """WITH c AS (SELECT DISTINCT doc_id, turns FROM chat_docs WHERE turns IS NOT NULL), x AS (SELECT doc_id, len(turns) AS n FROM c) SELECT doc_id, n AS parts FROM x WHERE n > 0"""
+)
+def aligned_turn_pairs(spark, d):
+    c = _chat(spark, d)
+    return U.aligned_pairs(c, D.apply("normalise", c)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"))
+
+
+@query(
+    """WITH a AS (SELECT doc_id, count(*) AS a FROM chat_docs GROUP BY 1), b AS (SELECT doc_id, count(*) AS b FROM label_topics GROUP BY 1)
+    SELECT CASE WHEN a IS NULL THEN 'extra' WHEN b IS NULL THEN 'missing' WHEN a > 1 OR b > 1 THEN 'repeated' ELSE 'both' END AS status, count(*) AS n FROM a FULL JOIN b USING (doc_id) GROUP BY 1"""
+)
+def key_alignment(spark, d):
+    return U.key_alignment(table(spark, d, "chat_docs"), table(spark, d, "label_topics"))
+
+
+@query("SELECT round(exp(avg(ln(l_extendedprice / l_quantity))), 4) AS geometric_mean, round(quantile_cont(l_extendedprice / l_quantity, 0.5), 4) AS median, round(avg((l_extendedprice / l_quantity > 1.5)::INT::DOUBLE), 6) AS worse, count(*) AS n FROM lineitem WHERE l_quantity > 0 AND l_extendedprice > 0")
+def fluency_aggregate(spark, d):
+    f = U.fluency(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice")
+    return f.select(F.round("geometric_mean", 4).alias("geometric_mean"), F.round("median", 4).alias("median"), F.round("worse", 6).alias("worse"), "n")
+
+
+@query("SELECT round(avg(b.n_docs - a.n_docs), 6) AS mean_difference, count(*) AS n FROM (SELECT author_id, min(n_docs) AS n_docs FROM identity_intervals GROUP BY 1) a JOIN (SELECT author_id, max(n_docs) AS n_docs FROM identity_intervals GROUP BY 1) b USING (author_id) WHERE a.n_docs IS NOT NULL")
+def paired_difference(spark, d):
+    i = table(spark, d, "identity_intervals")
+    a, b = i.groupBy("author_id").agg(F.min("n_docs").alias("n")), i.groupBy("author_id").agg(F.max("n_docs").alias("n"))
+    return U.paired_difference(a, b, "author_id", "n").withColumn("mean_difference", F.round("mean_difference", 6))
+
+
+@query()
+def rendered_conversations(spark, d):
+    return _chat(spark, d).select("doc_id", U.render_conversation("turns", 200, 1000).alias("text"))
+
+
+@query()
+def repetition_cut(spark, d):
+    return table(spark, d, "documents").select("doc_id", U.cut_repetition("text").alias("text"))
+
+
+@query()
+def rewrite_distance(spark, d):
+    c = _chat(spark, d)
+    both = U.aligned_pairs(c, D.apply("collisions", c))
+    return both.select("doc_id", "part", F.round(U.word_edit_distance("original", "defended"), 6).alias("distance"))
+
+
+@query()
+def loo_unlink(spark, d):
+    return unlink(_chat(spark, d))

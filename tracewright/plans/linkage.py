@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import edges as X
 from ..operators import graph as G
 from ..operators import partitions as Z
 from ..operators import ranking as K
@@ -217,3 +218,62 @@ _clustering("agglomerative", lambda n, e: G.agglomerative(n, e, CUT))
 _clustering("capped_linkage", lambda n, e: G.capped_linkage(n, e, CUT))
 _clustering("hdbscan", lambda n, e: G.density_clusters(n, e))
 _clustering("leiden", lambda n, e: G.communities(n, e))
+
+
+@query(
+    f"""WITH {_K}, n AS (SELECT vec_id AS src, label, count(*) OVER (PARTITION BY label) - 1 AS others FROM embeddings), x AS (SELECT k, knn.src, a.others, sum((a.label = b.label)::INT) AS s, count(*) AS c FROM knn JOIN n a ON knn.src = a.src JOIN n b ON knn.dst = b.src, (VALUES (1), (3), (5)) v(k) WHERE rank <= k GROUP BY ALL)
+    SELECT k, round(avg(CASE WHEN others > 0 THEN (s > 0)::INT::DOUBLE END), 6) AS hit, round(avg(CASE WHEN others > 0 THEN s / least(others, k)::DOUBLE END), 6) AS recall, round(sum(s) / sum(c), 6) AS purity FROM x GROUP BY k"""
+)
+def graph_diagnostics(spark, d):
+    g = X.graph_diagnostics(knn(spark, d), truth(spark, d))
+    return g.select("k", *[F.round(c, 6).alias(c) for c in ("hit", "recall", "purity")])
+
+
+@query(
+    """WITH c AS (SELECT label, count(*) AS c FROM embeddings GROUP BY label HAVING count(*) > 1), n AS (SELECT count(*) - 1 AS pool FROM embeddings),
+    m AS (SELECT label, c, exp(sum(ln((pool - (c - 1) - i) / (pool - i)::DOUBLE))) AS miss FROM c, n, range(0, 5) t(i) GROUP BY ALL) SELECT 5 AS k, round(sum(c * (1 - miss)) / sum(c), 6) AS hit FROM m"""
+)
+def random_neighbor_hit(spark, d):
+    return X.random_hit(truth(spark, d), 5).select("k", F.round("hit", 6).alias("hit"))
+
+
+@query(
+    """WITH v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS x FROM embeddings) SELECT round(1 - avg(CASE WHEN a.label = b.label THEN list_cosine_similarity(a.x, b.x) END), 5) AS within,
+    round(1 - avg(CASE WHEN a.label <> b.label THEN list_cosine_similarity(a.x, b.x) END), 5) AS between FROM v a JOIN v b ON a.id <> b.id"""
+)
+def within_between_means(spark, d):
+    w = X.within_and_between(table(spark, d, "embeddings"), "vec_id", "label", "embedding")
+    return w.select(F.round("within", 5).alias("within"), F.round("between", 5).alias("between"))
+
+
+@query()
+def zscored_edges(spark, d):
+    e = table(spark, d, "embeddings")
+    return X.zscore_distances(G.undirected(knn(spark, d)), X.moments(e, "vec_id", "embedding"))
+
+
+def _features(spark, d):
+    docs = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") * 3600.0).alias("seconds"), F.when(F.col("vec_id") % 3 == 0, "en").otherwise("de").alias("lang"))
+    return cut(X.pair_features(knn(spark, d), docs, LOCALITY))
+
+
+@query()
+def pair_features(spark, d):
+    return _features(spark, d)
+
+
+@query()
+def edge_model(spark, d):
+    f, t = _features(spark, d), truth(spark, d)
+    labelled = f.join(t.toDF("src", "a1"), "src").join(t.toDF("dst", "a2"), "dst").withColumn("label", (F.col("a1") == F.col("a2")).cast("double")).drop("a1", "a2")
+    return X.edge_model(labelled, f)
+
+
+@query()
+def edge_signals(spark, d):
+    return X.signal_auroc(_features(spark, d), truth(spark, d), ("distance", "log_gap", "shared"))
+
+
+@query()
+def budget_frontier(spark, d):
+    return X.budget_frontier(nodes(spark, d), G.undirected(knn(spark, d)), truth(spark, d), [50, 200, 800])
