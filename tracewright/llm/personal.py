@@ -94,7 +94,7 @@ _ES = regex.compile(
     _I,
 )
 _POST = r"(?:\d{5}(?:-\d{3,4})?|\d{4}\s?[A-Z]{2}|[A-Z]{1,2}\d[A-Z\d]?\s\d[A-Z]{2})"
-_TOWN = regex.compile(rf"(?:,\s{{1,2}}|\s?\n\s?)(?P<post>{_POST}\s)?(?P<town>{_n}(?![\p{{L}}\p{{N}}])(?:\s{_n}(?![\p{{L}}\p{{N}}])){{0,2}})", _I)
+_TOWN = regex.compile(rf"(?:,\s{{1,2}}|\s?\n\s?)(?P<post>{_POST}\s)?(?P<town>{_n}(?![\p{{L}}\p{{N}}])(?: {_n}(?![\p{{L}}\p{{N}}])){{0,2}})", _I)
 _POST_AFTER = regex.compile(rf",?\s{_POST}(?![\p{{L}}\p{{N}}])", _I)
 _ADDRESS_CUE = regex.compile(
     r"(?:live at|lives at|living at|ship(?: it)? to|send(?: it)? to|deliver(?: it)? to|moved to|address(?: is)?|located at|adresse(?: lautet)?|anschrift|wohne \S*|genau hier|habite(?: au)?|livraison|vivo en|direcci[oó]n|domicilio|env[ií]a\w*|indirizzo|abito in|moro na|endere[cç]o|put)\s?:?\s*$",
@@ -301,11 +301,11 @@ def personal_spans(df: DataFrame, id_col: str = "doc_id", turns_col: str = "turn
     towns = towns.where(F.col("seen") >= least).select("given", F.lit(1).alias("is_town"))
     placed = place.join(towns, "given", "left").withColumn("last", last)
     known = F.col("is_town").isNotNull()
-    # the longest end with a known town; else the whole if it is shown, one word if it is written in capitals, or the street
-    rank = F.when(known, 3).when((F.col("cue") == 3) & (F.col("stop") == F.col("last")), 2).when((F.col("cue") == 2) & ~F.col("given").contains(" "), 1).otherwise(0)
-    best = placed.withColumn("rank", rank).groupBy("doc_id", "turn_no", "start", "place").agg(
-        F.max_by(F.struct("stop", "found", "cue"), F.struct("rank", "stop")).alias("b"), F.max("rank").alias("rank")
-    )
+    # the longest end with a known town; else the whole if it is shown, one word of a town, or the street
+    one_word = (F.col("cue") >= 1) & (F.col("given") != "") & ~F.col("given").contains(" ")
+    rank = F.when(known, 3).when((F.col("cue") == 3) & (F.col("stop") == F.col("last")), 2).when(one_word, 1).otherwise(0)
+    placed = placed.withColumn("rank", rank).withColumn("far", F.when(F.col("rank") == 0, -F.col("stop")).otherwise(F.col("stop")))
+    best = placed.groupBy("doc_id", "turn_no", "start", "place").agg(F.max_by(F.struct("stop", "found", "cue"), F.struct("rank", "far")).alias("b"), F.max("rank").alias("rank"))
     best = best.where("b.cue >= 1 or rank = 3").select("doc_id", "turn_no", F.lit("street_address").alias("kind"), "start", "b.stop", "b.found")
     rest = items.where("kind not in ('person_name', 'street_address')").select("doc_id", "turn_no", "kind", "start", "stop", "found")
     # of names that overlap, the longest

@@ -159,7 +159,7 @@ def _logistic(rows: list[list[int]], y: np.ndarray, areas: list[str], steps: int
     if not rows:
         return Model(areas, weight, b, rarity)
     size = np.array([len(r) for r in rows])
-    used, index, df = np.unique(np.concatenate([np.array(r) for r in rows]), return_inverse=True, return_counts=True)
+    used, index, df = np.unique(np.concatenate([np.array(r, np.int32) for r in rows]), return_inverse=True, return_counts=True)
     idf = np.log(len(rows) / df).astype(np.float32) + 0.1
     rarity[:] = idf.max()
     rarity[used] = idf
@@ -167,19 +167,22 @@ def _logistic(rows: list[list[int]], y: np.ndarray, areas: list[str], steps: int
     starts = np.concatenate([[0], np.cumsum(size)[:-1]])
     value = idf[index]
     value = (value / np.sqrt(np.add.reduceat(value * value, starts))[at]).astype(np.float32)[:, None]
-    w = np.zeros((len(used), k), np.float32)
-    gw, gb = np.full_like(w, 1e-6), np.full_like(b, 1e-6)
     order = np.argsort(index, kind="stable")
     at_sorted, value_sorted, cuts = at[order], value[order], np.searchsorted(index[order], np.arange(len(used)))
-    for _ in range(steps):
-        z = np.add.reduceat(w[index] * value, starts, axis=0) + b
-        d = (1 / (1 + np.exp(-z)) - y).astype(np.float32)
-        g = np.add.reduceat(d[at_sorted] * value_sorted, cuts, axis=0) + shrink * len(rows) * w
-        gw += g * g
-        w -= rate * g / np.sqrt(gw)
-        s = d.sum(0)
-        gb += s * s
-        b -= rate * s / np.sqrt(gb)
+    w = np.zeros((len(used), k), np.float32)
+    for j in range(0, k, 3):  # the classifiers don't depend on each other; three at a time keep the arrays small
+        part, yj, bj = w[:, j : j + 3].copy(), y[:, j : j + 3].astype(np.float32), b[j : j + 3]
+        gw, gb = np.full_like(part, 1e-6), np.full_like(bj, 1e-6)
+        for _ in range(steps):
+            z = np.add.reduceat(part[index] * value, starts, axis=0) + bj
+            d = (1 / (1 + np.exp(-z)) - yj).astype(np.float32)
+            g = np.add.reduceat(d[at_sorted] * value_sorted, cuts, axis=0) + shrink * len(rows) * part
+            gw += g * g
+            part -= rate * g / np.sqrt(gw)
+            s = d.sum(0)
+            gb += s * s
+            bj -= rate * s / np.sqrt(gb)
+        w[:, j : j + 3], b[j : j + 3] = part, bj
     weight[used] = w * idf[:, None]
     return Model(areas, weight, b, rarity)
 
@@ -247,7 +250,7 @@ def train(df: DataFrame, labels: DataFrame, areas: list[str], id_col: str = "doc
                 if a in place:
                     row[place[a]] = 1
             rows.append(features.of(s))
-            y.append(row)
+            y.append(row.astype(np.float32))
     model = fit(rows, np.array(y).reshape(-1, len(areas)), areas)
     model.openers = openers
     return model
