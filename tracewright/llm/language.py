@@ -316,10 +316,11 @@ def language_stretches(df: DataFrame, words: DataFrame, id_col: str = "doc_id",
     return got.join(residue.found_turns(df, id_col, turns_col), ["doc_id", "turn_no"], "left_anti")
 
 
-def conversation_languages(stretches: DataFrame, sure: float = 0.8) -> DataFrame:
+def conversation_languages(stretches: DataFrame, sure: float = 0.8, fair: float = 0.45, letters: int = 60) -> DataFrame:
     """``doc_id, label, langs, lang, confidence``: languages of a conversation and the one most of its letters are in.
 
-    A second language counts if one of its stretches has at least the confidence ``sure``.
+    A second language counts if one of its stretches has at least the confidence ``sure``, or the confidence ``fair`` where it
+    has enough letters: two near languages share a confidence that a third one doesn't touch.
     """
     by_lang = stretches.groupBy("doc_id", "lang").agg(
         F.max("label").alias("label"),
@@ -328,7 +329,8 @@ def conversation_languages(stretches: DataFrame, sure: float = 0.8) -> DataFrame
         (F.sum(F.col("confidence") * F.col("letters")) / F.sum("letters")).alias("confidence"),
     )
     main = F.max_by(F.struct("lang", "confidence"), F.struct("letters", "lang")).alias("main")
-    got = by_lang.groupBy("doc_id").agg(F.max("label").alias("label"), F.collect_set(F.when(F.col("most") >= sure, F.col("lang"))).alias("langs"), main)
+    counts = (F.col("most") >= sure) | ((F.col("most") >= fair) & (F.col("letters") >= letters))
+    got = by_lang.groupBy("doc_id").agg(F.max("label").alias("label"), F.collect_set(F.when(counts, F.col("lang"))).alias("langs"), main)
     return got.select("doc_id", "label", F.array_union("langs", F.array("main.lang")).alias("langs"), "main.lang", "main.confidence")
 
 
