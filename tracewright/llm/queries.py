@@ -91,3 +91,21 @@ def p2_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.found_areas(table(spark, sf_dir, "chat_docs"), table(spark, sf_dir, "label_topics"), table(spark, sf_dir, "subject_areas"))
+
+
+# the two searches on small tables by comparing everything; SQL knows nothing of the operators' methods
+ORACLES["p3_found"] = """
+WITH v AS (
+  SELECT doc_id, any_value(features)::DOUBLE[] AS x FROM doc_vectors
+  WHERE doc_id IS NOT NULL AND len(features) = 96 AND len(list_filter(features, lambda a: a IS NULL OR isnan(a) OR isinf(a))) = 0 AND len(list_filter(features, lambda a: a <> 0)) > 0
+  GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, round(list_cosine_similarity(a.x, b.x), 12) AS s FROM v a JOIN v b ON a.doc_id <> b.doc_id),
+r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM p)
+SELECT DISTINCT least(a, b) AS doc_id_a, greatest(a, b) AS doc_id_b FROM r WHERE r <= 5"""
+ORACLES["p6_found"] = r"""
+WITH d AS (SELECT doc_id, any_value(turns) AS t FROM chat_docs WHERE doc_id IS NOT NULL AND turns IS NOT NULL GROUP BY doc_id),
+w AS (SELECT doc_id, regexp_extract_all(lower(array_to_string(list_filter(t, lambda x: x IS NOT NULL), chr(10) || chr(10))), '[\pL\pN]+') AS w FROM d),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 70),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT a AS doc_id_a, b AS doc_id_b FROM c JOIN n x ON c.a = x.doc_id JOIN n y ON c.b = y.doc_id WHERE 5 * k >= 3 * (x.n + y.n - k)"""
