@@ -20,10 +20,11 @@ def max_softmax(scores: DataFrame) -> DataFrame:
 
 
 def _curve(df: DataFrame) -> DataFrame:
-    """Counts of positives and negatives at distinct scores, descending, with running sums."""
+    """Counts of positives and negatives at distinct scores, descending, with running sums in ranges of scores."""
+    from .timeline import running_sums
+
     d = df.where(F.col("score").isNotNull() & F.col("is_out").isNotNull()).groupBy("score").agg(F.sum(F.col("is_out").cast("bigint")).alias("p"), F.sum((~F.col("is_out")).cast("bigint")).alias("n"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return d.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("n").over(w))
+    return running_sums(d, [F.desc("score")], {"tp": "p", "fp": "n"})
 
 
 def auroc(df: DataFrame) -> DataFrame:
@@ -46,12 +47,14 @@ def equal_error_rate(df: DataFrame) -> DataFrame:
     c = _curve(df)
     tot = c.agg(F.sum("p").alias("np"), F.sum("n").alias("nn"))
     r = c.crossJoin(F.broadcast(tot)).where("np > 0 and nn > 0")  # one row
-    r = r.select("score", (F.col("fp") / F.col("nn")).alias("fa"), (1 - F.col("tp") / F.col("np")).alias("fr")).withColumn("d", F.col("fa") - F.col("fr"))
-    w = Window.orderBy(F.desc("score"))
-    r = r.withColumn("d0", F.lag("d").over(w)).withColumn("s0", F.lag("score").over(w)).withColumn("e0", F.lag((F.col("fa") + F.col("fr")) / 2).over(w)).withColumn("e", (F.col("fa") + F.col("fr")) / 2)
-    hit = r.where("d >= 0").agg(F.max_by(F.struct("score", "d", "e", "d0", "s0", "e0"), "score").alias("x")).select("x.*")
-    t = F.when((F.col("d") > 0) & (F.col("d0") < 0), F.col("d") / (F.col("d") - F.col("d0"))).otherwise(0.0)
-    return hit.select(((1 - t) * F.col("e") + t * F.coalesce("e0", F.lit(0.0))).alias("eer"), ((1 - t) * F.col("score") + t * F.coalesce("s0", F.col("score"))).alias("threshold"))
+    r = r.select("score", (F.col("fp") / F.col("nn")).alias("fa"), (1 - F.col("tp") / F.col("np")).alias("fr")).withColumn("d", F.col("fa") - F.col("fr")).withColumn("e", (F.col("fa") + F.col("fr")) / 2)
+    # the difference never falls along the scores: the crossing lies between the last negative and the first other one
+    row = F.struct("score", "d", "e")
+    x = r.agg(F.max_by(row, F.when(F.col("d") >= 0, F.col("score"))).alias("b"), F.min_by(row, F.when(F.col("d") < 0, F.col("score"))).alias("a")).where("b is not null")
+    # before the first score nothing is accepted: the difference is -1 and the mean 0.5
+    t = F.when(F.col("b.d") > 0, F.col("b.d") / (F.col("b.d") - F.coalesce("a.d", F.lit(-1.0)))).otherwise(0.0)
+    mix = lambda c, start: (1 - t) * F.col(f"b.{c}") + t * F.coalesce(F.col(f"a.{c}"), start)
+    return x.select(mix("e", F.lit(0.5)).alias("eer"), mix("score", F.col("b.score")).alias("threshold"))
 
 
 def dir_at_far(df: DataFrame, fars: tuple[float, ...] = (0.05, 0.1, 0.2)) -> DataFrame:

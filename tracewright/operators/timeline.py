@@ -22,6 +22,20 @@ def positions(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
     return parts.withColumn("_row", F.row_number().over(within) - 1).join(before, "_part").withColumn(name, F.col("_row") + F.col("_start")).drop("_part", "_row", "_start")
 
 
+def running_sums(df: DataFrame, order: list, sums: dict[str, str]) -> DataFrame:
+    """``df`` with running sums along a total order of rows: ``sums`` maps new columns to the columns they add up.
+
+    As with :func:`positions`, a task sums one range; only the ranges' totals are added up one after the other.
+    """
+    parts = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    totals = parts.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    up = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = totals.select("_part", *[F.coalesce(F.sum(f"_t_{n}").over(up), F.lit(0)).alias(f"_t_{n}") for n in sums])
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = parts.select("*", *[F.sum(c).over(within).alias(n) for n, c in sums.items()]).join(before, "_part")
+    return out.select(*df.columns, *[(F.col(n) + F.col(f"_t_{n}")).alias(n) for n in sums])
+
+
 def split_known(df: DataFrame, *order: str, start: float = 0.0, end: float = 0.75, test_start: float = 0.75) -> DataFrame:
     """``df`` with ``pos`` and ``side``: ``known`` in [start, end) of the rows, ``unknown`` from test_start on, else null.
 
