@@ -13,6 +13,7 @@ from ..operators import detection as E
 from ..operators import ranking as K
 from ..operators import resampling as M
 from ..operators import timeline as L
+from ..operators import tuning as U
 from ..runtime import cut, table
 from .registry import query
 
@@ -419,3 +420,26 @@ def cmc_replicates(spark, d):
 def cmc_interpolated(spark, d):
     c = K.cmc(K.true_ranks(*scored(spark, d))).select("k", F.col("accuracy").alias("value"))
     return K.interpolate(c.where("k in (1, 4, 10)"), c.select("k"))
+
+
+@query(f"WITH {_REJ} SELECT round(quantile_cont(score, 0.1), 6) AS threshold FROM o WHERE is_out")
+def calibrated_threshold(spark, d):
+    return U.calibrate_threshold(opened(spark, d), 0.1).select(F.round("threshold", 6).alias("threshold"))
+
+
+@query()
+def learned_rejection(spark, d):
+    s, t = scored(spark, d, strangers=True)
+    f = E.rejection_features(s)
+    labelled = f.join(t, "q").withColumn("is_out", F.col("author") == STRANGER).drop("author")
+    return U.learned_rejector(labelled, f)
+
+
+@query()
+def open_set_roles(spark, d):
+    return U.open_set_fold(sides(spark, d)[0], 0).select("doc", "author", "role")
+
+
+@query()
+def prior_inclusion(spark, d):
+    return U.prior_inclusion(K.author_shares(sides(spark, d)[0]), (1, 5))

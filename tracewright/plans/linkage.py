@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import build as B
 from ..operators import edges as X
 from ..operators import graph as G
 from ..operators import partitions as Z
 from ..operators import ranking as K
+from ..operators import tuning as U
 from ..operators.blocks import neighbours
 from ..runtime import cut, table
 from .registry import query
@@ -277,3 +279,27 @@ def edge_signals(spark, d):
 @query()
 def budget_frontier(spark, d):
     return X.budget_frontier(nodes(spark, d), G.undirected(knn(spark, d)), truth(spark, d), [50, 200, 800])
+
+
+@query(
+    """WITH t AS (SELECT coalesce(source, '<missing>') || '|' || coalesce(lang, '<missing>') AS cluster, author_id AS author FROM documents WHERE author_id IS NOT NULL), m AS (SELECT cluster, author, count(*) AS n FROM t GROUP BY ALL),
+    w AS (SELECT *, sum(n) OVER (PARTITION BY cluster) AS c, sum(n) OVER (PARTITION BY author) AS a FROM m), b AS (SELECT sum(n * n / c) / sum(n) AS p, sum(n * n / a) / sum(n) AS r FROM w) SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1 FROM b"""
+)
+def metadata_baseline(spark, d):
+    docs = table(spark, d, "documents").where("author_id is not null")
+    parts = U.metadata_partition(docs, "doc_id", "source", "lang")
+    b = Z.bcubed(Z.contingency(parts, docs.select(F.col("doc_id").alias("id"), F.col("author_id").alias("author"))))
+    return b.select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query()
+def random_baseline(spark, d):
+    return U.random_partition(parts(spark, d))
+
+
+@query()
+def fragment_chains(spark, d):
+    i = table(spark, d, "identity_intervals")
+    p = B.interval_pairs(i, ["accept_language", "device_info", "country"])
+    block = i.groupBy("author_id").agg(F.min(F.concat_ws("|", "accept_language", "device_info", "country")).alias("block")).withColumnRenamed("author_id", "a")
+    return U.temporal_chains(p.join(block, "a").select("block", "a", "b", (-F.col("gap_days")).alias("lift")), i.where("author_id is not null"))
