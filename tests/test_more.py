@@ -90,3 +90,16 @@ def test_images(spark, tmp_path):
     got = {r.name: (r.width, r.height, r.icc) for r in I.headers(spark.read.parquet(path), "name", "image").collect()}
     assert got["a"] == (3, 4, None) and got["b"][:2] == (5, 6) and bytes(got["b"][2]) == b"profile" and got["c"] == got["d"] == (None, None, None)
     assert [bytes(r.image) for r in I.pick(spark, path, idx["a"].image_shard, [1]).collect()] == [png(5, 6, b"profile")]
+
+
+def test_search_defenses(spark):
+    from tracewright.operators import search as S
+
+    docs = [(f"d{i}", "a", i, [f"Howdy partner, this is my report number {i}. It says: all is WELL, as always!"]) for i in range(4)] + [("e", None, 9, ["quite another text about the sea"]), ("f", "a", 10, None)]
+    df = spark.createDataFrame(docs, "doc_id string, author_id string, n int, turns array<string>")
+    got = {r.doc_id: r for r in S.footprint_loop(df, "n").collect()}
+    assert set(got) == {"d0", "d1", "d2", "d3", "e"} and got["d0"].outcome == got["e"].outcome == "no_priors"
+    assert all(got[k].probes >= 1 and len(got[k].turns) == 1 and got[k].linkage < 1 for k in ("d1", "d2", "d3"))
+    best = S.evolve_turn(df, ["the sea is calm", "numbers 12 34 56 78"], generations=2, children=4)
+    assert best and best[0][1] == max(s for _, s in best) > 0
+    assert S.fitness(df.limit(0), ["x"]) in ({}, {"x": 0.0})

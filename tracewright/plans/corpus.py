@@ -458,3 +458,19 @@ def rewrite_distance(spark, d):
 @query()
 def loo_unlink(spark, d):
     return unlink(_chat(spark, d))
+
+
+@query()
+def footprint_rewrite(spark, d):
+    from ..operators.search import footprint_loop
+
+    c = table(spark, d, "chat_docs").where(F.col("doc_id").isNotNull() & F.col("turns").isNotNull()).select("doc_id", "author_id", "turns", "ended_at").distinct()
+    return footprint_loop(c, "ended_at", "doc_id")
+
+
+@query()
+def evolved_turn(spark, d):
+    from ..operators.search import evolve_turn
+
+    best = evolve_turn(_chat(spark, d), ["Thanks for all of it.", "The harbour is quiet and the lighthouse is dark tonight.", "0 1 2 3 4 5 6 7 8 9"], generations=1, children=4)
+    return spark.createDataFrame(best, "turn string, fitness double").withColumn("fitness", F.round("fitness", 6))
