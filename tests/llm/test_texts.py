@@ -143,3 +143,4 @@ def test_subjects(spark):
     assert all(got[f"d{i}"] == ({"law"} if i % 2 else {"cooking"}) for i in range(60))
     assert got["m"] == {"law", "cooking"} and got["g"] == {"general"} and not {"e", "p", "z"} & set(got)
     assert subjects.found_areas(df.limit(0), lab, areas).count() == 0
+    assert subjects.found_areas(df, lab, areas.where("area = 'no such'")).count() == 0

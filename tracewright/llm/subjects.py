@@ -151,7 +151,25 @@ class Model:
         return 1 / (1 + np.exp(-out))
 
 
-def _logistic(rows: list[list[int]], y: np.ndarray, areas: list[str], steps: int, rate: float, shrink: float) -> Model:
+def _block(data: tuple, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases of three classifiers, the j-th and the next two."""
+    index, value, starts, at_sorted, value_sorted, cuts, y, n, steps, rate, shrink = data
+    yj = y[:, j : j + 3]
+    w, b = np.zeros((n, yj.shape[1]), np.float32), np.full(yj.shape[1], -2.0, np.float32)
+    gw, gb = np.full_like(w, 1e-6), np.full_like(b, 1e-6)
+    for _ in range(steps):
+        z = np.add.reduceat(w[index] * value, starts, axis=0) + b
+        d = (1 / (1 + np.exp(-z)) - yj).astype(np.float32)
+        g = np.add.reduceat(d[at_sorted] * value_sorted, cuts, axis=0) + np.float32(shrink) * w
+        gw += g * g
+        w -= np.float32(rate) * g / np.sqrt(gw)
+        s = d.sum(0)
+        gb += s * s
+        b -= np.float32(rate) * s / np.sqrt(gb)
+    return w, b
+
+
+def _logistic(rows: list[list[int]], y: np.ndarray, areas: list[str], steps: int, rate: float, shrink: float, spark=None) -> Model:
     """One-versus-rest logistic classifiers on features weighted by rarity, by full-batch adaptive gradient steps."""
     k = len(areas)
     weight, b = np.zeros((1 << BITS, k), np.float32), np.full(k, -2.0, np.float32)
@@ -169,30 +187,36 @@ def _logistic(rows: list[list[int]], y: np.ndarray, areas: list[str], steps: int
     value = (value / np.sqrt(np.add.reduceat(value * value, starts))[at]).astype(np.float32)[:, None]
     order = np.argsort(index, kind="stable")
     at_sorted, value_sorted, cuts = at[order], value[order], np.searchsorted(index[order], np.arange(len(used)))
+    data = (index.astype(np.int32), value, starts, at_sorted.astype(np.int32), value_sorted, cuts, y.astype(np.float32), len(used), steps, rate, shrink * len(rows))
+    # the classifiers don't depend on each other: three at a time in tasks of their own
+    blocks = list(range(0, k, 3))
+    if spark is None:
+        done = {j: _block(data, j) for j in blocks}
+    else:
+        shared = spark.sparkContext.broadcast(data)  # its size is bounded by train_rows
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for j in batch.column(0).to_pylist():
+                    part, bj = _block(shared.value, j)
+                    yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([part.tobytes()]), pa.array([bj.tobytes()])], ["j", "w", "b"])
+
+        todo = spark.range(0, len(blocks), 1, len(blocks)).select((F.col("id") * 3).cast("int").alias("j"))
+        done = {r.j: (np.frombuffer(r.w, np.float32).reshape(len(used), -1), np.frombuffer(r.b, np.float32)) for r in todo.mapInArrow(run, "j int, w binary, b binary").collect()}
+        shared.unpersist()
     w = np.zeros((len(used), k), np.float32)
-    for j in range(0, k, 3):  # the classifiers don't depend on each other; three at a time keep the arrays small
-        part, yj, bj = w[:, j : j + 3].copy(), y[:, j : j + 3].astype(np.float32), b[j : j + 3]
-        gw, gb = np.full_like(part, 1e-6), np.full_like(bj, 1e-6)
-        for _ in range(steps):
-            z = np.add.reduceat(part[index] * value, starts, axis=0) + bj
-            d = (1 / (1 + np.exp(-z)) - yj).astype(np.float32)
-            g = np.add.reduceat(d[at_sorted] * value_sorted, cuts, axis=0) + shrink * len(rows) * part
-            gw += g * g
-            part -= rate * g / np.sqrt(gw)
-            s = d.sum(0)
-            gb += s * s
-            bj -= rate * s / np.sqrt(gb)
+    for j, (part, bj) in done.items():
         w[:, j : j + 3], b[j : j + 3] = part, bj
     weight[used] = w * idf[:, None]
     return Model(areas, weight, b, rarity)
 
 
-def fit(rows: list[list[int]], labels: np.ndarray, areas: list[str], steps: int = 30, rate: float = 1.0, shrink: float = 1e-6) -> Model:
+def fit(rows: list[list[int]], labels: np.ndarray, areas: list[str], steps: int = 30, rate: float = 1.0, shrink: float = 1e-6, spark=None) -> Model:
     """Classifiers fitted twice, and thresholds of best F1 on a fifth held out."""
     keep = [i for i, r in enumerate(rows) if r]
     rows, y = [rows[i] for i in keep], labels[keep]
     held = np.arange(len(rows)) % 5 == 4
-    first = _logistic([r for r, h in zip(rows, held) if not h], y[~held], areas, steps, rate, shrink)
+    first = _logistic([r for r, h in zip(rows, held) if not h], y[~held], areas, steps, rate, shrink, spark)
     if rows and areas:
         p = first.scores(rows)
         top = p.argmax(1)
@@ -200,7 +224,7 @@ def fit(rows: list[list[int]], labels: np.ndarray, areas: list[str], steps: int
         sure = p[np.arange(len(rows)), top] >= 0.5
         y[sure] = y[sure] * (p[sure] >= 0.3)
         y[np.flatnonzero(sure), top[sure]] = 1
-    model = _logistic([r for r, h in zip(rows, held) if not h], y[~held], areas, 3 * steps, rate, shrink)
+    model = _logistic([r for r, h in zip(rows, held) if not h], y[~held], areas, 3 * steps, rate, shrink, spark)
     if held.any():
         p = model.scores([r for r, h in zip(rows, held) if h])
         yh = y[held] > 0
@@ -251,7 +275,7 @@ def train(df: DataFrame, labels: DataFrame, areas: list[str], id_col: str = "doc
                     row[place[a]] = 1
             rows.append(features.of(s))
             y.append(row.astype(np.float32))
-    model = fit(rows, np.array(y).reshape(-1, len(areas)), areas)
+    model = fit(rows, np.array(y, np.float32).reshape(-1, len(areas)), areas, spark=df.sparkSession)
     model.openers = openers
     return model
 
@@ -271,6 +295,8 @@ def subject_areas(
     if len(got) > most_areas:
         raise ValueError(f"more than {most_areas} areas: not a table to hand to every task")
     names = sorted({r.area for r in got} & set(SEEDS))
+    if not names:
+        return spark.createDataFrame([], "doc_id string, area string, sentences double")
     model = spark.sparkContext.broadcast(train(df, labels, names, id_col, turns_col, **train_with))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
