@@ -17,6 +17,7 @@ FUNCTION_WORDS = (
     "the a an and but or if because of to in on at with however although actually just really very so then also that this these those which who what"
 ).split()
 
+#: The patterns of identifiers.
 _URL = r"(?i)https?://\S+|www\.\S+"
 _EMAIL = r"(?U)[\w.+-]+@[\w-]+\.[\w.-]+"
 _IPV4 = r"(?U)(?<!\w)(?:\d{1,3}\.){3}\d{1,3}(?!\w)"
@@ -155,6 +156,7 @@ def is_error_response(text) -> Column:
     return F.ltrim(t).startswith("API Error") | t.contains('"type":"error"')
 
 
+#: Openings of messages that coding agents inject.
 _SCAFFOLD = (
     r"(?i)^\[Request interrupted by user|^\[Image:|^Tool loaded\.$|^Summarize the task tool output above|^Continue from where you left off\.$|^Base directory for this skill:"
     r"|^Caveat: The messages below|Execute the following steps non-interactively|Optionally specify a change name after|<command-message>|<command-name>|<command-args>"

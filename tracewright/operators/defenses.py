@@ -19,6 +19,7 @@ from ..functions import text as T
 
 REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
+#: What no rewrite may touch (code, placeholders, links, long tokens).
 _PROTECTED = r"(?s)```.*?```|~~~.*?~~~|`[^`\n]*`|<[A-Z][A-Z_]*>|https?://\S+|\]\([^)\s]*\)|\S{25,}"
 
 
