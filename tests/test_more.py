@@ -103,3 +103,27 @@ def test_search_defenses(spark):
     best = S.evolve_turn(df, ["the sea is calm", "numbers 12 34 56 78"], generations=2, children=4)
     assert best and best[0][1] == max(s for _, s in best) > 0
     assert S.fitness(df.limit(0), ["x"]) in ({}, {"x": 0.0})
+
+
+def test_full_texts_and_labels(spark, data, tmp_path):
+    import re
+    import string
+
+    from tracewright.plans import catalogue
+
+    def plain(t):
+        kept = "".join(c for c in (t or "").lower() if c not in set(string.punctuation))
+        return re.sub(r"\s+", " ", kept).strip()
+
+    docs = [
+        ("a", "x", ["Привет,  МИР!", None], "Mandarin Chinese"), ("b", "x", ["Straße – ÜBER «ALLES»? 你好，世界。"], None), ("c", None, ["Plain ASCII, only."], "ENGLISH"),
+        ("d", "y", [], " nan "), ("e", "y", None, "français"), ("f", "y", ["ΌΔΟΣ\u00a0\u2003и...\n\tÉCOLE"], "brazilian portuguese"), ("a", "x", ["Привет,  МИР!", None], "Mandarin Chinese"),
+    ]
+    spark.createDataFrame(docs, "doc_id string, author_id string, turns array<string>, language_primary string").write.parquet(str(tmp_path / "chat_docs.parquet"))
+    got = catalogue.QUERIES["language_title_full"](spark, str(tmp_path)).collect()
+    titles = {"a": "Mandarin Chinese", "b": None, "c": "English", "d": None, "e": "Français", "f": "Brazilian Portuguese"}
+    assert len(got) == len(titles) and {r.doc_id: r.lang for r in got} == titles
+    for d in (str(tmp_path), data):
+        source = spark.read.parquet(f"{d}/chat_docs.parquet").where("doc_id is not null and turns is not null").select("doc_id", "author_id", "turns").distinct().collect()
+        got = catalogue.QUERIES["normalise_defense_full"](spark, d).collect()
+        assert sorted((r.doc_id, r.turns) for r in got) == sorted((r.doc_id, [plain(t) for t in r.turns]) for r in source)

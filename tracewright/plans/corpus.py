@@ -102,6 +102,12 @@ def language_title(spark, d):
     return c.select("doc_id", T.normalize_language("language_primary").alias("lang"))
 
 
+@query()
+def language_title_full(spark, d):
+    """Every label, also null ones and those of several words, for which SQL has no title case."""
+    return table(spark, d, "chat_docs").select("doc_id", T.normalize_language("language_primary").alias("lang")).distinct()
+
+
 @query(
     r"""SELECT DISTINCT doc_id, len(list_filter(coalesce(turns, []), lambda t: t IS NOT NULL AND regexp_replace(t, '^\s+|\s+$', '', 'g') <> '')) AS kept,
     CAST(round_even(list_sum(list_transform(coalesce(turns, []), lambda t: length(coalesce(t,'')))) / 4.0, 0) AS BIGINT) AS tokens FROM chat_docs WHERE len(turns) > 0"""
@@ -375,6 +381,12 @@ def normalise_defense(spark, d):
     return D.apply("normalise", _chat(spark, d).where(ascii_only)).select("doc_id", "turns")
 
 
+@query()
+def normalise_defense_full(spark, d):
+    """Every conversation, whatever its script."""
+    return D.apply("normalise", _chat(spark, d)).select("doc_id", "turns")
+
+
 @query()
 def collision_seed_rewrite(spark, d):
     return D.apply("collisions", _chat(spark, d))
