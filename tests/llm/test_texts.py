@@ -42,6 +42,19 @@ def test_phrases_learned_from_the_corpus(spark):
     assert got == {f"d{i}" for i in range(5)}
 
 
+def test_phrases_count_in_long_turns(spark):
+    phrase, story = "Kindly return after tea.", " ".join(f"word{i} and word{i + 1}" for i in range(30)) + "."
+    turns = [f"502 Bad Gateway. {phrase} (Ray {i}999)" for i in range(2)] + [phrase] + [f"{story} {phrase}"] * 5
+    got = {r.doc_id for r in residue.found_turns(chat(spark, turns)).collect()}
+    assert "d2" not in got and not {f"d{i}" for i in range(3, 8)} & got
+
+
+def test_long_pages_of_learned_phrases(spark):
+    phrases = [f"The {w} of this machine went to bed early again today." for w in ("oven", "lamp", "door", "roof", "wall", "desk", "sink", "yard")]
+    turns = [f"502 Bad Gateway. {p} (Ray {i}999)" for p in phrases for i in range(2)] + [" ".join(phrases)]
+    assert {r.doc_id for r in residue.found_turns(chat(spark, turns)).collect()} == {f"d{i}" for i in range(17)}
+
+
 # --- problem 2
 @pytest.mark.parametrize("kind, text, found", [
     ("email", "mail a.b+c @ post.x.test now", "a.b+c @ post.x.test"), ("email", "to a.b [at] x [dot] example.", "a.b [at] x [dot] example"), ("email", "to a.b AT x DOT test please", "a.b AT x DOT test"),

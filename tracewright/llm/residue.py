@@ -1,16 +1,15 @@
 """Problem 4: turns that are leftovers of templates, filler, error pages or notices about scripts.
 
-These data have no addresses, so that the head of a turn (its first line or heading) stands for the title, the rest for
-the body, and the sources and conversations a phrase occurs in for the hosts.
+These data have no addresses; the conversations a phrase occurs in stand for the hosts. Headings aren't compared with
+bodies, and neither the sources of a phrase nor the repetition of a turn is evidence.
 
 1. Placeholder detectors mark a turn by itself: delimiters of template languages around a variable's name or an
    instruction, blanks to be filled in.
-2. A turn is cut into segments (heading, body sentences, codes). Detectors mark segments that are filler, titles of error
+2. A turn is cut into segments (lines, sentences, codes). Detectors mark segments that are filler, titles of error
    pages or notices; questions are never marked.
-3. Evidence from the corpus: for every segment, without its numbers and names, the turns that hold it are counted, and how
-   many of these were marked by another segment. A phrase seen in two conversations or more of which most were marked is a
-   part of such pages, also where it stands alone. A repeated turn of little information (few different words, no
-   sentence of its own) is filler.
+3. Evidence from the corpus: for every segment, without its numbers and names, all turns that hold it are counted, and how
+   many of these were marked by another segment. A phrase seen in two conversations or more, with at least half of its
+   turns marked, is a part of such pages, also where it stands alone.
 4. A turn is a case if nearly all its words are in marked segments.
 """
 
@@ -25,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import spread
+from ..runtime import cut, spread
 from ._turns import QUOTED, explode_turns, without_code
 
 _I = regex.I | regex.V0
@@ -137,26 +136,23 @@ def segments(text: str) -> list[tuple[str, int, int]]:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "turn_no", "seg", "words", "mark", "others", "n_segs", "holder"]
+    names = ["doc_id", "turn_no", "seg", "words", "mark", "others", "holder"]
     for b in batches:
         cols: list[list] = [[] for _ in names]
         for doc, no, text in zip(*(b.column(i).to_pylist() for i in range(3))):
             holder = placeholder(text)
             segs = segments(text)
             marked = sum(m == 1 for *_, m in segs)
-            free = sum(w for _, w, m in segs if m == 0)
-            if not holder and not marked and free > 60:
-                continue  # too much of its own to be a page; it says nothing about short pages either
             # equal segments of a turn go together
             merged: dict[tuple[str, int], int] = Counter()
             for s, w, m in segs:
                 merged[s, m] += w
             merged = merged or {("", 2): 0}
             for (s, m), w in merged.items():
-                row = (doc, no, xxhash.xxh3_64_intdigest(s) - (1 << 63), w, m, marked > (m == 1), len(segs), holder)
+                row = (doc, no, xxhash.xxh3_64_intdigest(s) - (1 << 63), w, m, marked > (m == 1), holder)
                 for c, v in zip(cols, row):
                     c.append(v)
-        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.bool_()]
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
 
@@ -167,11 +163,14 @@ def residue_turns(df: DataFrame, id_col: str = "doc_id", turns_col: str = "turns
     are left out; an empty table gives an empty one. Turns are read whole, whatever their length.
     """
     turns = explode_turns(df, id_col, turns_col)
-    rows = spread(turns, "doc_id").mapInArrow(
-        _rows, "doc_id string, turn_no int, seg bigint, words int, mark int, others boolean, n_segs int, holder boolean"
-    ).distinct()
-    # evidence: conversations that hold the phrase, and in how many of these something else was marked
-    stat = rows.where("mark = 0 and words > 2").groupBy("seg").agg(
+    # written once, as all segments of all turns are read three times
+    rows = cut(spread(turns, "doc_id").distinct().mapInArrow(
+        _rows, "doc_id string, turn_no int, seg bigint, words int, mark int, others boolean, holder boolean"
+    ))
+    # evidence: conversations that hold the phrase, and in how many of its turns something else was marked; a phrase that
+    # never stands beside a mark can't be learned
+    phrases = rows.where("mark = 0 and words > 2")
+    stat = phrases.join(phrases.where("others").select("seg").distinct(), "seg", "left_semi").groupBy("seg").agg(
         F.count(F.lit(1)).alias("turns"), F.approx_count_distinct("doc_id").alias("docs"), F.avg(F.col("others").cast("int")).alias("share")
     )
     learned = stat.where((F.col("docs") >= least_conversations) & (F.col("share") >= 0.5)).select("seg", F.lit(1).alias("part"))
