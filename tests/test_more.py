@@ -127,3 +127,22 @@ def test_full_texts_and_labels(spark, data, tmp_path):
         source = spark.read.parquet(f"{d}/chat_docs.parquet").where("doc_id is not null and turns is not null").select("doc_id", "author_id", "turns").distinct().collect()
         got = catalogue.QUERIES["normalise_defense_full"](spark, d).collect()
         assert sorted((r.doc_id, r.turns) for r in got) == sorted((r.doc_id, [plain(t) for t in r.turns]) for r in source)
+
+
+def test_unlink_compares_all_documents_of_an_author(spark):
+    texts = {f"d{i:03}": f"Note {i * 7919} on {chr(97 + i % 26) * 3}{i} things. Number {i} is quite another matter, {chr(97 + i // 4)}{i * i}. It ends." for i in range(90)}
+    texts |= {f"p{i}": f"Pair {i} of one author says howdy partner. It is a rare and odd line {i}. It ends here." for i in range(2)}
+    df = spark.createDataFrame([(k, "b" if k[0] == "p" else "a", [t]) for k, t in texts.items()], "doc_id string, author_id string, turns array<string>")
+    for block in (16, 512):
+        got = {r.doc_id: r for r in N.unlink(df, block=block).collect()}
+        assert set(got) == set(texts)
+        for name, r in got.items():
+            other = N.hashed_ngrams([t for k, t in texts.items() if k != name and k[0] == name[0]])
+            old, new = N.hashed_ngrams([texts[name], r.turns[0]])
+            assert r.before == pytest.approx(N.top_similarity(old, other)) and r.after == pytest.approx(N.top_similarity(new, other))
+    v = np.random.default_rng(1).random((500, 12))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    tries = v[:40] + 0.02
+    tries /= np.linalg.norm(tries, axis=1, keepdims=True)
+    want = [N.top_similarity(x, np.delete(v, 7, 0)) for x in tries]
+    assert N.Siblings(v, 7, v[7], first=8).top(tries) == pytest.approx(np.array(want))

@@ -1,8 +1,8 @@
 """Greedy unlinking of an author's documents: drop the spans that link most until a budget is met.
 
 The vectors of texts come from a function of texts, hashed character n-grams where no model is plugged in. A document is
-measured against its author's other documents; an author's documents are sampled to a bounded number of siblings by a hash,
-so a group stays bounded however much an author wrote.
+measured against all of its author's other documents. A prolific author's documents are rewritten in blocks, each of which
+holds the vectors of all the author's documents.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def hashed_ngrams(texts: list[str], n: int = 4, bits: int = 12) -> np.ndarray:
@@ -47,7 +46,34 @@ def target(largest: float, generic: float, alpha: float) -> float:
     return generic + alpha * max(0.0, largest - generic)
 
 
-def unlink(docs: DataFrame, budget: float = 0.2, siblings: int = 20, most_steps: int = 10, embed: Callable[[list[str]], np.ndarray] = hashed_ngrams, seed: int = 1) -> DataFrame:
+class Siblings:
+    """Mean of the m largest cosines of a document's variants to all rows of ``vectors`` but its own.
+
+    A row's cosine to a variant is at most that of its angle to the document less the variant's angle to the document; rows
+    that can't come among the m largest by this aren't compared, so that the result is that of comparing all.
+    """
+
+    def __init__(self, vectors: np.ndarray, own: int, v: np.ndarray, m: int = 3, first: int = 64):
+        self.vectors, self.v, self.m, self.first = vectors, v, m, first
+        near = vectors @ v
+        order = np.argsort(-near, kind="stable")
+        self.order = order[order != own]
+        self.near = near[self.order]
+
+    def top(self, variants: np.ndarray) -> np.ndarray:
+        got = variants @ self.vectors[self.order[: self.first]].T
+        if len(self.order) > self.first:
+            least = np.sort(got, axis=1)[:, -self.m]
+            away = np.arccos(np.clip(variants @ self.v, -1, 1)) + np.arccos(np.clip(least, -1, 1))
+            need = np.cos(np.minimum(away, np.pi)).min() - 1e-9
+            n = int(np.searchsorted(-self.near, -need, side="right"))
+            for k in range(self.first, n, 1024):
+                more = variants @ self.vectors[self.order[k : min(n, k + 1024)]].T
+                got = np.sort(np.concatenate([got, more], axis=1), axis=1)[:, -self.m :]
+        return np.sort(got, axis=1)[:, -self.m :].mean(axis=1)
+
+
+def unlink(docs: DataFrame, budget: float = 0.2, block: int = 512, most_steps: int = 10, embed: Callable[[list[str]], np.ndarray] = hashed_ngrams, seed: int = 1) -> DataFrame:
     """``doc_id, author_id, turns, before, after, dropped``: spans dropped until the linkage has fallen by the share ``budget``.
 
     In each step the span with the most linkage for its length goes; documents without siblings stay. Protected spans and
@@ -57,39 +83,42 @@ def unlink(docs: DataFrame, budget: float = 0.2, siblings: int = 20, most_steps:
 
     d = docs.where("doc_id is not null and turns is not null").select("doc_id", "author_id", "turns")
     sp = spans(d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("turn_no", "span_no", "text", "editable"))).alias("spans"))
-    text = F.array_join("turns", "\n\n")
-    ring = Window.partitionBy("author_id").orderBy(F.xxhash64("doc_id", F.lit(seed))).rowsBetween(1, siblings)
-    near = F.when(F.col("author_id").isNotNull(), F.collect_list(text).over(ring)).otherwise(F.array().cast("array<string>"))
-    rows = d.withColumn("near", near).join(sp, "doc_id", "left")
-
-    def run(frames):
-        for f in frames:
-            out = []
-            for r in f.itertuples():
-                turns = ["" if t is None else t for t in r.turns]
-                parts = [] if r.spans is None else [dict(s) if isinstance(s, dict) else s.asDict() for s in r.spans]
-                if not len(r.near) or not parts:
-                    out.append((r.doc_id, r.author_id, turns, None, None, 0))
-                    continue
-                sib = embed(list(r.near))
-                keep = [True] * len(parts)
-                full = lambda k: "\n\n".join("".join(p["text"] for p, x in zip(parts, k) if x and p["turn_no"] == t) for t in range(len(turns)))  # noqa: B023, E731
-                before = now = top_similarity(embed([full(keep)])[0], sib)
-                for _ in range(most_steps):
-                    if now <= (1 - budget) * before:
-                        break
-                    tries = [i for i, (p, x) in enumerate(zip(parts, keep)) if x and p["editable"]]
-                    if len(tries) < 2:
-                        break
-                    got = embed([full([x and j != i for j, x in enumerate(keep)]) for i in tries])
-                    sims = [top_similarity(v, sib) for v in got]
-                    gain = [(now - s) / max(len(parts[i]["text"]) / 100, 0.05) for i, s in zip(tries, sims)]
-                    best = int(np.argmax(gain))
-                    if sims[best] >= now:
-                        break
-                    keep[tries[best]], now = False, sims[best]
-                new = ["".join(p["text"] for p, x in zip(parts, keep) if x and p["turn_no"] == t) for t in range(len(turns))]
-                out.append((r.doc_id, r.author_id, new, before, now, keep.count(False)))
-            yield pd.DataFrame(out, columns=["doc_id", "author_id", "turns", "before", "after", "dropped"])
-
-    return rows.mapInPandas(run, "doc_id string, author_id string, turns array<string>, before double, after double, dropped int")
+    blocks = d.where("author_id is not null").groupBy("author_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("author_id", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    rows = d.join(blocks, "author_id", "left").join(sp, "doc_id", "left")
+    alone = rows.where("blocks is null").select("doc_id", "author_id", F.transform("turns", lambda t: F.coalesce(t, F.lit(""))).alias("turns"), F.lit(None).cast("double").alias("before"), F.lit(None).cast("double").alias("after"), F.lit(0).alias("dropped"))
+    work = rows.where("blocks is not null").select("doc_id", "author_id", "turns", "spans", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")).cast("int").alias("block"))
+    every = d.join(blocks, "author_id").select(F.col("doc_id").alias("other"), F.col("author_id").alias("owner"), F.array_join("turns", "\n\n").alias("text"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+
+    def run(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        texts = list(others["text"]) if len(mine) else []
+        vectors = np.concatenate([embed(texts[k : k + 256]) for k in range(0, len(texts), 256)]) if texts else np.zeros((0, 1))
+        at = {x: i for i, x in enumerate(others["other"])}
+        for r in mine.itertuples():
+            turns = ["" if t is None else t for t in r.turns]
+            parts = [] if r.spans is None else [dict(s) if isinstance(s, dict) else s.asDict() for s in r.spans]
+            keep = [True] * len(parts)
+            full = lambda k: "\n\n".join("".join(p["text"] for p, x in zip(parts, k) if x and p["turn_no"] == t) for t in range(len(turns)))  # noqa: B023, E731
+            v = embed([full(keep) if parts else "\n\n".join(turns)])[0]
+            sib = Siblings(vectors, at[r.doc_id], v)
+            before = now = float(sib.top(v[None])[0])
+            for _ in range(most_steps):
+                if now <= (1 - budget) * before:
+                    break
+                tries = [i for i, (p, x) in enumerate(zip(parts, keep)) if x and p["editable"]]
+                if len(tries) < 2:
+                    break
+                sims = sib.top(embed([full([x and j != i for j, x in enumerate(keep)]) for i in tries]))
+                gain = [(now - s) / max(len(parts[i]["text"]) / 100, 0.05) for i, s in zip(tries, sims)]
+                best = int(np.argmax(gain))
+                if sims[best] >= now:
+                    break
+                keep[tries[best]], now = False, float(sims[best])
+            new = ["".join(p["text"] for p, x in zip(parts, keep) if x and p["turn_no"] == t) for t in range(len(turns))] if parts else turns
+            out.append((r.doc_id, r.author_id, new, before, now, keep.count(False)))
+        return pd.DataFrame(out, columns=["doc_id", "author_id", "turns", "before", "after", "dropped"])
+
+    done = work.groupBy("author_id", "block").cogroup(every.groupBy("owner", "block")).applyInPandas(
+        run, "doc_id string, author_id string, turns array<string>, before double, after double, dropped int"
+    )
+    return done.unionByName(alone)
