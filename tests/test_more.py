@@ -146,3 +146,10 @@ def test_unlink_compares_all_documents_of_an_author(spark):
     tries /= np.linalg.norm(tries, axis=1, keepdims=True)
     want = [N.top_similarity(x, np.delete(v, 7, 0)) for x in tries]
     assert N.Siblings(v, 7, v[7], first=8).top(tries) == pytest.approx(np.array(want))
+
+
+def test_large_clusters_keep_their_own_labels(spark):
+    scores = spark.createDataFrame([("a", "x", 3.0), ("a", "y", 1.0), ("b", "x", 1.0), ("b", "y", 2.0), *[(f"c{i}", f"l{k}", float(k == i)) for i in range(3) for k in range(3)], ("c3", "l1", 5.0), ("c3", "l0", 5.0)], "q string, label string, score double")
+    clusters = spark.createDataFrame([("a", 1), ("b", 1), *[(f"c{i}", 2) for i in range(4)]], "q string, cluster int")
+    got = {r.q: r.label for r in K.pooled_argmax(scores, clusters, most=2).collect()}
+    assert got == {"a": "x", "b": "x", "c0": "l0", "c1": "l1", "c2": "l2", "c3": "l0"}

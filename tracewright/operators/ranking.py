@@ -191,12 +191,14 @@ def late_fusion(first: DataFrame, second: DataFrame, alpha: float) -> DataFrame:
 
 
 def pooled_argmax(scores: DataFrame, clusters: DataFrame, most: int = 50) -> DataFrame:
-    """``q, label``: the scores of a cluster's documents (``q, cluster``) added, its best label given to each; larger clusters are left out."""
-    size = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most)
-    c = clusters.join(size, "cluster")
+    """``q, label``: the scores of a cluster's documents (``q, cluster``) added, its best label given to each; documents of larger clusters keep their own best."""
+    size = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    sized = clusters.join(size, "cluster")
+    c = sized.where(F.col("n") <= most).drop("n")
     tot = scores.join(c, "q").groupBy("cluster", "label").agg(F.sum("score").alias("s"))
     top = tot.groupBy("cluster").agg(F.max(F.struct(F.round("s", 9).alias("s"), "label")).alias("t"))
-    return c.join(top, "cluster").select("q", F.col("t.label").alias("label"))
+    own = best(scores.join(sized.where(F.col("n") > most).select("q"), "q", "left_semi"))
+    return c.join(top, "cluster").select("q", F.col("t.label").alias("label")).unionByName(own.select("q", "label"))
 
 
 def eligible_by_language(docs: DataFrame, known: DataFrame) -> DataFrame:
