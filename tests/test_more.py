@@ -153,3 +153,12 @@ def test_large_clusters_keep_their_own_labels(spark):
     clusters = spark.createDataFrame([("a", 1), ("b", 1), *[(f"c{i}", 2) for i in range(4)]], "q string, cluster int")
     got = {r.q: r.label for r in K.pooled_argmax(scores, clusters, most=2).collect()}
     assert got == {"a": "x", "b": "x", "c0": "l0", "c1": "l1", "c2": "l2", "c3": "l0"}
+
+
+def test_rendered_conversations_are_whole(spark, tmp_path):
+    from tracewright.plans import catalogue
+
+    turns = [chr(97 + i) * 4000 for i in range(4)]
+    spark.createDataFrame([("a", "x", turns)], "doc_id string, author_id string, turns array<string>").write.parquet(str(tmp_path / "chat_docs.parquet"))
+    text = catalogue.QUERIES["rendered_conversations"](spark, str(tmp_path)).first().text
+    assert all(t in text for t in turns) and "omitted" not in text

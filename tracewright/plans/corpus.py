@@ -452,7 +452,7 @@ def paired_difference(spark, d):
 
 @query()
 def rendered_conversations(spark, d):
-    return _chat(spark, d).select("doc_id", U.render_conversation("turns", 200, 1000).alias("text"))
+    return _chat(spark, d).select("doc_id", U.render_conversation("turns", 5000, 20_000).alias("text"))
 
 
 @query()
