@@ -1,16 +1,23 @@
 """Problem 4: turns that are leftovers of templates, filler, error pages or notices about scripts.
 
-These data have no addresses; the conversations a phrase occurs in stand for the hosts. Headings aren't compared with
-bodies, and neither the sources of a phrase nor the repetition of a turn is evidence.
+These data have no addresses. What an address promises of a page, the other turns of the conversation promise of a turn;
+the first segment of a turn is its heading, the others are its body; a conversation's source is its host.
 
 1. Placeholder detectors mark a turn by itself: delimiters of template languages around a variable's name or an
    instruction, blanks to be filled in.
 2. A turn is cut into segments (lines, sentences, codes). Detectors mark segments that are filler, titles of error
    pages or notices; questions are never marked.
-3. Evidence from the corpus: for every segment, without its numbers and names, all turns that hold it are counted, and how
-   many of these were marked by another segment. A phrase seen in two conversations or more, with at least half of its
-   turns marked, is a part of such pages, also where it stands alone.
-4. A turn is a case if nearly all its words are in marked segments.
+3. Terms are compared: a turn that shares no term with any other turn of its conversation is out of place, and one whose
+   heading shares no term with its body is apart.
+4. Evidence from the corpus: every segment, without its numbers and names, is a phrase. Of all turns that hold a phrase
+   it is counted, for each host, how many had other segments marked (a quarter of
+   the other words), how many were out of place and how many apart. The
+   rates of a phrase (each host has the same say, so that a large one can't decide alone) are weighed against those of all
+   turns, in bits. A phrase of two conversations or more whose bits together reach the threshold, or most of whose turns have another
+   segment marked, is part of such pages, also where it stands alone: unrelated places repeat it, and it tells nothing
+   about any of them.
+5. A turn is a case if nearly all its words are in marked segments or in such phrases; by bits alone only if it
+   isn't in place.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut, spread
-from ._turns import QUOTED, explode_turns, without_code
+from ._turns import QUOTED, without_code
 
 _I = regex.I | regex.V0
 # names and instructions that stand in placeholders
@@ -107,13 +114,10 @@ def _filler(segment: str, words: list[str]) -> bool:
     return bool(_FILLER.search(segment)) and len(words) <= 14
 
 
-def segments(text: str) -> list[tuple[str, int, int]]:
-    """Skeleton, number of words and mark of each segment of a turn.
-
-    Marks: 0 nothing, 1 detected, 2 neutral (codes, names of one or two words).
-    """
+def _marks(text: str, patterns: bool = True) -> list[tuple[str, int, int, list[str]]]:
+    """Skeleton, number of words, mark and words of each segment of a turn."""
     body = without_code(text)
-    notice = "<noscript" in body.lower()
+    notice = patterns and "<noscript" in body.lower()
     out = []
     for part in _CUT.split(body):
         part = (part or "").strip()
@@ -122,65 +126,136 @@ def segments(text: str) -> list[tuple[str, int, int]]:
             continue
         skeleton = _NAMES.sub("#", part)
         skeleton = " ".join(_WORD.findall(_NUM.sub("0", skeleton.lower())))
-        error = _ERROR.search(part)
+        error = patterns and _ERROR.search(part)
         if not error and (_CODE.match(part) or part.startswith(("{", '"')) and len(words) <= 3):
             mark = 2
         elif _ASKS.search(part):
             mark = 0
-        elif notice or error or _filler(part, words) or _NOTICE.search(part):
+        elif patterns and (notice or error or _filler(part, words) or _NOTICE.search(part)):
             mark = 1
         else:
             mark = 2 if len(words) <= 2 and not part.endswith((".", "!")) else 0
-        out.append((skeleton, len(words), mark))
+        out.append((skeleton, len(words), mark, words))
     return out
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "turn_no", "seg", "words", "mark", "others", "holder"]
-    for b in batches:
-        cols: list[list] = [[] for _ in names]
-        for doc, no, text in zip(*(b.column(i).to_pylist() for i in range(3))):
-            holder = placeholder(text)
-            segs = segments(text)
-            marked = sum(m == 1 for *_, m in segs)
-            # equal segments of a turn go together
-            merged: dict[tuple[str, int], int] = Counter()
-            for s, w, m in segs:
-                merged[s, m] += w
-            merged = merged or {("", 2): 0}
-            for (s, m), w in merged.items():
-                row = (doc, no, xxhash.xxh3_64_intdigest(s) - (1 << 63), w, m, marked > (m == 1), holder)
-                for c, v in zip(cols, row):
-                    c.append(v)
-        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
-
-
-def residue_turns(df: DataFrame, id_col: str = "doc_id", turns_col: str = "turns", least_conversations: int = 2) -> DataFrame:
+def segments(text: str) -> list[tuple[str, int, int]]:
+    """Skeleton, number of words and mark of each segment of a turn.
+
+    Marks: 0 nothing, 1 detected, 2 neutral (codes, names of one or two words).
+    """
+    return [m[:3] for m in _marks(text)]
+
+
+def terms(words: list[str]) -> set[str]:
+    """Words of four letters or more, and pairs of neighbouring Han characters."""
+    return {w for w in words if len(w) > 3} | {a + b for a, b in zip(words, words[1:]) if len(a) == len(b) == 1 and a > "\u2e7f" < b}
+
+
+_SCHEMA = "doc_id string, host string, turn_no int, seg bigint, words int, mark int, others boolean, strange int, apart int, holder boolean"
+
+
+def _rows(patterns: bool):
+    names = [f.split()[0] for f in _SCHEMA.split(", ")]
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols: list[list] = [[] for _ in names]
+            for doc, host, turns in zip(*(b.column(i).to_pylist() for i in range(3))):
+                there = [(no, t) for no, t in enumerate(turns) if t and not t.isspace()]
+                marks = [_marks(t, patterns) for _, t in there]
+                own = [[terms(m[3]) for m in ms] for ms in marks]
+                # how many turns of the conversation hold a term
+                held = Counter(w for ts in own for w in set().union(*ts))
+                for (no, text), ms, ts in zip(there, marks, own):
+                    all_terms = set().union(*ts)
+                    # 1 without a term in common, 0 with one, null where nothing can be compared
+                    around = len(held) > len(all_terms) or any(held[w] > 1 for w in all_terms)
+                    strange = int(all(held[w] == 1 for w in all_terms)) if all_terms and around else None
+                    body = set().union(*ts[1:]) if len(ts) > 1 else set()
+                    apart = int(ts[0].isdisjoint(body)) if body and ts[0] else None
+                    holder = patterns and placeholder(text)
+                    marked = sum(m[1] for m in ms if m[2] == 1)
+                    size = sum(m[1] for m in ms if m[2] != 2)
+                    # equal segments of a turn go together
+                    merged: dict[tuple[str, int], int] = Counter()
+                    for s, w, m, _ in ms:
+                        merged[s, m] += w
+                    merged = merged or {("", 2): 0}
+                    for (s, m), w in merged.items():
+                        # whether a quarter of the turn's other words are in marked segments
+                        beside = marked - w * (m == 1) > 0 and 4 * (marked - w * (m == 1)) >= size - w * (m != 2)
+                        row = (doc, host, no, xxhash.xxh3_64_intdigest(s) - (1 << 63), w, m, beside, strange, apart, holder)
+                        for c, v in zip(cols, row):
+                            c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+
+    return run
+
+
+def _rates(each: DataFrame, *keys: str) -> DataFrame:
+    """Turns, those that can be compared, and those with each kind of evidence, by the keys."""
+    parts = {"turns": F.lit(1), "beside": F.col("others").cast("int"), "placed": F.col("strange").isNotNull().cast("int"), "strange": F.col("strange"), "headed": F.col("apart").isNotNull().cast("int"), "apart": F.col("apart")}
+    return each.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in parts.items()])
+
+
+def page_phrases(rows: DataFrame, least_conversations: int = 2, bits: float = 5.5, drawn: int = 3) -> DataFrame:
+    """``seg, weight, most``: phrases that the evidence of all their turns shows to be parts of such pages, their bits, and
+    whether they stand beside marked segments in most of their turns.
+
+    The counts are exact, over all turns, and aggregated in steps (conversation, host, phrase) before the phrases meet the
+    three rates of the whole corpus, one row.
+    """
+    phrases = rows.where("mark = 0 and words > 2")
+    # phrases of no turn with evidence can't be learned
+    hint = phrases.where("others or strange = 1").select("seg").distinct()
+    some = phrases.join(hint, "seg", "left_semi")
+    by_doc = _rates(some, "seg", "host", "doc_id")
+    sums = [F.sum(c).alias(c) for c in ("turns", "beside", "placed", "strange", "headed", "apart")]
+    by_host = by_doc.groupBy("seg", "host").agg(F.count(F.lit(1)).alias("docs"), *sums)
+    per_turn = rows.groupBy("doc_id", "turn_no").agg(F.max("others").alias("others"), F.max("strange").alias("strange"), F.max("apart").alias("apart"))
+    whole = _rates(per_turn).select(*[((F.col(k) + 1) / (F.col(n) + 2)).alias(f"all_{k}") for k, n in _EVIDENCE])
+    # hosts have equal say: rates are means over them; a rate of few turns is drawn to the corpus' as by ``drawn`` more
+    means = [F.avg(F.when(F.col(n) > 0, F.col(k) / F.col(n))).alias(f"mean_{k}") for k, n in _EVIDENCE]
+    seen = [F.sum(n).alias(f"n_{k}") for k, n in _EVIDENCE] + [F.sum("beside").alias("beside_turns")]
+    stat = by_host.groupBy("seg").agg(F.sum("docs").alias("docs"), *means, *seen).where(F.col("docs") >= least_conversations)
+    stat = stat.crossJoin(F.broadcast(whole))  # a single row
+    weight = F.lit(0.0)
+    for k, _ in _EVIDENCE:
+        n, mean, base = F.col(f"n_{k}"), F.coalesce(F.col(f"mean_{k}"), F.lit(0.0)), F.col(f"all_{k}")
+        gain = F.log2((mean * n + drawn * base) / (n + drawn) / base)
+        weight = weight + (F.greatest(gain, F.lit(0.0)) if k == "beside" else gain)  # to stand alone speaks for nothing
+    most = F.coalesce(F.col("beside_turns") >= 0.5 * F.col("n_beside"), F.lit(False))
+    return stat.withColumn("weight", weight).where(most | (F.col("weight") >= bits)).select("seg", "weight", most.alias("most"))
+
+
+#: Kinds of evidence: turns that show it, turns that could.
+_EVIDENCE = (("beside", "turns"), ("strange", "placed"), ("apart", "headed"))
+
+
+def residue_turns(
+    df: DataFrame, id_col: str = "doc_id", turns_col: str = "turns", source_col: str = "source", least_conversations: int = 2, bits: float = 5.5, patterns: bool = True
+) -> DataFrame:
     """``doc_id, turn_no, kind``: the turns that are no words of a user; kind is ``placeholder`` or ``page``.
 
     Null, empty and blank turns are no cases, nor are rows with a null id; a repeated delivery counts once; other columns
-    are left out; an empty table gives an empty one. Turns are read whole, whatever their length.
+    are left out; an empty table gives an empty one. Turns are read whole, whatever their length; a missing or null source is
+    a host of its own. Without ``patterns`` no detector is used and the evidence of the corpus decides alone.
     """
-    turns = explode_turns(df, id_col, turns_col)
+    host = F.col(source_col).cast("string") if source_col in df.columns else F.lit(None).cast("string")
+    turns = df.where(F.col(id_col).isNotNull() & F.col(turns_col).isNotNull()).select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(host, F.lit("")).alias("host"), F.col(turns_col).alias("turns"))
     # written once, as all segments of all turns are read three times
-    rows = cut(spread(turns, "doc_id").distinct().mapInArrow(
-        _rows, "doc_id string, turn_no int, seg bigint, words int, mark int, others boolean, holder boolean"
-    ))
-    # evidence: conversations that hold the phrase, and in how many of its turns something else was marked; a phrase that
-    # never stands beside a mark can't be learned
-    phrases = rows.where("mark = 0 and words > 2")
-    stat = phrases.join(phrases.where("others").select("seg").distinct(), "seg", "left_semi").groupBy("seg").agg(
-        F.count(F.lit(1)).alias("turns"), F.approx_count_distinct("doc_id").alias("docs"), F.avg(F.col("others").cast("int")).alias("share")
-    )
-    learned = stat.where((F.col("docs") >= least_conversations) & (F.col("share") >= 0.5)).select("seg", F.lit(1).alias("part"))
-    judged = rows.join(learned, "seg", "left")
-    bad = (F.col("mark") == 1) | F.col("part").isNotNull()
+    rows = cut(spread(turns, "doc_id").dropDuplicates(["doc_id", "turns"]).mapInArrow(_rows(patterns), _SCHEMA))
+    judged = rows.join(page_phrases(rows, least_conversations, bits), "seg", "left")
+    part = F.col("weight").isNotNull() & (F.col("mark") == 0)
+    bad = (F.col("mark") == 1) | part
     weigh = F.when(F.col("mark") == 2, 0).otherwise(F.col("words"))
     verdict = judged.groupBy("doc_id", "turn_no").agg(
-        F.sum(F.when(bad, weigh).otherwise(0)).alias("bad"), F.sum(weigh).alias("all"), F.max("holder").alias("holder"), F.max(bad).alias("any")
+        F.sum(F.when(bad, weigh).otherwise(0)).alias("bad"), F.sum(weigh).alias("all"), F.max("holder").alias("holder"), F.max(bad).alias("any"),
+        F.max((F.col("mark") == 1) | (part & F.col("most"))).alias("marked"), F.max(F.coalesce("strange", F.lit(1)) == 1).alias("strange"),
     )
-    page = F.col("any") & (F.col("bad") >= 0.75 * F.col("all"))
+    page = F.col("any") & (F.col("bad") >= 0.75 * F.col("all")) & (F.coalesce("marked", F.lit(False)) | F.col("strange"))
     return verdict.where(F.col("holder") | page).select("doc_id", "turn_no", F.when(F.col("holder"), "placeholder").otherwise("page").alias("kind"))
 
 
