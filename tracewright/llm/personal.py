@@ -1,12 +1,19 @@
 """Problem 2: personal information in free text, found and replaced by typed placeholders.
 
-Information-theoretic sanitisation. Patterns propose items; for names and towns the corpus decides. Every term (given
-name, surname, town) is weighed by how strongly it discloses a protected entity: the share of its occurrences that
-stand in a slot which a strong cue (a title, an introduction, a full address) opens, against the share of any term. A
-term whose disclosure, in bits, exceeds the threshold and which was seen in two turns or more identifies also where no cue
-stands and whatever its case; a cue with terms that disclose nothing is dropped.
-
-The statistics cover all turns. Terms meet their candidates in joins, so that no list of names is ever broadcast.
+Information-theoretic sanitisation. Patterns only propose; what the corpus shows decides, for every kind, by disclosure in
+bits: how much more often a term goes with protected entities than any term does.
+
+* Names and towns: every term (given name, surname, town) is weighed by the share of its occurrences that stand in a slot
+  which a strong cue (a title, an introduction, a full address) opens, against the share of any term. A term whose
+  disclosure exceeds the threshold and which was seen in two turns or more identifies also where no cue stands: in
+  capitals anywhere, in lower case after a cue or on a line of its own. A cue with terms that disclose nothing is dropped.
+* Emails, numbers and addresses: every slot of the corpus that holds a long number or a proposed item counts for the word
+  before it. An item's disclosure is the log ratio of its kind's share of the slots after that word and its share of all
+  slots, and the mean of that over all items of its shape. Items whose words open slots of other things (orders, books,
+  machines) fall below the threshold and stay; a cue that names the kind itself adds its own bits.
+
+All measures are shares, rates and bits, so that they mean the same at every size. The statistics cover all turns. Terms
+meet their candidates in joins, so that no list of names is ever broadcast.
 """
 
 from __future__ import annotations
@@ -114,41 +121,62 @@ _CUE = regex.compile(rf"(?:(?<![\p{{L}}]){_TITLE}|{_INTRO})[ \t]*\n?\s?", _I)
 _FORM_CAP = regex.compile(rf"(?P<a>{_cap}|\p{{Lu}}\.)(?P<comma>,)?(?:\s\p{{Lu}}\.)?{_part}\s(?P<b>{_cap})(?!['’\-]?\p{{L}})")
 _FORM_ANY = regex.compile(rf"(?P<a>{_any}|\p{{L}}\.)(?P<comma>,)?(?:\s\p{{L}}\.)?{_part}\s(?P<b>{_any})(?!['’\-]?\p{{L}})", _I)
 _WORD = regex.compile(r"[\p{L}][\p{L}'’]+")
+# a word and what may stand between it and a number
+_BEFORE = regex.compile(r"([\p{L}][\p{L}'’\-]*)[^\p{L}\p{N}\n]{0,6}$")
+_NUMBER = regex.compile(r"(?<![\p{L}\p{N}])\d(?:[ .\-/]?\d){4,}")
+# what must be there before the costlier patterns are tried
+_AT = regex.compile(r"[@＠]|[\[({]\s?(?:at|arroba|chez|ät)\s?[\])}]|\s(?:DOT|dot)\s")
+_DE_HINT = regex.compile(r"(?:straße|strasse|str\.|gasse|weg|platz|allee|damm|ufer|ring|steig|markt|straat|laan|plein|gracht|kade|singel|dijk)\s\d", _I)
+_DIGIT = regex.compile(r"\d")
 _WIDE = str.maketrans("０１２３４５６７８９＋（）－．", "0123456789+().-")
 
 
+_OTHER = regex.compile(r"(?:tel\w*|phone|call|ring)\W{0,3}(?:no|number|nr)?\W{0,4}$")
+
+
 def _free(spans: list[tuple], start: int, end: int) -> bool:
-    return all(end <= s or start >= e for _, s, e in spans)
+    return all(end <= x[1] or start >= x[2] for x in spans)
 
 
-def structured(text: str) -> list[tuple[str, int, int]]:
-    """Emails, numbers of identity and phones of a turn: kind, start, end."""
-    spans: list[tuple[str, int, int]] = []
-    for m in _EMAIL.finditer(text):
-        spans.append(("email", m.start(), m.end()))
+def structured(text: str) -> list[tuple[str, int, int, str, int]]:
+    """Emails, numbers of identity and phones of a turn: kind, start, end, shape, strength of the cue."""
+    spans: list[tuple] = []
+    if _AT.search(text):
+        for m in _EMAIL.finditer(text):
+            spans.append(("email", m.start(), m.end(), "email", 0))
     plain = text.translate(_WIDE)  # one character for one
-    for m in _ID_CUE.finditer(plain):
-        if (v := _ID_ANY.match(plain, m.end())) and _free(spans, v.start(), v.end()):
-            spans.append(("id_number", v.start(), v.end()))
-    for rx in _ID:
-        for m in rx.finditer(plain):
-            before = plain[max(0, m.start() - 24) : m.start()].lower()
-            if _free(spans, m.start(), m.end()) and not regex.search(r"(?:order|invoice|ticket|catalogue|isbn|build|version|ref\w*|tel\w*|phone|call|ring)\W{0,3}(?:no|number|nr)?\W{0,4}$", before):
-                spans.append(("id_number", m.start(), m.end()))
+    digits = bool(_DIGIT.search(plain))
+    if digits:
+        for m in _ID_CUE.finditer(plain):
+            if (v := _ID_ANY.match(plain, m.end())) and _free(spans, v.start(), v.end()):
+                spans.append(("id_number", v.start(), v.end(), "cue", 3))
+        for i, rx in enumerate(_ID):
+            for m in rx.finditer(plain):
+                before = plain[max(0, m.start() - 24) : m.start()].lower()
+                if _free(spans, m.start(), m.end()) and not _OTHER.search(before):
+                    spans.append(("id_number", m.start(), m.end(), f"id{i}", 0))
     for m in _SPOKEN.finditer(plain):
-        spans.append(("phone", m.start(), m.end()))
-    for rx in _PHONE:
-        for m in rx.finditer(plain):
-            digits = sum(c.isdigit() for c in m.group())
-            if 8 <= digits <= 15 and _free(spans, m.start(), m.end()):
-                spans.append(("phone", m.start(), m.end()))
+        spans.append(("phone", m.start(), m.end(), "spoken", 0))
+    if digits:
+        for i, rx in enumerate(_PHONE):
+            for m in rx.finditer(plain):
+                if 8 <= sum(map(str.isdigit, m.group())) <= 15 and _free(spans, m.start(), m.end()):
+                    spans.append(("phone", m.start(), m.end(), f"phone{i}", 0))
     return spans
 
 
+def before(text: str, start: int) -> str:
+    """The word before a place in a text, in lower case; empty where a line or the text begins."""
+    m = _BEFORE.search(text, max(0, start - 32), start)
+    return m.group(1).lower() if m else ""
+
+
 def addresses(text: str, taken: list[tuple]) -> list[dict]:
     """Addresses of a turn, each with its possible ends: the street alone, or with one to three words of a town."""
     out = []
-    for rx in (_EN, _FR, _ES, _DE):
+    if not _DIGIT.search(text):
+        return out
+    for rx in (_EN, _FR, _ES, *([_DE] if _DE_HINT.search(text) else [])):
         for m in rx.finditer(text):
             start, end = m.start(), m.end()
             if not _free(taken, start, end) or any(not (end <= a["start"] or start >= a["reach"]) for a in out):
@@ -237,6 +265,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         cols: list[list] = [[] for _ in fields]
         count: Counter = Counter()
+        numbers: Counter = Counter()
 
         def put(*row) -> None:
             for c, v in zip(cols, row):
@@ -245,37 +274,68 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, no, text in zip(*(b.column(i).to_pylist() for i in range(3))):
             body = without_code(text)
             spans = structured(body)
-            for kind, s, e in spans:
-                put(doc, no, kind, s, e, text[s:e], None, None, 0, 0)
+            for kind, s, e, shape, cue in spans:
+                put(doc, no, kind, s, e, text[s:e], before(body, s), shape, cue, 0)
             taken = list(spans)
             for k, a in enumerate(addresses(body, spans)):
                 strength = 3 if a["exact"] else 2 if a["named"] else 1 if a["cue"] else 0
+                word = before(body, a["start"])
                 for e, town in a["ends"]:
-                    put(doc, no, "street_address", a["start"], e, text[a["start"] : e], town, None, strength, k)
+                    put(doc, no, "street_address", a["start"], e, text[a["start"] : e], town, word, strength, k)
                 taken.append(("street_address", a["start"], a["reach"]))
+            for m in _NUMBER.finditer(body):
+                if _free(taken, m.start(), m.end()):
+                    numbers[before(body, m.start())] += 1
             masked = list(body)
-            for _, s, e in spans:
+            for _, s, e, *_ in spans:
                 masked[s:e] = " " * (e - s)
             rest = "".join(masked)
             for s, e, given, sur, cue in names(rest, taken):
                 put(doc, no, "person_name", s, e, text[s:e], given, sur, cue, 0)
             count.update({w.lower() for w in _WORD.findall(rest)})
+            count[""] += 1  # the turn itself
         for w, n in count.items():  # in how many turns a term occurs
             put(None, n, "term", 0, 0, None, w, None, 0, 0)
+        for w, n in numbers.items():  # how many numbers that are no items follow a word
+            put(None, n, "number", 0, 0, None, w, None, 0, 0)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], fields)
 
 
-def personal_spans(df: DataFrame, id_col: str = "doc_id", turns_col: str = "turns", bits: float = 4.0, share: float = 0.15, least: int = 2) -> DataFrame:
+def slot_bits(items: DataFrame, numbers: DataFrame) -> DataFrame:
+    """``kind, word, shape, bits`` of the emails, numbers and addresses: what the word before and the shape disclose.
+
+    ``items`` has a row for each item (``kind, word, shape``), ``numbers`` the other numbers after a word (``word, n``).
+    Aggregated before anything is joined; kinds are a table of four rows, shapes one of about thirty.
+    """
+    n = items.groupBy("kind", "word", "shape").agg(F.count(F.lit(1)).alias("c"))
+    by_word = n.groupBy("kind", "word").agg(F.sum("c").alias("here"))
+    slots = by_word.select("word", F.col("here").alias("n")).unionByName(numbers).groupBy("word").agg(F.sum("n").alias("slots"))
+    whole = slots.agg(F.sum("slots").alias("all"))
+    kinds = by_word.groupBy("kind").agg(F.sum("here").alias("of_kind")).crossJoin(F.broadcast(whole))  # a single row
+    base = F.col("of_kind") / F.col("all")
+    # no item vouches for itself; the share of a word with few slots is drawn to that of all slots, as by one more slot
+    word_bits = F.log2((F.col("here") - 1 + base) / F.col("slots") / base)
+    words = by_word.join(slots, "word").join(F.broadcast(kinds), "kind").select("kind", "word", F.when(F.col("word") == "", 0.0).otherwise(word_bits).alias("word_bits"))
+    each = n.join(words, ["kind", "word"])
+    shapes = each.groupBy("kind", "shape").agg((F.sum(F.col("c") * F.col("word_bits")) / (F.sum("c") + 10)).alias("shape_bits"))  # a rare shape says little
+    return each.join(F.broadcast(shapes), ["kind", "shape"]).select("kind", "word", "shape", (F.col("word_bits") + F.col("shape_bits")).alias("bits"))
+
+
+def personal_spans(
+    df: DataFrame, id_col: str = "doc_id", turns_col: str = "turns", bits: float = 4.0, share: float = 0.15, least: int = 2, against: float = 2.5, rare_bits: float = 12.0
+) -> DataFrame:
     """``doc_id, turn_no, kind, start, stop, found``: items of personal information, with their place in the turn.
 
-    ``bits`` is the disclosure beyond which a term identifies, ``share`` the least part of its occurrences in slots,
-    ``least`` the least number of turns. Null, empty and blank turns and null ids have none; a repeated delivery counts
-    once; other columns are left out; an empty table gives an empty one. Turns are read whole.
+    ``bits`` is the disclosure beyond which a name or town identifies, ``share`` the least part of its occurrences in
+    slots, ``least`` the least number of turns, without which there is no rate. Emails, numbers and addresses fall where
+    word and shape speak against them by more than ``against`` bits. A surname counts as hardly known where other turns
+    that hold it carry ``rare_bits`` of information or more. Null, empty and blank turns and null ids have none; a
+    repeated delivery counts once; other columns are left out; an empty table gives an empty one. Turns are read whole.
     """
     turns = explode_turns(df, id_col, turns_col)
     raw = cut(spread(turns, "doc_id").mapInArrow(_candidates, _SCHEMA))
-    items = raw.where("kind <> 'term'").distinct()
-    total = raw.where("kind = 'term'").groupBy(F.col("given").alias("term")).agg(F.sum("turn_no").alias("n"))
+    items = raw.where("kind not in ('term', 'number')").distinct()
+    total = raw.where("kind = 'term' and given <> ''").groupBy(F.col("given").alias("term")).agg(F.sum("turn_no").alias("n"))
     person = items.where("kind = 'person_name'")
     slots = person.where("cue >= 2 and sur <> ''").select(F.explode(F.array(F.struct(F.lit("g").alias("role"), F.col("given").alias("term")), F.struct(F.lit("s").alias("role"), F.col("sur").alias("term")))).alias("t"))
     slots = slots.select("t.*").where("term <> ''").groupBy("role", "term").agg(F.count(F.lit(1)).alias("slot"))
@@ -283,19 +343,27 @@ def personal_spans(df: DataFrame, id_col: str = "doc_id", turns_col: str = "turn
     filled = slots.groupBy("role").agg(F.sum("slot").alias("slots"))
     weighed = slots.join(total, "term").join(F.broadcast(filled), "role").crossJoin(F.broadcast(whole))  # two rows, one row
     disclosed = F.log2((F.col("slot") / F.col("n")) / (F.col("slots") / F.col("all")))
-    weighed = weighed.where((F.col("slot") >= least) & (F.col("slot") >= share * F.col("n")) & (disclosed >= bits))
-    given = weighed.where("role = 'g'").select(F.col("term").alias("given"), F.lit(1).alias("is_given"))
-    sur = weighed.where("role = 's'").select(F.col("term").alias("sur"), F.lit(1).alias("is_sur"))
-    often = total.select(F.col("term").alias("given"), F.col("n").alias("given_n"))
-    also = total.select(F.col("term").alias("sur"), F.col("n").alias("sur_n"))
-    judged = person.join(given, "given", "left").join(sur, "sur", "left").join(often, "given", "left").join(also, "sur", "left")
-    g, s = F.col("is_given").isNotNull() | (F.col("given") == ""), F.col("is_sur").isNotNull()
-    rare = F.coalesce(F.col("given_n"), F.lit(0)) <= 3  # a term the corpus hardly knows, behind a title
-    unseen = F.coalesce(F.col("sur_n"), F.lit(0)) <= 3
-    sure = ((F.col("cue") >= 1) & F.col("is_given").isNotNull() & unseen) | (g & s & ((F.col("given") != "") | (F.col("cue") >= 1))) | ((F.col("cue") >= 2) & (g | s)) | ((F.col("cue") == 3) & rare)
+    weighed = weighed.where((F.col("slot") >= share * F.col("n")) & (disclosed >= bits))
+    role = lambda r, name: weighed.where(F.col("role") == r).select(F.col("term").alias(name), F.col("slot").alias(f"{name}_slot"))
+    n_turns = raw.where("kind = 'term' and given = ''").agg(F.sum("turn_no").alias("turns"))
+    also = total.crossJoin(F.broadcast(n_turns)).where((F.col("n") - 1) * 2.0**rare_bits > F.col("turns")).select(F.col("term").alias("sur"), F.lit(1).alias("usual"))
+    judged = person.join(role("g", "given"), "given", "left").join(role("s", "sur"), "sur", "left").join(also, "sur", "left")
+    is_given, is_sur = F.coalesce(F.col("given_slot") >= least, F.lit(False)), F.coalesce(F.col("sur_slot") >= least, F.lit(False))
+    g = is_given | (F.col("given") == "")
+    rare = F.col("given_slot").isNotNull()  # a term that stands in slots, if only in this one, behind a title
+    sure = ((F.col("cue") >= 1) & is_given & F.col("usual").isNull()) | (g & is_sur & ((F.col("given") != "") | (F.col("cue") >= 1))) | ((F.col("cue") >= 2) & (g | is_sur)) | ((F.col("cue") == 3) & rare)
     people = judged.where(sure).select("doc_id", "turn_no", "kind", "start", "stop", "found")
+    # emails, numbers and addresses by the slots they stand in
+    place = items.where("kind = 'street_address'").withColumnRenamed("sur", "word")
+    rest = items.where("kind in ('email', 'phone', 'id_number')").withColumnRenamed("sur", "shape").withColumnRenamed("given", "word")
+    once = place.groupBy("doc_id", "turn_no", "start", "place").agg(F.first("word").alias("word"), F.max("cue").alias("cue"))
+    numbers = raw.where("kind = 'number'").groupBy(F.col("given").alias("word")).agg(F.sum("turn_no").alias("n"))
+    shown = rest.select("kind", "word", "shape").unionByName(once.select(F.lit("street_address").alias("kind"), "word", F.concat(F.lit("address"), "cue").alias("shape")))
+    weights = cut(slot_bits(shown, numbers))
+    own = F.when(F.col("cue") == 3, bits).otherwise(0.0)  # a cue that names the kind, an address shown whole
+    kept = lambda d: d.where(F.col("bits") + own >= -against)
+    rest = kept(rest.join(weights, ["kind", "word", "shape"])).select("doc_id", "turn_no", "kind", "start", "stop", "found")
     # towns: phrases that stand where an address shows them whole, seen in two turns or more
-    place = items.where("kind = 'street_address'")
     last = F.max("stop").over(_one_place())
     towns = place.withColumn("last", last).where("cue = 3 and stop = last and given <> ''").groupBy(F.col("given").alias("given")).agg(F.count(F.lit(1)).alias("seen"))
     towns = towns.where(F.col("seen") >= least).select("given", F.lit(1).alias("is_town"))
@@ -305,9 +373,9 @@ def personal_spans(df: DataFrame, id_col: str = "doc_id", turns_col: str = "turn
     one_word = (F.col("cue") >= 1) & (F.col("given") != "") & ~F.col("given").contains(" ")
     rank = F.when(known, 3).when((F.col("cue") == 3) & (F.col("stop") == F.col("last")), 2).when(one_word, 1).otherwise(0)
     placed = placed.withColumn("rank", rank).withColumn("far", F.when(F.col("rank") == 0, -F.col("stop")).otherwise(F.col("stop")))
-    best = placed.groupBy("doc_id", "turn_no", "start", "place").agg(F.max_by(F.struct("stop", "found", "cue"), F.struct("rank", "far")).alias("b"), F.max("rank").alias("rank"))
-    best = best.where("b.cue >= 1 or rank = 3").select("doc_id", "turn_no", F.lit("street_address").alias("kind"), "start", "b.stop", "b.found")
-    rest = items.where("kind not in ('person_name', 'street_address')").select("doc_id", "turn_no", "kind", "start", "stop", "found")
+    best = placed.groupBy("doc_id", "turn_no", "start", "place").agg(F.max_by(F.struct("stop", "found", "cue", "word"), F.struct("rank", "far")).alias("b"), F.max("rank").alias("rank"))
+    best = best.where("b.cue >= 1 or rank = 3").select("doc_id", "turn_no", F.lit("street_address").alias("kind"), "start", "b.*")
+    best = kept(best.withColumn("shape", F.concat(F.lit("address"), "cue")).join(weights, ["kind", "word", "shape"])).select("doc_id", "turn_no", "kind", "start", "stop", "found")
     # of names that overlap, the longest
     inner, outer = people.alias("i"), people.select("doc_id", "turn_no", F.col("start").alias("s2"), F.col("stop").alias("e2")).alias("o")
     over = (F.col("i.doc_id") == F.col("o.doc_id")) & (F.col("i.turn_no") == F.col("o.turn_no")) & (F.col("s2") < F.col("i.stop")) & (F.col("e2") > F.col("i.start"))
