@@ -5,10 +5,13 @@ words for each area; a conversation passes its area on to its sentences, in what
 words of another area's list takes that one. A word that sentences of all areas share, figures of speech with it, gets no
 weight, as its labels are spread evenly.
 
+An area without a list has the words of its name and scope note instead.
+
 The classifiers are fitted on a bounded sample of labelled conversations (``train_rows``, by a hash of the id, at most an
-eighth of it with the same language label, so that rare languages are learned as well). Fitted once, they correct the weak
-labels of the sample (a sentence that is clearly about another area, or about none) and are fitted again. A threshold for
-each area is calibrated on a held-out part of the sample. Prediction covers every sentence of every conversation: an
+eighth of it with the same language label, so that rare languages are learned as well); its sentences are cut and hashed in
+tasks. Fitted once, they correct the weak labels of the fitted part (a sentence that is clearly about another area, or
+about none) and are fitted again. A threshold for each area is calibrated on conversations held out from both fits, whose
+weak labels no model has touched. Prediction covers every sentence of every conversation: an
 area is assigned where two sentences or more are about it.
 """
 
@@ -23,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import spread
+from ..runtime import cut, spread
 from . import residue
 from ._turns import SENTENCE, explode_turns, without_code
 from .language import label_code
@@ -44,20 +47,31 @@ SEEDS = {
     "home_garden": "garden house repair lawn door wallpaper paint compost greenhouse gutter tap rose tile soil",
     "general": "weekend birthday greeting neighbour mood afternoon daily bedtime shopping cat polite lucky",
 }
-_AREAS = {w: a for a, words in SEEDS.items() for w in words.split()}
 BITS = 17
 _TOKEN = regex.compile(r"\p{Han}+|[\p{L}\p{M}]+(?:['’-][\p{L}\p{M}]+)*")
 _HAN = regex.compile(r"\p{Han}")
 _MAIL = regex.compile(r"\S+(?:@|\[at\]|\(at\))\S+|https?://\S+")
 
 
-def weak_areas(subject: str | None) -> list[str]:
+def seed_words(notes: dict[str, str | None]) -> dict[str, str]:
+    """The area each seed word stands for; words that several areas have stand for none."""
+    out: dict[str, str | None] = {}
+    for area, note in sorted(notes.items()):
+        given = SEEDS.get(area)
+        words = given.split() if given else [w for w in _TOKEN.findall(f"{area} {note or ''}".lower().replace("_", " ")) if len(w) > 3]
+        for w in set(words):
+            out[w] = area if out.get(w, area) == area else None
+    return {w: a for w, a in out.items() if a is not None}
+
+
+def weak_areas(subject: str | None, seeds: dict[str, str] | None = None) -> list[str]:
     """Areas whose words a subject phrase has most of."""
+    seeds = seed_words(dict.fromkeys(SEEDS)) if seeds is None else seeds
     votes: dict[str, int] = {}
     for w in _TOKEN.findall((subject or "").lower()):
         for v in (w, w.removesuffix("s")):
-            if v in _AREAS:
-                votes[_AREAS[v]] = votes.get(_AREAS[v], 0) + 1
+            if v in seeds:
+                votes[seeds[v]] = votes.get(seeds[v], 0) + 1
                 break
     most = max(votes.values(), default=0)
     return sorted(a for a, n in votes.items() if n == most)
@@ -93,8 +107,8 @@ def sentences(text: str, openers: frozenset[tuple[str, str]] = frozenset()) -> l
     return out
 
 
-def openers_of(texts: list[str], least: int = 8, share: float = 0.7) -> frozenset[tuple[str, str]]:
-    """Pairs of words that mostly stand at the beginning of sentences, in a sample of texts."""
+def opening_pairs(texts: list[str]) -> dict[tuple[str, str], tuple[int, int]]:
+    """How often a pair of neighbouring words stands anywhere, and how often at the beginning of a sentence."""
     start: dict[tuple[str, str], int] = {}
     anywhere: dict[tuple[str, str], int] = {}
     for text in texts:
@@ -104,7 +118,20 @@ def openers_of(texts: list[str], least: int = 8, share: float = 0.7) -> frozense
                 for pair in zip(w, w[1:]):
                     anywhere[pair] = anywhere.get(pair, 0) + 1
                 start[w[0], w[1]] = start.get((w[0], w[1]), 0) + 1
-    return frozenset(p for p, n in start.items() if n >= least and n >= share * anywhere[p])
+    return {p: (n, start.get(p, 0)) for p, n in anywhere.items()}
+
+
+def openers_of(some: DataFrame, least: int = 8, share: float = 0.7) -> frozenset[tuple[str, str]]:
+    """Pairs of words that mostly stand at the beginning of sentences, in a sample of texts (``text``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = opening_pairs(b.column(0).to_pylist())
+            cols = [[p[0] for p in got], [p[1] for p in got], [n for n, _ in got.values()], [m for _, m in got.values()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["a", "b", "n", "m"])
+
+    pairs = some.select("text").mapInArrow(run, "a string, b string, n bigint, m bigint").groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    return frozenset((r.a, r.b) for r in pairs.where((F.col("m") >= least) & (F.col("m") >= share * F.col("n"))).collect())
 
 
 class Features:
@@ -211,23 +238,23 @@ def _logistic(rows: list[list[int]], y: np.ndarray, areas: list[str], steps: int
     return Model(areas, weight, b, rarity)
 
 
-def fit(rows: list[list[int]], labels: np.ndarray, areas: list[str], steps: int = 30, rate: float = 1.0, shrink: float = 1e-6, spark=None) -> Model:
-    """Classifiers fitted twice, and thresholds of best F1 on a fifth held out."""
-    keep = [i for i, r in enumerate(rows) if r]
-    rows, y = [rows[i] for i in keep], labels[keep]
-    held = np.arange(len(rows)) % 5 == 4
-    first = _logistic([r for r, h in zip(rows, held) if not h], y[~held], areas, steps, rate, shrink, spark)
-    if rows and areas:
-        p = first.scores(rows)
+def fit(rows: list[list[int]], labels: np.ndarray, areas: list[str], held: np.ndarray, steps: int = 30, rate: float = 1.0, shrink: float = 1e-6, spark=None) -> Model:
+    """Classifiers fitted twice on the rows that aren't held out, and thresholds of best F1 on the untouched labels of those that are."""
+    has = np.array([bool(r) for r in rows], bool)
+    fitted = [r for r, ok in zip(rows, has & ~held) if ok]
+    y = labels[has & ~held]
+    first = _logistic(fitted, y, areas, steps, rate, shrink, spark)
+    if fitted and areas:
+        p = first.scores(fitted)
         top = p.argmax(1)
         y = y * (p >= 0.15)  # about none of its labels: figures of speech, thanks, addresses
-        sure = p[np.arange(len(rows)), top] >= 0.5
+        sure = p[np.arange(len(fitted)), top] >= 0.5
         y[sure] = y[sure] * (p[sure] >= 0.3)
         y[np.flatnonzero(sure), top[sure]] = 1
-    model = _logistic([r for r, h in zip(rows, held) if not h], y[~held], areas, 3 * steps, rate, shrink, spark)
-    if held.any():
-        p = model.scores([r for r, h in zip(rows, held) if h])
-        yh = y[held] > 0
+    model = _logistic(fitted, y, areas, 3 * steps, rate, shrink, spark)
+    if (has & held).any():
+        p = model.scores([r for r, ok in zip(rows, has & held) if ok])
+        yh = labels[has & held] > 0
         for j in range(len(areas)):
             best = (-1.0, 0.5)
             for t in np.arange(0.3, 0.71, 0.05):
@@ -238,12 +265,13 @@ def fit(rows: list[list[int]], labels: np.ndarray, areas: list[str], steps: int
     return model
 
 
-def train(df: DataFrame, labels: DataFrame, areas: list[str], id_col: str = "doc_id", turns_col: str = "turns", label_col: str = "language_primary", train_rows: int = 8_000, seed: int = 5) -> Model:
-    """Classifiers from at most about ``train_rows`` conversations with a weak label."""
+def train(df: DataFrame, labels: DataFrame, notes: dict[str, str | None], id_col: str = "doc_id", turns_col: str = "turns", label_col: str = "language_primary", train_rows: int = 8_000, seed: int = 5) -> Model:
+    """Classifiers from at most about ``train_rows`` conversations with a weak label; ``notes`` are the areas and their scope notes."""
+    areas, seeds = sorted(notes), seed_words(notes)
 
     @F.pandas_udf("array<string>")
     def weak(subjects):
-        return subjects.map(weak_areas)
+        return subjects.map(lambda x: weak_areas(x, seeds))
 
     named = labels.where(F.col("subject").isNotNull() & F.col(id_col).isNotNull())
     named = named.groupBy(F.col(id_col).cast("string").alias("doc_id")).agg(F.min("subject").alias("subject")).select("doc_id", weak("subject").alias("weak"))
@@ -258,24 +286,37 @@ def train(df: DataFrame, labels: DataFrame, areas: list[str], id_col: str = "doc
     expected = share.agg(F.sum(F.col("n") * F.col("part"))).first()[0] or 0.0
     part = F.col("part") * min(1.0, train_rows / max(1.0, expected))
     named = named.join(share, "label").where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < part * (1 << 20)).select("doc_id", "weak")
-    some = explode_turns(df, id_col, turns_col).join(named, "doc_id").select("text", "weak").orderBy(F.xxhash64("text")).collect()
-    openers = openers_of([r.text for r in some])
-    features, rows, y = Features(), [], []
+    some = cut(explode_turns(df, id_col, turns_col).join(named, "doc_id").select("doc_id", "text", "weak"))
+    openers = openers_of(some)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features()
+        for b in batches:
+            held, rows, own = [], [], []
+            for test, text, weak_ in zip(*(b.column(i).to_pylist() for i in range(3))):
+                for s, _ in sentences(text, openers):
+                    words: dict[str, int] = {}
+                    for w in _TOKEN.findall(s.lower()):
+                        if w in seeds:
+                            words[seeds[w]] = words.get(seeds[w], 0) + 1
+                    clear = [a for a, n in words.items() if n >= 2 and n == sum(words.values())]
+                    held.append(test)
+                    rows.append(features.of(s))
+                    own.append(weak_ if test else clear or weak_)
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.bool_()), pa.array(rows, pa.list_(pa.int32())), pa.array(own, pa.list_(pa.string()))], ["held", "row", "own"])
+
+    # whole conversations are held out; the sample's size is bounded by train_rows, its order made the same in every run
+    test = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(5)) == 0
+    made = some.select(test.alias("held"), "text", "weak").mapInArrow(run, "held boolean, row array<int>, own array<string>")
+    got = made.orderBy(F.xxhash64("row"), "own", "held").toArrow()
+    rows = got.column("row").to_pylist()
     place = {a: i for i, a in enumerate(areas)}
-    for text, weak_ in some:  # a sample whose size is bounded by train_rows
-        for s, _ in sentences(text, openers):
-            own = {}
-            for w in _TOKEN.findall(s.lower()):
-                if w in _AREAS:
-                    own[_AREAS[w]] = own.get(_AREAS[w], 0) + 1
-            clear = [a for a, n in own.items() if n >= 2 and n == sum(own.values())]
-            row = np.zeros(len(areas), np.float32)
-            for a in clear or weak_:
-                if a in place:
-                    row[place[a]] = 1
-            rows.append(features.of(s))
-            y.append(row.astype(np.float32))
-    model = fit(rows, np.array(y, np.float32).reshape(-1, len(areas)), areas, spark=df.sparkSession)
+    y = np.zeros((len(rows), len(areas)), np.float32)
+    for i, own in enumerate(got.column("own").to_pylist()):
+        for a in own:
+            if a in place:
+                y[i, place[a]] = 1
+    model = fit(rows, y, areas, np.array(got.column("held").to_pylist(), bool), spark=df.sparkSession)
     model.openers = openers
     return model
 
@@ -287,17 +328,18 @@ def subject_areas(
 
     ``general`` stands only where no other area does and a user's words are there. Turns that are leftovers (problem 4)
     don't count, nor do code, markers and addresses. Null ids, null and blank turns are left out; a
-    repeated delivery counts once; other columns are left out; an empty table gives an empty one. Areas without a list of
-    words can't be learned and don't come out; a subject without a known word is no label.
+    repeated delivery counts once; other columns are left out; an empty table gives an empty one. A subject without a known
+    word is no label.
     """
     spark = df.sparkSession
-    got = areas.where(F.col("area").isNotNull()).select("area").distinct().limit(most_areas + 1).collect()
+    note = F.col("scope_note").cast("string") if "scope_note" in areas.columns else F.lit(None).cast("string")
+    got = areas.where(F.col("area").isNotNull()).groupBy("area").agg(F.min(note).alias("note")).limit(most_areas + 1).collect()
     if len(got) > most_areas:
         raise ValueError(f"more than {most_areas} areas: not a table to hand to every task")
-    names = sorted({r.area for r in got} & set(SEEDS))
-    if not names:
+    notes = {r.area: r.note for r in got}
+    if not notes:
         return spark.createDataFrame([], "doc_id string, area string, sentences double")
-    model = spark.sparkContext.broadcast(train(df, labels, names, id_col, turns_col, **train_with))
+    model = spark.sparkContext.broadcast(train(df, labels, notes, id_col, turns_col, **train_with))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, m = Features(), model.value
