@@ -52,6 +52,16 @@ def test_equal_vectors_go_by_id(spark):
     assert {tuple(r) for r in N.found_pairs(frame(spark, x), bucket=1000).collect()} == want
 
 
+def test_ties_of_a_direction_with_many_norms_go_by_id(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=96).astype(np.float32)
+    x = np.concatenate([np.stack([v * np.float32(2.0**j) for j in rng.permutation(12) - 6]), rng.normal(size=(5, 96)).astype(np.float32)])
+    df = frame(spark, x)
+    want = N.brute_force(N.usable(df, "doc_id", "features", 96).toPandas())
+    assert {tuple(r) for r in N.found_pairs(df, bucket=1000).collect()} == want
+    assert {tuple(r) for r in N.found_pairs(df, bucket=1000, block=4).collect()} == want
+
+
 def test_small_tables(spark):
     one = np.ones((1, 96), np.float32)
     assert N.nearest(frame(spark, one)).count() == 0

@@ -7,7 +7,9 @@ visitors are compared with all that are stored, by matrix products; a pair count
 of all tables are compared exactly, in double precision.
 
 * K follows the logarithm of the number of vectors, so that buckets keep their size as the table grows.
-* Equal vectors are one class: they are compared once and expanded to documents at the end, each side by at most k.
+* Equal vectors are one class: they are compared once and expanded to documents at the end, each side by at most k. Classes
+  are numbered in the order of their smallest ids, so that ties between classes (one direction with many norms, say) go
+  by the smaller id wherever candidates are cut to k.
 * A bucket with more than ``block`` vectors, a hot one say, is cut into blocks and done block by block, all of them; no
   task ever holds more than ``block`` stored vectors and ``2 * block`` visitors of it at once.
 """
@@ -92,18 +94,22 @@ def _best(left: np.ndarray, lid: np.ndarray, right: np.ndarray, rid: np.ndarray,
     """For each row of left its k nearest rows of right, exact to double precision; (id, id, similarity)."""
     s = left.astype(np.float32) @ right.astype(np.float32).T
     s[lid[:, None] == rid[None, :]] = -9
-    m = min(k + 3, s.shape[1])
-    pick = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < s.shape[1] else np.broadcast_to(np.arange(m), s.shape)
-    rows = np.repeat(np.arange(len(left)), m)
-    cols = pick.ravel()
-    exact = np.round(np.einsum("ij,ij->i", left[rows], right[cols]), 12)
-    keep = lid[rows] != rid[cols]
-    rows, cols, exact = rows[keep], cols[keep], exact[keep]
-    order = np.lexsort((rid[cols], -exact, rows))
-    rows, cols, exact = rows[order], cols[order], exact[order]
-    start = np.searchsorted(rows, rows)
-    keep = np.arange(len(rows)) - start < k
-    return lid[rows[keep]], rid[cols[keep]], exact[keep]
+    # all that can be among the k in double precision: single precision is off by less than 1e-5
+    kth = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else s.min(axis=1)
+    near = (s >= kth[:, None] - np.float32(1e-5)) & (s > -8)
+    # rows in pieces of bounded size, should many be tied
+    n = near.sum(axis=1)
+    piece = np.cumsum(n) // 200_000
+    out = []
+    for at in np.split(np.arange(len(left)), np.flatnonzero(np.diff(piece)) + 1):
+        rows, cols = np.nonzero(near[at])
+        rows = at[rows]
+        exact = np.round(np.einsum("ij,ij->i", left[rows], right[cols]), 12)
+        order = np.lexsort((rid[cols], -exact, rows))
+        rows, cols, exact = rows[order], cols[order], exact[order]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        out.append((lid[rows[keep]], rid[cols[keep]], exact[keep]))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def _compare(k: int, dim: int):
@@ -160,7 +166,7 @@ def nearest(
     k: int = 5,
     dim: int = 96,
     tables: int = 3,
-    probes: int = 7,
+    probes: int | None = None,
     width: float = 2.5,
     bucket: int = 128,
     block: int = 2048,
@@ -169,21 +175,24 @@ def nearest(
     """``id, other, sim``: for every usable vector the k other documents of highest cosine similarity.
 
     Approximate in which candidates are seen (recall is measured in the tests and stated in the README), exact in their
-    order: equal similarities (to 12 digits) go by the smaller id. Rows with a null id or vector, another length, a null,
+    order: equal similarities (to 12 digits) go by the smaller id. The number of probes of a table grows with the number of
+    projections, and so with the logarithm of the number of vectors, unless ``probes`` is given. Rows with a null id or vector, another length, a null,
     NaN or infinite value, or zeros only have no row; a repeated id counts once; a vector with fewer than k others has
     fewer rows; an empty table gives an empty one. Other columns are left out.
     """
     spark = df.sparkSession
     docs = usable(df, id_col, vec_col, dim)
-    # 1. classes of equal vectors
-    docs = docs.withColumn("cls", F.xxhash64("vec"))
+    # 1. classes of equal vectors, numbered by their smallest id
+    docs = docs.withColumn("same", F.xxhash64("vec"))
+    rep = docs.groupBy("same").agg(F.first("vec").alias("vec"), F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    rep = cut(rep.orderBy("least").withColumn("cls", F.monotonically_increasing_id()).drop("least"))
+    docs = docs.select("id", "same").join(rep.select("same", "cls"), "same").select("id", "cls")
     by_class = Window.partitionBy("cls").orderBy("id")
     first = docs.select("cls", "id").withColumn("at", F.row_number().over(by_class)).where(F.col("at") <= k + 1)
-    rep = cut(docs.groupBy("cls").agg(F.first("vec").alias("vec"), F.count(F.lit(1)).alias("n")))
     n = rep.count()
     # cells per projection are nearly those of a Gaussian cut at W: about 1.3 bits each at 2.5
     kk = max(4, round(np.log2(max(n, 2) / bucket) * 0.95))
-    t = Tables(dim, kk, width, tables, probes, seed)
+    t = Tables(dim, kk, width, tables, max(7, 2 * kk - 9) if probes is None else probes, seed)
     shared = spark.sparkContext.broadcast(t)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
