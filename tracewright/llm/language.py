@@ -196,7 +196,7 @@ def pieces(text: str) -> list[tuple[str, bool]]:
 def train(df: DataFrame, words: DataFrame, id_col: str = "doc_id", turns_col: str = "turns", train_rows: int = 20_000, seed: int = 3) -> Model:
     """Prototypes from at most about ``train_rows`` conversations, chosen by a hash of their id."""
     table = word_table(words)
-    codes = sorted({x for v in table.values() for x in v} & set(NAMES)) or sorted(NAMES)
+    codes = sorted({x for v in table.values() for x in v}) or sorted(NAMES)  # a language without a name goes by its code
     n = df.count()
     part = min(1.0, train_rows / max(n, 1))
     some = df.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 20)) < int(part * (1 << 20)))
@@ -345,4 +345,4 @@ def found_languages(df: DataFrame, words: DataFrame, id_col: str = "doc_id", tur
     named = F.create_map(*[F.lit(x) for c, (name, _) in NAMES.items() for x in (c, name)])
     case = (F.size("langs") > 1) | (F.col("code") == "") | ~F.array_contains("langs", F.col("code"))
     rows = got.withColumn("code", code("label")).where(case).select("doc_id", F.explode("langs").alias("lang"))
-    return rows.select("doc_id", named[F.col("lang")].alias("lang_name"))
+    return rows.select("doc_id", F.coalesce(named[F.col("lang")], F.col("lang")).alias("lang_name"))
