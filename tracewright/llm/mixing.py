@@ -24,35 +24,36 @@ from . import bpe
 
 def flight(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Moves inclusion probabilities until at most two are fractional; keeps sum(p) and sum(p * size)."""
-    p = p.astype(float).copy()
+    p = np.asarray(p, float).tolist()
     scale = max(1.0, float(np.abs(size).max(initial=0)))
-    x = np.stack([np.ones(len(p)), size / scale])  # of each text: itself and its tokens
+    x = (np.asarray(size, float) / scale).tolist()  # of each text its tokens; the other constraint counts it as 1
     eps = 1e-11
-    open_ = [i for i in range(len(p)) if eps < p[i] < 1 - eps]
-    at, hand = 0, []
+    open_ = iter([i for i, v in enumerate(p) if eps < v < 1 - eps])
+    hand: list[int] = []
     while True:
-        while len(hand) < 3 and at < len(open_):
-            hand.append(open_[at])
-            at += 1
+        while len(hand) < 3 and (nxt := next(open_, None)) is not None:
+            hand.append(nxt)
         if len(hand) < 3:
             break
         i, j, k = hand
-        # a vector of the null space of the 2 x 3 matrix: the cross product of its rows
-        u = np.cross(x[:, [i, j, k]][0], x[:, [i, j, k]][1])
-        if np.abs(u).max() < eps:
-            u = np.array([1.0, -1.0, 0.0])  # texts of equal size: any exchange is balanced
-        now = p[hand]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            up = np.where(u > 0, (1 - now) / u, np.where(u < 0, -now / u, np.inf)).min()
-            down = np.where(u > 0, now / u, np.where(u < 0, (now - 1) / u, np.inf)).min()
+        # a vector of the null space of the 2 x 3 matrix: the cross product of its rows (1, 1, 1) and the tokens
+        u = (x[k] - x[j], x[i] - x[k], x[j] - x[i])
+        if max(map(abs, u)) < eps:
+            u = (1.0, -1.0, 0.0)  # texts of equal size: any exchange is balanced
+        up = down = float("inf")
+        for h, d in zip(hand, u):
+            if d > 0:
+                up, down = min(up, (1 - p[h]) / d), min(down, p[h] / d)
+            elif d < 0:
+                up, down = min(up, -p[h] / d), min(down, (p[h] - 1) / d)
         # the end is drawn so that the expectation stays; the draw is a hash of the position, so a rerun gives the same
         draw = ((i * 0x9E3779B97F4A7C15 + j * 0xC2B2AE3D27D4EB4F + k) & 0xFFFFFFFF) / 0x100000000
         step = up if draw < down / (up + down) else -down
-        now = np.clip(now + step * u, 0, 1)
-        now[now < eps], now[now > 1 - eps] = 0, 1
-        p[hand] = now
+        for h, d in zip(hand, u):
+            v = p[h] + step * d
+            p[h] = 0.0 if v < eps else 1.0 if v > 1 - eps else v
         hand = [h for h in hand if 0 < p[h] < 1]
-    return p
+    return np.array(p)
 
 
 def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -148,7 +149,10 @@ def mixture(
     todo = start
     while True:
         last = cells == 1
-        moved = cut(todo.groupBy("source", "cell").applyInPandas(step(last), shape))
+        # as many tasks as there are cells, up to a few for each core: cells are small in bytes and heavy in work, so that
+        # adaptive execution would put them all into one
+        n_tasks = int(min(len(uses) * cells, 4 * spark.sparkContext.defaultParallelism + len(uses) * cells // 16))
+        moved = cut(todo.repartition(max(1, n_tasks), "source", "cell").groupBy("source", "cell").applyInPandas(step(last), shape))
         settled = moved.where("p = 0 or p = 1")
         done = settled if done is None else done.unionByName(settled)
         if last:
