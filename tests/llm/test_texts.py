@@ -55,6 +55,46 @@ def test_long_pages_of_learned_phrases(spark):
     assert {r.doc_id for r in residue.found_turns(chat(spark, turns)).collect()} == {f"d{i}" for i in range(17)}
 
 
+def _conversations(spark, pages):
+    """Talks of three turns on a topic of their own; some hold ``pages`` as their second turn."""
+    topics = ["garden roses compost", "kernel compiler thread", "violin melody choir", "tennis racket league", "pension mortgage savings", "stew butter oven"]
+    rows = []
+    for i in range(400):
+        a, b, c = topics[i % 6].split()
+        k = f"{chr(97 + i % 26)}{chr(97 + i // 26)}"
+        turns = [f"Tell me about {a} and {b} in town {k}lor.", f"What of {b} with {c} near {k}lor street?", f"So {c} goes well with {a} for {k}lor folk."]
+        if i < len(pages):
+            turns[1] = pages[i]
+        rows.append((f"d{i:03d}", turns, f"s{i % 3}"))
+    return spark.createDataFrame(rows, "doc_id string, turns array<string>, source string")
+
+
+def test_out_of_place_and_repeated_turns_by_the_corpus_alone(spark):
+    page = "Grilled aubergine today. Printer ribbons arrive every Tuesday."
+    df = _conversations(spark, [page] * 9)
+    got = {(r.doc_id, r.turn_no) for r in residue.residue_turns(df, patterns=False).collect()}
+    assert got == {(f"d{i:03d}", 1) for i in range(9)}
+
+
+def test_repeated_turns_that_are_in_place_stay(spark):
+    df = _conversations(spark, ["Tell me about garden and kernel, violin, tennis, pension and stew. The butter is compost."] * 9)
+    assert residue.residue_turns(df, patterns=False).count() == 0
+
+
+def test_unrepeated_turns_out_of_place_stay(spark):
+    df = _conversations(spark, ["Grilled aubergine today. Printer ribbons arrive every Tuesday."])
+    assert residue.residue_turns(df, patterns=False).count() == 0
+
+
+def test_heading_against_body():
+    assert residue.terms(["error", "ab", "\u4f60", "\u597d"]) == {"error", "\u4f60\u597d"}
+
+
+def test_residue_of_a_table_without_source_and_repeated_rows(spark):
+    df = chat(spark, ["404 Not Found", "404 Not Found"])
+    assert residue.residue_turns(df.unionByName(df)).count() == 2
+
+
 # --- problem 2
 @pytest.mark.parametrize("kind, text, found", [
     ("email", "mail a.b+c @ post.x.test now", "a.b+c @ post.x.test"), ("email", "to a.b [at] x [dot] example.", "a.b [at] x [dot] example"), ("email", "to a.b AT x DOT test please", "a.b AT x DOT test"),
@@ -63,10 +103,10 @@ def test_long_pages_of_learned_phrases(spark):
     ("id_number", "NIF: 00252992-Y", "00252992-Y"),
 ])
 def test_items(kind, text, found):
-    assert (kind, found) in [(k, text[s:e]) for k, s, e in personal.structured(text)]
+    assert (kind, found) in [(k, text[s:e]) for k, s, e, *_ in personal.structured(text)]
 
 
-@pytest.mark.parametrize("text", ["The package is pinned at wexos@3.25.0 now", "dev@marpra is my prompt", "Order 431-35-27924 arrived", "Timestamps like 1762092373 are", "number 979-6-3704-1809-7 is", "at 192.0.2.94 since build 2.99.996-6731", "", "2024-01-02"])
+@pytest.mark.parametrize("text", ["The package is pinned at wexos@3.25.0 now", "dev@marpra is my prompt", "Timestamps like 1762092373 are", "number 979-6-3704-1809-7 is", "at 192.0.2.94 since build 2.99.996-6731", "", "2024-01-02"])
 def test_no_items(text):
     assert personal.structured(text) == []
 
@@ -88,6 +128,27 @@ def test_people_and_places(spark):
     assert personal.found_items(chat(spark, turns).limit(0)).count() == 0
 
 
+def test_numbers_are_weighed_by_the_slots_they_stand_in(spark):
+    """The same number after a word that opens orders falls, after one that opens numbers of persons it stays."""
+    turns = [f"my order {10000 + i * 37} is late" for i in range(150)] + [f"my passport no. ZZ10K13{1700 + i}" for i in range(6)] + [f"ask {chr(97 + i)}{chr(105 + i)}en about ticket {20000 + i}" for i in range(10)]
+    turns += ["my order 431-35-2792 is late", "write down 431-35-2793 please"]
+    got = {(r.doc_id, r.kind, r.found) for r in personal.found_items(chat(spark, turns)).collect()}
+    assert ("d167", "id_number", "431-35-2793") in got and not {x for x in got if x[0] == "d166"}
+    assert {x[0] for x in got} == {f"d{i}" for i in range(150, 156)} | {"d167"}
+
+
+def test_names_are_found_alike_in_copies_of_a_table(spark):
+    base = ["Mr. Anna{0} Berg{0} agreed.", "Forward this to Dr. Anna{0} Berg{0} tomorrow.", "my neighbour anna{0} berg{0} left", "Dr. Strange{0} Loveday{0} came by."]
+    other = [" ".join(f"word{chr(97 + i % 26)}{chr(97 + k % 26)}" for k in range(40)) for i in range(20)]
+    make = lambda n: [t.format(chr(97 + c)) for c in range(n) for t in base] + other * n
+    few, many = (personal.found_items(chat(spark, make(n))).where("kind = 'person_name'").count() for n in (1, 10))
+    assert few >= 4 and many == 10 * few
+
+
+def test_no_items_in_a_table_without_numbers(spark):
+    assert personal.found_items(chat(spark, ["nothing here", None, "", "just words of a user"])).count() == 0
+
+
 # --- problem 5
 @pytest.mark.parametrize("label, code", [("English", "en"), ("en-US", "en"), (" DE ", "de"), ("Français", "fr"), ("Mandarin Chinese", "zh"), ("zh-CN", "zh"), ("unknown", ""), (None, ""), ("N/A", ""), ("Swedish", "swedish")])
 def test_labels(label, code):
@@ -133,7 +194,28 @@ def test_statistics(spark):
     assert quality.found_forms(spark.createDataFrame(rows, "doc_id long, text string").limit(0), words).count() == 0
 
 
+def test_repetition_in_the_decision():
+    line = "click the banner to win a prize with us today now"
+    assert quality.form_of("\n".join([line] * 12), COMMON, frozenset()) == "junk"
+    para = "We met at the lake and it was so cold that we had to go home. I do not think that this is how it was for you."
+    assert quality.form_of("\n\n".join([para] * 2 + ["How can we do this with you, and for how long do we have to be on the road if it is dark?"]), COMMON, frozenset()) == "prose"
+    rep = quality.Repetition("a b\na b\n\na b", ["a", "b"] * 3)
+    assert abs(rep.duplicate_lines - 2 / 3) < 1e-9 and rep.bigrams == 1.0
+    assert quality.form_of("- one pear\n- two figs\n- red plum\n- old lime\n" * 2, COMMON, frozenset()) == "list"
+
+
 # --- problem 1
+def test_areas_without_a_list_have_the_words_of_their_note():
+    seeds = subjects.seed_words({"law": None, "bee_keeping": "hives, honey and swarms", "wasps": "nests and swarms"})
+    assert seeds["hives"] == "bee_keeping" and seeds["court"] == "law" and "swarms" not in seeds and subjects.weak_areas("honey question", seeds) == ["bee_keeping"]
+
+
+def test_openers(spark):
+    some = spark.createDataFrame([("Please tell me all of it. One cat sat on the please tell mat.",)] * 9 + [("we saw that one cat sat there",)] * 5, "text string")
+    assert ("please", "tell") not in subjects.openers_of(some) and ("one", "cat") not in subjects.openers_of(some)
+    assert ("could", "you") in subjects.openers_of(spark.createDataFrame([("Could you tell me all of it?",)] * 9, "text string"))
+
+
 def test_weak_labels():
     assert subjects.weak_areas("question about league table") == ["sport"] and subjects.weak_areas("misc") == [] and subjects.weak_areas(None) == []
 
