@@ -77,7 +77,8 @@ def _scrub_token(text: Column, token: Column, placeholder: str, least: int = 1,
     if guard:
         ok = ok & ~F.lower(token).isin(COMMON_REPO_WORDS)
     pattern = F.concat(F.lit("(?iU)(?<!\\w)"), F.regexp_replace(token, r"([^A-Za-z0-9 ])", "\\\\$1"), F.lit("(?!\\w)"))
-    return F.when(F.coalesce(ok, F.lit(False)), F.regexp_replace(text, pattern, F.lit(f" {placeholder} "))).otherwise(text)
+    # one reference to the text, however many tokens are scrubbed one after the other: a pattern that never matches where there is none
+    return F.regexp_replace(text, F.when(F.coalesce(ok, F.lit(False)), pattern).otherwise(F.lit("(?!)")), F.lit(f" {placeholder} "))
 
 
 def scrub_identifiers(text, repo_id=None, user_id=None, mask_ids: bool = False) -> Column:
@@ -168,28 +169,109 @@ def is_scaffolding(text) -> Column:
     return F.coalesce(_c(text), F.lit("")).rlike(_SCAFFOLD)
 
 
+#: What marks a turn that a tool put in, with the reason it gives; the first line that fits counts.
+INJECTED = (
+    ("tool-io", "begins", ("<task-notification>", "<bash-input>", "<bash-stdout>", "<bash-stderr>", "<ide_", "<local-command")),
+    ("tool-io", "holds", ("<task-notification>", "</task-notification>")),
+    ("env-context", "holds", ("<environment_context>",)),
+    ("orchestration", "begins", ("[OMX", "You are OMX Explore")),
+    ("orchestration", "holds", ("[OMX_TMUX_INJECT]",)),
+    ("compaction", "begins in any case", ("this session is being continued", "caveat: the messages below")),
+    ("plan-mode", "begins", ("Implement the following plan",)),
+    ("skill-body", "begins", ("Base directory for this skill:",)),
+    ("skill-body", "holds", ("<manually_attached_skills>", "Execute the following steps non-interactively")),
+    ("skill-body", "begins", ("You are a code reviewer. Your job is to review code changes",)),
+)
+#: Wrappers and templates taken out of a turn, as patterns of both regular-expression dialects.
+WRAPPERS = (
+    r"(?is)<system[_-]instruction>.*?</system[_-]instruction>|<teammate-message\b[^>]*>.*?</teammate-message>",
+    r"(?is)<(?:system[_-]instruction|teammate-message)\b.*",
+    r"(?s)^You are OMX Explore\b.*?User request:(?:\s|\\n)*",
+)
+REVIEW = r"(?s)^You are a code reviewer\. Your job is to review code changes\b.*?Input:\s*(.*?)\s*---"
+REMINDER = r"(?is)IT IS CRITICAL THAT YOU FOLLOW THIS COMMAND: LOAD the FULL \{project-root\}.*?READ its entire contents and follow its directions exactly!"
+LEADING = r"^(?:(?:\[Request interrupted[^\]]*\]|\[Image:[^\]]*\])\s*)+"
+CONTINUES = r"^(?:#{1,6}\s|\*\*|\||\d+[.)]\s|[-*]\s|```|>|\{)"
+
+
 def nonhuman_reason(text, longest: int = 8000) -> Column:
     """Why a turn isn't written by a human, or null; the first rule that fits counts."""
     t = F.coalesce(_c(text), F.lit(""))
     s = F.regexp_replace(t, r"(?U)^\s+", "")
-    low = F.lower(s)
-    begins = lambda *xs: F.greatest(*[s.startswith(x) for x in xs], F.lit(False))
-    return (
-        F.when(t == "", "empty")
-        .when(begins("<task-notification>", "<bash-input>", "<bash-stdout>", "<bash-stderr>", "<ide_", "<local-command"), "tool-io")
-        .when(t.contains("<task-notification>") | t.contains("</task-notification>"), "tool-io")
-        .when(t.contains("<environment_context>"), "env-context")
-        .when(begins("[OMX", "You are OMX Explore") | s.contains("[OMX_TMUX_INJECT]"), "orchestration")
-        .when(low.startswith("this session is being continued") | low.startswith("caveat: the messages below"), "compaction")
-        .when(s.startswith("Implement the following plan"), "plan-mode")
-        .when(
-            s.startswith("Base directory for this skill:") | t.contains("<manually_attached_skills>") | t.contains("Execute the following steps non-interactively"), "skill-body"
-        )
-        .when(s.startswith("You are a code reviewer. Your job is to review code changes"), "skill-body")
-        .when(is_scaffolding(s), "scaffolding")
-        .when(begins("#", "**") & s.contains("\n\n"), "markdown-body")
-        .when(F.length(t) >= longest, "too-long")
+    tests = {"begins": lambda x: s.startswith(x), "begins in any case": lambda x: F.lower(s).startswith(x), "holds": lambda x: t.contains(x)}
+    out = F.when(t == "", "empty")
+    for reason, how, texts in INJECTED:
+        out = out.when(F.greatest(*[tests[how](x) for x in texts], F.lit(False)), reason)
+    out = out.when(is_scaffolding(s), "scaffolding").when((s.startswith("#") | s.startswith("**")) & s.contains("\n\n"), "markdown-body")
+    return out.when(F.length(t) >= longest, "too-long")
+
+
+def strip_wrappers(text) -> Column:
+    """A turn without injected wrappers, personas, reminders and leading markers; what a human wrote around them stays."""
+    t = F.coalesce(_c(text), F.lit(""))
+    for p in WRAPPERS:
+        t = F.regexp_replace(t, p, "")
+    t = F.when(t.rlike(REVIEW), F.regexp_extract(t, REVIEW, 1)).otherwise(t)
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, REMINDER, ""), r"^\s+", ""), LEADING, "")
+    return strip(t)
+
+
+def continues(text, least: int = 500) -> Column:
+    """Whether a turn opens like a piece of a document, or is long."""
+    t = F.coalesce(_c(text), F.lit(""))
+    return F.regexp_replace(t, r"^\s+", "").rlike(CONTINUES) | (F.length(t) >= least)
+
+
+def is_command_body(text) -> Column:
+    """Whether a turn is the body of a skill or a command that a tool put in."""
+    t = F.coalesce(_c(text), F.lit(""))
+    return t.startswith("Base directory for this skill:") | t.contains("<manually_attached_skills>") | t.contains("Execute the following steps non-interactively")
+
+
+def sample_prompt(text, most: int = 160) -> Column:
+    """The beginning of a text with single blanks."""
+    return F.substring(F.regexp_replace(_c(text), r"\s+", " "), 1, most)
+
+
+#: User agents of programs.
+_MALFORMED_AGENT = r"(?i)^\s*(?:user-?agent|accept(?:-language|-encoding)?|host|referer|connection)\s*[:=]"
+_PROGRAM_AGENT = (
+    r"(?i)\b(?:python|python-requests|python-httpx|httpx|aiohttp|urllib|requests|curl|libcurl|wget|okhttp|axios|node|node-fetch|undici|bun|deno|go-http-client|java|jakarta|apache-httpclient|httpclient|dart|guzzle"
+    r"|libwww-perl|lwp|restsharp|scrapy|postmanruntime|insomnia|reqwest|ktor|gradio_client|gradio_client_php|huggingface_hub|hf_hub|openai|langchain|dalvik|cpp-httplib|headlesschrome|phantomjs|selenium|puppeteer"
+    r"|playwright|bot|crawler|spider|scraper)\b"
+)
+PROGRAM_CLIENTS = (
+    "adsbot-google-mobile", "axios", "bun", "chrome headless", "curl", "go-http-client", "google-read-aloud", "mozilla", "node-fetch", "okhttp", "postmanruntime", "python-httpx", "python-requests", "undici",
+)
+
+
+def is_program(agent, device) -> Column:
+    """Whether a user agent is a program's: missing or malformed, named like a library, or without a browser in its device.
+
+    ``device`` is what a parser made of it (``browser;system;device;cpu``), null where it isn't known.
+    """
+    a, d = _c(agent), _c(device)
+    browser = F.lower(strip(F.element_at(F.split(d, ";"), 1)))
+    bad = a.isNull() | (strip(a) == "") | F.regexp_replace(a, r"^\s+", "").startswith("{") | a.rlike(_MALFORMED_AGENT) | a.rlike(_PROGRAM_AGENT)
+    return F.coalesce(bad, F.lit(True)) | F.coalesce(~d.contains(";"), F.lit(True)) | browser.isin(*PROGRAM_CLIENTS)
+
+
+def json_object(text) -> Column:
+    """A JSON object as a map with lower-case keys and the values' texts; null for anything else."""
+    m = F.from_json(_c(text), "map<string,string>")
+    return F.when(F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"^\s+", "").startswith("{") & m.isNotNull(), F.map_from_entries(F.array_distinct(F.transform(F.map_entries(m), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))))
+
+
+def apply_edits(text, edits) -> Column:
+    """A text with pieces replaced; ``edits`` is an array of ``start, stop, new`` (from 0), null where two of them overlap."""
+    e = F.array_sort(_c(edits))
+    init = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.lit(True).alias("fine"))
+    step = lambda acc, x: F.struct(
+        F.concat(acc["out"], F.substring(_c(text), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0))), x["new"]).alias("out"), x["stop"].cast("int").alias("at"), (acc["fine"] & (x["start"] >= acc["at"]) & (x["stop"] >= x["start"])).alias("fine")
     )
+    done = F.aggregate(e, init, step)
+    whole = F.concat(done["out"], F.substring(_c(text), done["at"] + 1, F.length(_c(text))))
+    return F.when(e.isNull() | (F.size(e) == 0), _c(text)).when(done["fine"], whole)
 
 
 def normalize_command(text):

@@ -15,7 +15,8 @@ AGENT_TURNS = ("assistant_response", "agent_message", "tool_call")
 def exact_dedup(df: DataFrame, identity: str, text: str, *order: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """The earliest row of each identity and text (nulls are equal).
 
-    Rows meet by a hash of the text, so that one identity with a third of the rows doesn't meet in one task.
+    Rows meet by a hash of the text, so that one identity with a third of the rows doesn't meet in one task; of a text that
+    is repeated without end each task keeps its earliest row before the exchange (the plan's partial window limit).
     """
     keys = [identity, F.xxhash64(F.col(text)), text, *extra]
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
@@ -28,25 +29,35 @@ def _affix(text: str, n: int, side: str) -> Column:
 
 
 def drop_shared_affixes(df: DataFrame, identity: str, text: str, n: int = 100) -> DataFrame:
-    """Rows whose first or last ``n`` characters no other identity uses; shorter texts stay. Null identities don't count."""
-    out = df.withColumn("_p", F.xxhash64(_affix(text, n, "prefix"))).withColumn("_s", F.xxhash64(_affix(text, n, "suffix")))
-    long_ = F.length(text) >= n
+    """Rows whose first or last ``n`` characters no other identity uses; shorter and null texts stay. Null identities don't count.
+
+    Only long texts take part in the exchanges: the others have no affix and would all meet under one key.
+    """
+    long_ = F.coalesce(F.length(text) >= n, F.lit(False))
+    out = df.where(long_).withColumn("_p", F.xxhash64(_affix(text, n, "prefix"))).withColumn("_s", F.xxhash64(_affix(text, n, "suffix")))
     for c in ("_p", "_s"):
         # counted with partial aggregation: a hot affix is reduced before it is shuffled
-        shared = out.where(long_ & F.col(identity).isNotNull()).groupBy(c).agg(F.min(identity).alias("_a"), F.max(identity).alias("_b"))
-        shared = shared.where(F.col("_a") != F.col("_b")).select(F.col(c).alias("_k"))
-        out = out.join(shared, (F.col(c) == F.col("_k")) & long_, "left_anti")
-    return out.drop("_p", "_s")
+        shared = df.where(long_ & F.col(identity).isNotNull()).groupBy(F.xxhash64(_affix(text, n, "prefix" if c == "_p" else "suffix")).alias("_k")).agg(F.min(identity).alias("_a"), F.max(identity).alias("_b"))
+        if c == "_s":  # of the rows that the prefixes left
+            shared = out.where(F.col(identity).isNotNull()).groupBy(F.col(c).alias("_k")).agg(F.min(identity).alias("_a"), F.max(identity).alias("_b"))
+        out = out.join(shared.where(F.col("_a") != F.col("_b")).select("_k"), F.col(c) == F.col("_k"), "left_anti")
+    return out.drop("_p", "_s").unionByName(df.where(~long_))
 
 
 def cap_affixes(df: DataFrame, identity: str, text: str, *order: str, n: int = 100, most: int = 2) -> DataFrame:
-    """At most ``most`` earliest rows of an identity for each prefix and for each suffix; both ranks on the same rows."""
-    out = df
-    for c in ("prefix", "suffix"):
-        a = _affix(text, n, c)
-        rank = F.row_number().over(Window.partitionBy(identity, F.xxhash64(a), a).orderBy(*order))
-        out = out.withColumn(f"_{c}", F.when(a.isNull() | F.col(identity).isNull(), F.lit(1)).otherwise(rank))
-    return out.where((F.col("_prefix") <= most) & (F.col("_suffix") <= most)).drop("_prefix", "_suffix")
+    """At most ``most`` earliest rows of an identity for each prefix and for each suffix; both ranks on the same rows.
+
+    Short, null and unidentified texts stay and take no part. The two ranks are limits of their own, so that a prefix with
+    a third of the rows is cut to ``most`` in every task before it is shuffled; rows that pass both meet by what orders them.
+    """
+    takes = F.coalesce((F.length(text) >= n) & F.col(identity).isNotNull(), F.lit(False))
+    rows = df.where(takes).withColumn("_t", F.xxhash64(text)).withColumn("_p", F.xxhash64(_affix(text, n, "prefix"))).withColumn("_s", F.xxhash64(_affix(text, n, "suffix")))
+    first = lambda d, key: d.withColumn("_r", F.row_number().over(Window.partitionBy(identity, key).orderBy(*order, "_t"))).where(F.col("_r") <= most).drop("_r")
+    also = first(rows.select(identity, "_s", "_t", *[c for c in order if c not in (identity, "_s", "_t")]), "_s")
+    on = ["_t", identity, *[c for c in order if c != identity]]
+    a, b = first(rows, "_p").alias("a"), also.alias("b")
+    both = a.join(b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in on], "left_semi").drop("_t", "_p", "_s")
+    return both.unionByName(df.where(~takes))
 
 
 def deduplicate(df: DataFrame, identity: str, text: str, *order: str, n: int = 100, most: int | None = 2, affixes: bool = True) -> DataFrame:
@@ -118,9 +129,10 @@ def recover_identity(sessions: DataFrame, user: str = "user_id", repo: str = "re
 
 # --- turn logs ----------------------------------------------------------------------------------------------------------
 def latest_delivery(log: DataFrame, key: str = "turn_id", loaded: str = "loaded_at") -> DataFrame:
-    """One row for each turn however often and late it was delivered; rows without a key stay."""
+    """One row for each turn however often and late it was delivered; rows without a key stay, and take no part in the exchange."""
     r = F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last(loaded), F.xxhash64("session_id", "turn_number")))
-    return log.withColumn("_r", F.when(F.col(key).isNull(), F.lit(1)).otherwise(r)).where("_r = 1").drop("_r")
+    once = log.where(F.col(key).isNotNull()).withColumn("_r", r).where("_r = 1").drop("_r")
+    return once.unionByName(log.where(F.col(key).isNull()))
 
 
 def agent_turns_before(log: DataFrame, session: str = "session_id", number: str = "turn_number", kind: str = "turn_type", content: str = "content") -> DataFrame:
@@ -155,14 +167,15 @@ def consecutive_duplicates(turns: DataFrame, doc: str, number: str, text: str) -
 def session_documents(log: DataFrame, source: str = "swe-chat") -> DataFrame:
     """Turn log to documents, one for each session with a human turn.
 
-    Repeated deliveries count once; prompts are cleaned of commands and non-human turns; columns are ``doc_id, source,
+    Repeated deliveries count once; prompts are merged, filtered to what humans typed, scrubbed of identifiers and of the
+    session's own repository and user names, and cleared of artefact repeats (:mod:`.sessions`); columns are ``doc_id, source,
     identity, turns, num_turns, language_primary, language_secondary, model, model_owner, agent, started_at, ended_at``.
     """
+    from .sessions import session_turns
+
     once = latest_delivery(log.where(F.col("session_id").isNotNull()))
     model = dominant_value(once, "session_id", "model")
-    prompts = once.where((F.col("turn_type") == "user_prompt") & F.col("content").isNotNull())
-    prompts = prompts.withColumn("_c", T.normalize_command("content"))
-    prompts = prompts.withColumn("_text", F.col("_c.text")).where(F.col("_c.is_command") | T.nonhuman_reason(F.col("_c.text")).isNull())
+    prompts = session_turns(log, lambda c: T.clean_prompt(c, repo_id=F.col("repo_id"), user_id=F.col("user_id"))).withColumn("_text", F.col("text"))
     lang = ordered_languages(prompts.withColumn("_l", T.normalize_language("turn_language")), "session_id", "_l", "turn_number", "turn_id")
     docs = prompts.groupBy("session_id").agg(
         F.min_by("user_id", F.struct("turn_number", "turn_id")).alias("user_id"),
