@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..runtime import cut
 from . import build as B
 
 
@@ -63,10 +64,10 @@ def human_prompts(prompts: DataFrame, longest: int = 8000) -> DataFrame:
 
 
 def clean_prompts(prompts: DataFrame, scrub) -> DataFrame:
-    """Texts scrubbed; of a command the name stays and its arguments are scrubbed. ``scrub`` makes a column of a column."""
+    """Texts scrubbed, empty where nothing is left; of a command the name stays and its arguments are scrubbed. ``scrub`` makes a column of a column."""
     p = prompts.withColumn("_name", F.when(F.col("is_command"), F.regexp_extract("text", r"^\S+", 0)).otherwise(""))
     p = p.withColumn("text", scrub(F.when(F.col("is_command"), T.strip(F.regexp_replace("text", r"^\S+", ""))).otherwise(F.col("text"))))
-    return p.withColumn("text", T.strip(F.concat_ws(" ", F.nullif("_name", F.lit("")), "text"))).drop("_name").where("text <> ''")
+    return p.withColumn("text", T.strip(F.concat_ws(" ", F.nullif("_name", F.lit("")), "text"))).drop("_name")
 
 
 def without_repeats(prompts: DataFrame, long: int = 1000, often: int = 5) -> DataFrame:
@@ -97,7 +98,8 @@ def session_turns(log: DataFrame, scrub=None) -> DataFrame:
     """The human, cleaned, unrepeated prompts of a log: ``session_id, turn_number, turn_id, text`` and the log's columns."""
     once = B.latest_delivery(log.where(F.col("session_id").isNotNull()))
     kept = human_prompts(merged_markdown(user_prompts(once))).where("reason is null")
-    return without_repeats(clean_prompts(kept, scrub or scrub_prompt))
+    # written once: what follows reads the scrubbed texts three times
+    return without_repeats(cut(clean_prompts(kept, scrub or scrub_prompt)).where("text <> ''"))
 
 
 def scrub_prompt(text: Column) -> Column:
