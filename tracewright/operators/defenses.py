@@ -7,13 +7,13 @@ in with :func:`model_defense`: each distinct turn is rewritten once and joined b
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 
@@ -39,15 +39,18 @@ def apply(name: str, docs: DataFrame) -> DataFrame:
 
 
 def flatten(docs: DataFrame) -> DataFrame:
-    """``turn_id, doc_id, author_id, turn_no, text``: one row for each turn, null turns as empty ones."""
-    t = docs.select("doc_id", "author_id", F.posexplode("turns").alias("turn_no", "text"))
-    return t.select(F.concat("doc_id", F.lit("#"), "turn_no").alias("turn_id"), "doc_id", "author_id", "turn_no", F.coalesce("text", F.lit("")).alias("text"))
+    """``turn_id, doc_id, author_id, turn_no, text``: one row for each turn, null turns as empty ones.
+
+    A document without turns has one row with a null number, so that it is there again after :func:`regroup`.
+    """
+    t = docs.select("doc_id", "author_id", F.posexplode_outer("turns").alias("turn_no", "text"))
+    return t.select(F.concat("doc_id", F.lit("#"), "turn_no").alias("turn_id"), "doc_id", "author_id", "turn_no", F.when(F.col("turn_no").isNotNull(), F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def regroup(turns: DataFrame) -> DataFrame:
     """``doc_id, author_id, turns`` in the order of the turns."""
     g = turns.groupBy("doc_id", "author_id").agg(F.array_sort(F.collect_list(F.struct("turn_no", "text"))).alias("t"))
-    return g.select("doc_id", "author_id", F.transform("t", lambda x: x["text"]).alias("turns"))
+    return g.select("doc_id", "author_id", F.transform(F.filter("t", lambda x: x["turn_no"].isNotNull()), lambda x: x["text"]).alias("turns"))
 
 
 def protected_chunks(text) -> Column:
@@ -87,64 +90,6 @@ def _swap(text: str, word: str, to: str) -> str:
     return re.sub(rf"(?<!\w){word}(?!\w)", same_case, text, flags=re.I)
 
 
-#: Habits that authors may share; word pairs, an opening or a closing.
-MARKERS = (
-    ("definately", "definitely", "definately"), ("seperate", "separate", "seperate"), ("recieve", "receive", "recieve"), ("thru", "through", "thru"), ("alot", "much", "alot"),
-    ("colour", "color", "colour"), ("organise", "organize", "organise"), ("favour", "favor", "favour"), ("hey", "^", "hey, "), ("pls", "^", "pls "), ("thx", "$", " thx"), ("cheers", "$", " cheers"),
-)
-
-
-@defense("collisions")
-def seed_collisions(docs: DataFrame, profiles: int = 8, seed: int = 1) -> DataFrame:
-    """Authors share profiles of habits, so that habits no longer tell them apart.
-
-    An author's profile is a hash of its id; a profile has about half the markers. A marker fires in a document by a coin
-    whose rate, 0.4 to 0.7, belongs to author and marker. Openings and closings need 60 % Latin letters and stand on the edge
-    turn, else with probability 0.35. Protected chunks stay byte for byte; null authors are profiles of their own document.
-    """
-    protected = re.compile(_PROTECTED.removeprefix("(?s)"), re.S)
-    letters, latin = re.compile(r"[^\W\d_]"), re.compile(r"[A-Za-z\u00c0-\u024f]")
-
-    def share(*k) -> float:
-        return int.from_bytes(hashlib.blake2b("\0".join(map(str, (seed, *k))).encode(), digest_size=8).digest(), "big") / 2.0**64
-
-    def rewrite(turn: str | None, i: int, last: int, author: str, doc: str) -> str:
-        out = turn or ""
-        n = len(letters.findall(out))
-        is_latin = not n or len(latin.findall(out)) >= 0.6 * n
-        profile = int(share("profile", author) * profiles)
-        for name, word, to in MARKERS:
-            if share("has", profile, name) >= 0.5 or share("coin", author, name, doc) >= 0.4 + 0.3 * share("rate", author, name):
-                continue
-            if word in "^$":
-                edge = i == (0 if word == "^" else last)
-                if out and is_latin and (edge or share("again", author, name, doc, i) < 0.35):
-                    out = to + out if word == "^" else out + to
-            elif word in out.lower():
-                parts, at = [], 0
-                for m in protected.finditer(out):
-                    parts += [_swap(out[at : m.start()], word, to), m.group()]
-                    at = m.end()
-                out = "".join(parts) + _swap(out[at:], word, to)
-        return out
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = zip(f["turns"], f["author_id"], f["doc_id"])
-            f["turns"] = [None if t is None else [rewrite(x, i, len(t) - 1, a if a is not None else d, d) for i, x in enumerate(t)] for t, a, d in rows]
-            yield f
-
-    return docs.mapInPandas(run, docs.schema)
-
-
-@defense("frame_pad")
-def frame_pad(docs: DataFrame, passages: tuple[str, ...] = ("By the way, the harbour was quiet today.", "Unrelated, but the lighthouse keeper says hello.", "Also, my train was late again."), seed: int = 1) -> DataFrame:
-    """Exactly one passage from a bank appended, drawn by a hash of the document; the other turns stay byte for byte."""
-    bank = F.array(*[F.lit(p) for p in passages])
-    extra = F.get(bank, F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(len(passages))).cast("int"))
-    return docs.withColumn("turns", F.concat(F.coalesce("turns", F.array().cast("array<string>")), F.array(extra)))
-
-
 @defense("truncate")
 def truncate(docs: DataFrame, most: int = 400) -> DataFrame:
     return docs.withColumn("turns", T.cap_turns("turns", most))
@@ -187,8 +132,12 @@ def spans(docs: DataFrame) -> DataFrame:
     pieces = F.when(many, s).when(F.size(T.words("turn")) >= 4, F.regexp_extract_all("turn", F.lit(word), F.lit(0))).otherwise(F.array("turn"))
     pieces = F.filter(pieces, lambda x: x != "")
     p = turns.select("doc_id", "turn_no", pieces.alias("p"), F.when(many | (F.size(T.words("turn")) < 4), "sentence").otherwise("word").alias("granularity"))
-    ends = F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.aggregate(F.slice("p", 1, i), F.lit(0), lambda a, x: a + F.length(x)))
-    e = p.select("doc_id", "turn_no", "granularity", F.posexplode(F.arrays_zip("p", ends.alias("stop"))).alias("span_no", "x"))
+    # a span ends where the spans up to it end: a running sum over the exploded pieces of a turn
+    e = p.select("doc_id", "turn_no", "granularity", F.posexplode("p").alias("span_no", "p")).withColumn("stop", F.sum(F.length("p")).over(Window.partitionBy("doc_id", "turn_no").orderBy("span_no")))
+    e = e.select("doc_id", "turn_no", "granularity", "span_no", F.struct("p", F.col("stop").cast("int").alias("stop")).alias("x"))
     free = F.length(F.regexp_replace(F.regexp_replace("x.p", _PROTECTED, ""), r"\s+", ""))
     floor = F.when(F.col("granularity") == "word", 2).otherwise(12)
     return e.select("doc_id", "turn_no", "span_no", (F.col("x.stop") - F.length("x.p")).alias("start"), F.col("x.stop").alias("stop"), F.col("x.p").alias("text"), (free >= floor).alias("editable"), "granularity")
+
+
+from . import frames, habits  # noqa: E402, F401  (they register defenses of their own)

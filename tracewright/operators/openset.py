@@ -193,6 +193,14 @@ def identification_by_words(docs: DataFrame, far: float = 0.1, level: str = "doc
     return both.crossJoin(F.broadcast(n)).select("bin", names[F.col("bin")].alias("label"), "accuracy", "random", "n_units", "n_authors", (F.col("n_units") / F.col("n")).alias("share"), "achieved")  # a single row
 
 
+def _beside(*rows: DataFrame) -> DataFrame:
+    """Single rows side by side; those that aren't there, for want of strangers, say, as nulls."""
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.join(r, F.lit(True), "left")
+    return out
+
+
 def rates(docs: DataFrame, far: float = 0.1) -> DataFrame:
     """``top1, authors_linked, dir_documents, dir_authors``: closed set, closed set of authors, and both at a rate of false acceptance."""
     from .detection import dir_at_far
@@ -203,7 +211,7 @@ def rates(docs: DataFrame, far: float = 0.1) -> DataFrame:
     linked = known.groupBy("author").agg(F.max(right).alias("x")).agg(F.avg(F.col("x").cast("double")).alias("authors_linked"))
     d = dir_at_far(docs.withColumn("correct", right & ~F.col("is_out")), (far,)).select(F.col("dir").alias("dir_documents"))
     a = identification_curve(docs, "author").where(F.col("far") == round(far * GRID) / GRID).select(F.col("rate").alias("dir_authors"))
-    return top.crossJoin(linked).crossJoin(d).crossJoin(a)  # single rows
+    return _beside(top, linked, d, a)
 
 
 def open_set_report(docs: DataFrame, far: float = 0.05) -> DataFrame:
@@ -212,7 +220,7 @@ def open_set_report(docs: DataFrame, far: float = 0.05) -> DataFrame:
 
     e = equal_error_rate(docs).select("eer")
     n = _usable(docs).agg(F.sum(F.col("is_out").cast("bigint")).alias("n_out"), F.sum((~F.col("is_out")).cast("bigint")).alias("n_in"))
-    return n.crossJoin(auroc(docs)).crossJoin(average_precision(docs)).crossJoin(e).crossJoin(rates(docs, far))  # single rows
+    return _beside(n, auroc(docs), average_precision(docs), e, rates(docs, far))
 
 
 def background_evidence(scores: DataFrame, background: str) -> DataFrame:
