@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -109,6 +111,8 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Dat
         if tuple(now) == before:
             break
         before = tuple(now)
+    else:
+        raise RuntimeError(f"components not settled after {most_rounds} rounds")
     root = e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
     return nodes.select("id").distinct().join(root, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
@@ -119,11 +123,21 @@ def threshold_components(nodes: DataFrame, edges: DataFrame, threshold: float) -
 
 
 # --- clustering inside a component --------------------------------------------------------------------------------------
-def _inside(nodes: DataFrame, edges: DataFrame, cluster, largest: int, threshold: float | None) -> DataFrame:
-    """``id, cluster``: a function on one component's edge list; components above ``largest`` stay whole."""
+def _inside(nodes: DataFrame, edges: DataFrame, cluster, largest: int, threshold: float | None, whole: bool = False) -> DataFrame:
+    """``id, cluster``: a function on one component's edge list.
+
+    A component above ``largest`` nodes is too much for a task. It is an error, never a silent result; with ``whole`` it
+    stays one cluster, with a warning that says how many there are (the rule of component-wise average linkage).
+    """
     comp = components(nodes, edges if threshold is None else edges.where(F.col("distance") <= threshold))
     size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    comp = comp.join(size, "component")
+    comp = cut(comp.join(size, "component"))
+    above = comp.where(F.col("n") > largest).agg(F.countDistinct("component").alias("k"), F.max("n").alias("n")).first()
+    if above.k:
+        text = f"{above.k} components of more than {largest} nodes, the largest of {above.n}"
+        if not whole:
+            raise ValueError(f"{text}: lower the threshold or raise `largest`")
+        warnings.warn(f"{text}: each stays one cluster", stacklevel=2)
     kind = nodes.schema["id"].dataType.simpleString()
     small = comp.where(F.col("n").between(2, largest))
     inside = edges.join(small.select(F.col("id").alias("src"), "component"), "src").join(small.select(F.col("id").alias("dst"), F.col("component").alias("c2")), "dst").where("component = c2")
@@ -138,8 +152,11 @@ def _label(ids: np.ndarray, code: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"id": f["id"], "cluster": f.groupby("k")["id"].transform("min")})
 
 
-def agglomerative(nodes: DataFrame, edges: DataFrame, threshold: float, linkage: str = "average", far: float = 2.0, largest: int = 5000) -> DataFrame:
-    """Agglomeration to a distance, absent edges are ``far``; within components of the edges below the threshold, which is exact."""
+def agglomerative(nodes: DataFrame, edges: DataFrame, threshold: float, linkage: str = "average", far: float = 2.0, largest: int = 20_000) -> DataFrame:
+    """Agglomeration to a distance, absent edges are ``far``; within components of the edges below the threshold, which is exact.
+
+    A component above ``largest`` nodes stays one cluster, with a warning.
+    """
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.concatenate([f["src"], f["dst"]]))
@@ -165,7 +182,7 @@ def agglomerative(nodes: DataFrame, edges: DataFrame, threshold: float, linkage:
             code[code == b] = a
         return _label(ids, code)
 
-    return _inside(nodes, edges, run, largest, threshold)
+    return _inside(nodes, edges, run, largest, threshold, whole=True)
 
 
 def capped_linkage(nodes: DataFrame, edges: DataFrame, threshold: float, most: int = 20, rule: str = "both", largest: int = 20_000) -> DataFrame:

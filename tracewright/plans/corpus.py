@@ -10,7 +10,7 @@ from ..operators import defenses as D
 from ..operators import features as X
 from ..operators import utility as U
 from ..operators.unlink import unlink
-from ..runtime import table
+from ..runtime import cut, table
 from ..sources import readers as R
 from ..sources import sinks as S
 from .registry import query
@@ -341,13 +341,13 @@ _TFIDF = f"""c AS (SELECT id, gram, count(*) AS tf FROM ({_GRAMS}) GROUP BY ALL)
 
 @query(f"SELECT gram, count(*) AS n FROM ({_GRAMS}) GROUP BY gram")
 def char4_counts(spark, d):
-    return X.char_ngrams(table(spark, d, "documents"), "doc_id", "text").groupBy("gram").agg(F.sum("tf").alias("n"))
+    return X.gram_totals(table(spark, d, "documents"), "text")
 
 
 @query(f"WITH {_TFIDF} SELECT id, round(sum(w), 5) AS total, count(*) AS grams FROM v GROUP BY id")
 def tfidf_vectors(spark, d):
-    c = X.char_ngrams(table(spark, d, "documents"), "doc_id", "text")
-    return X.tfidf(c, X.vocabulary(c)).groupBy("id").agg(F.round(F.sum("w"), 5).alias("total"), F.count(F.lit(1)).alias("grams"))
+    v, _ = X.tfidf_of_texts(table(spark, d, "documents"), "doc_id", "text")
+    return v.groupBy("id").agg(F.round(F.sum("w"), 5).alias("total"), F.count(F.lit(1)).alias("grams"))
 
 
 @query(
@@ -355,9 +355,9 @@ def tfidf_vectors(spark, d):
 )
 def tfidf_cosine_search(spark, d):
     """The stated query set, ids divisible by 100, against all rows."""
-    c = X.char_ngrams(table(spark, d, "documents"), "doc_id", "text")
-    v = X.tfidf(c, X.vocabulary(c))
-    return X.cosines(v.where("id % 100 = 0"), v).select("q", "id", "rank")
+    v, vocab = X.tfidf_of_texts(table(spark, d, "documents"), "doc_id", "text")
+    v = cut(v)
+    return X.cosines(v.where("id % 100 = 0"), v, vocab).select("q", "id", "rank")
 
 
 @query()
