@@ -9,6 +9,7 @@ from ..operators import edges as X
 from ..operators import graph as G
 from ..operators import partitions as Z
 from ..operators import ranking as K
+from ..operators import sweeps as W
 from ..operators import tuning as U
 from ..operators.blocks import neighbours
 from ..runtime import cut, table
@@ -157,14 +158,11 @@ def link_ranking(spark, d):
 
 
 def _histogram(spark, d):
-    """Distances of the neighbour edges in 50 bins, by same and different author."""
-    t = truth(spark, d)
-    e = G.undirected(knn(spark, d)).join(t.toDF("src", "a"), "src").join(t.toDF("dst", "b"), "dst")
-    same = F.col("a") == F.col("b")
-    return e.groupBy((-F.floor(F.col("distance") * 25)).alias("bin")).agg(F.sum(same.cast("bigint")).alias("pos"), F.sum((~same).cast("bigint")).alias("neg"))
+    """Distances of all pairs in bins, by same and different author."""
+    return W.pair_histogram(_docs(spark, d))
 
 
-_HIST = f"{_U}, g AS (SELECT -floor(distance * 25) AS bin, sum((a.label = b.label)::INT) AS pos, sum((a.label <> b.label)::INT) AS neg FROM e JOIN embeddings a ON a.vec_id = src JOIN embeddings b ON b.vec_id = dst GROUP BY 1)"
+_HIST = f"{_P}, g AS (SELECT -floor(distance / 0.04::DOUBLE) AS bin, sum((a.label = b.label)::INT) AS pos, sum((a.label <> b.label)::INT) AS neg FROM p JOIN embeddings a ON a.vec_id = src JOIN embeddings b ON b.vec_id = dst WHERE src < dst GROUP BY 1)"
 
 
 @query(f"WITH {_HIST}, w AS (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) SELECT round(sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)), 6) AS auc FROM w")
@@ -303,3 +301,82 @@ def fragment_chains(spark, d):
     p = B.interval_pairs(i, ["accept_language", "device_info", "country"])
     block = i.groupBy("author_id").agg(F.min(F.concat_ws("|", "accept_language", "device_info", "country")).alias("block")).withColumnRenamed("author_id", "a")
     return U.temporal_chains(p.join(block, "a").select("block", "a", "b", (-F.col("gap_days")).alias("lift")), i.where("author_id is not null"))
+
+
+# --- sweeps -------------------------------------------------------------------------------------------------------------
+def _docs(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("author"), F.col("embedding").alias("vec"))
+
+
+def _times(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") * 3600.0).alias("seconds"))
+
+
+@query()
+def sweep_graph(spark, d):
+    return W.sweep_graph(knn(spark, d), nodes(spark, d), truth(spark, d), ks=(5,), quantiles=(0.1,))
+
+
+@query()
+def sweep_algorithms(spark, d):
+    return W.sweep_algorithms(nodes(spark, d), G.undirected(knn(spark, d)), truth(spark, d), quantiles=(0.1,))
+
+
+@query()
+def sweep_caps(spark, d):
+    return W.sweep_caps(nodes(spark, d), G.undirected(knn(spark, d)), truth(spark, d), caps=(5, 20), cohesions=(0.3,))
+
+
+@query()
+def oracle_sweep(spark, d):
+    t = truth(spark, d)
+    s = lambda part: W.sweep_algorithms(nodes(spark, d), G.undirected(knn(spark, d)), t.where(part), ("components",), (0.1, 0.3))
+    return W.oracle_sweep(s("id % 2 = 0"), s("id % 2 = 1"))
+
+
+@query()
+def time_weight_sweep(spark, d):
+    return W.tune_time_weight(nodes(spark, d), G.undirected(knn(spark, d)), _times(spark, d), truth(spark, d), weights=(0.0, 0.3))
+
+
+@query()
+def balanced_time_weight(spark, d):
+    return W.balanced_weight(G.undirected(knn(spark, d)), _times(spark, d))
+
+
+@query()
+def slice_diagnostics(spark, d):
+    return W.slice_diagnostics("all", knn(spark, d), truth(spark, d))
+
+
+@query()
+def seen_unseen_bcubed(spark, d):
+    t = truth(spark, d)
+    return W.seen_and_unseen(parts(spark, d), t, t.where("author < 5"))
+
+
+@query()
+def bcubed_by_language(spark, d):
+    g = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("grp"))
+    return W.bcubed_by(parts(spark, d), truth(spark, d), g)
+
+
+@query()
+def mined_pairs(spark, d):
+    return W.mined_pairs(knn(spark, d), truth(spark, d))
+
+
+@query()
+def edge_network(spark, d):
+    k, t = knn(spark, d), truth(spark, d)
+    return W.edge_network(W.mined_pairs(k, t), G.undirected(k), _docs(spark, d))
+
+
+@query()
+def contrastive_scores(spark, d):
+    from ..operators import attacks as A
+    from .attribution import sides
+
+    k, u = sides(spark, d)
+    m = W.contrastive_projection(k)
+    return A.centroid(A.project(k, m), A.project(u, m)).withColumn("score", F.round("score", 6))
