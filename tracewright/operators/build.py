@@ -35,11 +35,10 @@ def drop_shared_affixes(df: DataFrame, identity: str, text: str, n: int = 100) -
     """
     long_ = F.coalesce(F.length(text) >= n, F.lit(False))
     out = df.where(long_).withColumn("_p", F.xxhash64(_affix(text, n, "prefix"))).withColumn("_s", F.xxhash64(_affix(text, n, "suffix")))
+    rows = out.where(F.col(identity).isNotNull())
     for c in ("_p", "_s"):
-        # counted with partial aggregation: a hot affix is reduced before it is shuffled
-        shared = df.where(long_ & F.col(identity).isNotNull()).groupBy(F.xxhash64(_affix(text, n, "prefix" if c == "_p" else "suffix")).alias("_k")).agg(F.min(identity).alias("_a"), F.max(identity).alias("_b"))
-        if c == "_s":  # of the rows that the prefixes left
-            shared = out.where(F.col(identity).isNotNull()).groupBy(F.col(c).alias("_k")).agg(F.min(identity).alias("_a"), F.max(identity).alias("_b"))
+        # counted on the same rows for both, with partial aggregation: a hot affix is reduced before it is shuffled
+        shared = rows.groupBy(F.col(c).alias("_k")).agg(F.min(identity).alias("_a"), F.max(identity).alias("_b"))
         out = out.join(shared.where(F.col("_a") != F.col("_b")).select("_k"), F.col(c) == F.col("_k"), "left_anti")
     return out.drop("_p", "_s").unionByName(df.where(~long_))
 

@@ -76,18 +76,20 @@ def gap_weeks(spark, d):
     return L.gap_weeks(o, "o_orderdate").select(F.round("gap_weeks", 9).alias("gap_weeks"))
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])))), 6) AS total FROM embeddings")
+@query("SELECT vec_id, (i - 1)::BIGINT AS i, round(embedding[i]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS x FROM embeddings, range(1, 65) t(i)")
 def unit_norm(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(V.unit("embedding"), F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    u = table(spark, d, "embeddings").select("vec_id", F.posexplode(V.unit("embedding")).alias("i", "x"))
+    return u.select("vec_id", F.col("i").cast("bigint").alias("i"), F.round("x", 6).alias("x"))
 
 
 @query(
     f"""WITH {_SIDES}, x AS (SELECT i, avg(vec[i]) AS m, stddev_pop(vec[i]) AS s FROM k, range(1, 65) t(i) GROUP BY i)
-    SELECT doc, round(sum((vec[i] - m) / CASE WHEN s > 0 THEN s ELSE 1 END), 5) AS total FROM u, x GROUP BY doc"""
+    SELECT doc, (i - 1)::BIGINT AS i, round((vec[i] - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 5) AS x FROM u, x"""
 )
 def zscore_known_side(spark, d):
     k, u = sides(spark, d)
-    return A.standardise(k, u)[1].select("doc", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+    z = A.standardise(k, u)[1].select("doc", F.posexplode("vec").alias("i", "x"))
+    return z.select("doc", F.col("i").cast("bigint").alias("i"), F.round("x", 5).alias("x"))
 
 
 @query(f"WITH {_SIDES} SELECT author, i - 1 AS i, round(avg(vec[i]), 6) AS mean FROM k, range(1, 65) t(i) GROUP BY ALL")
@@ -172,9 +174,14 @@ def author_query_ap(spark, d):
     return K.retrieval(*scored(spark, d)).select("author", "n_relevant", *[F.round(c, 6).alias(c) for c in ("average_precision", "r_precision", "baseline")])
 
 
-@query()
+@query(
+    f"""WITH {_S}, o AS (SELECT author, count(DISTINCT q) AS n_relevant FROM s GROUP BY author), z AS (SELECT s.label AS author, s.q, s.score, (s.author = s.label)::INT AS rel FROM s),
+    g AS (SELECT author, score, sum(rel) AS hits, count(*) AS c FROM z GROUP BY ALL), w AS (SELECT author, hits, sum(hits) OVER (PARTITION BY author ORDER BY score DESC) / sum(c) OVER (PARTITION BY author ORDER BY score DESC) AS prec FROM g),
+    p AS (SELECT author, sum(hits * prec) AS s FROM w GROUP BY author) SELECT round(avg(p.s / n_relevant), 6) AS map, round(avg(n_relevant / (SELECT count(DISTINCT q) FROM s)), 6) AS baseline, count(*) AS authors FROM o JOIN p USING (author)"""
+)
 def map_summary(spark, d):
-    return K.map_summary(K.retrieval(*scored(spark, d)))
+    m = K.map_summary(K.retrieval(*scored(spark, d)))
+    return m.select(F.round("map", 6).alias("map"), F.round("baseline", 6).alias("baseline"), "authors")
 
 
 @query(
@@ -259,9 +266,12 @@ def calibration_ece(spark, d):
     return E.calibration(confident(spark, d)).select(*[F.round(c, 6).alias(c) for c in ("brier", "ece", "mce", "confidence", "accuracy")])
 
 
-@query()
+@query(
+    f"""WITH {_REJ}, h AS (SELECT quantile_cont(score, {[p / 100 for p in range(1, 100)]}::DOUBLE[]) AS q FROM o), g AS (SELECT p::INT AS percentile, h.q[p] AS threshold FROM h, range(1, 100) t(p))
+    SELECT percentile, round(avg((score <= threshold + 1e-12)::INT), 6) AS accepted, round(avg(CASE WHEN NOT is_out THEN (score <= threshold + 1e-12 AND correct)::INT END), 6) AS dir, round(avg(CASE WHEN is_out THEN (score <= threshold + 1e-12)::INT END), 6) AS far FROM o, g GROUP BY percentile"""
+)
 def threshold_sweep(spark, d):
-    return E.threshold_sweep(opened(spark, d))
+    return E.threshold_sweep(opened(spark, d)).select("percentile", *[F.round(c, 6).alias(c) for c in ("accepted", "dir", "far")])
 
 
 @query()
@@ -314,7 +324,11 @@ def elo_round(spark, d):
     return K.elo_round(r, lambda a, b: a < b)
 
 
-@query()
+@query(
+    f"""WITH {_S}, sl AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, label) - 1 AS slot, max(score) OVER (PARTITION BY q) AS mx FROM s), t AS (SELECT q, author, label, score AS b, CASE WHEN slot < 5 THEN mx + slot + 1 ELSE score END AS a FROM sl),
+    o AS (SELECT q, b AS ob, a AS oa FROM t WHERE author = label), r AS (SELECT t.q, sum((b > ob)::INT) + 1 + (sum((b = ob)::INT) - 1) / 2.0 <= 1 AS b, sum((a > oa)::INT) + 1 + (sum((a = oa)::INT) - 1) / 2.0 <= 1 AS a FROM t JOIN o ON t.q = o.q GROUP BY t.q)
+    SELECT sum((NOT b AND a)::INT)::BIGINT AS rescued, sum((b AND NOT a)::INT)::BIGINT AS damaged, (sum((NOT b AND a)::INT) - sum((b AND NOT a)::INT))::BIGINT AS net, sum((b AND a)::INT)::BIGINT AS kept_right, sum((NOT b AND NOT a)::INT)::BIGINT AS kept_wrong FROM r"""
+)
 def rescue_counts(spark, d):
     s, t = scored(spark, d)
     short = K.shortlist(s, 5)
@@ -322,10 +336,14 @@ def rescue_counts(spark, d):
     return K.rescue_counts(K.true_ranks(s, t), K.true_ranks(K.fold(s, short, orders), t))
 
 
-@query()
+@query(
+    f"""WITH {_S}, c AS (SELECT author, list(x ORDER BY i) AS vec FROM (SELECT author, i, avg(vec[i] / sqrt(list_dot_product(vec, vec))) AS x FROM k, range(1, 65) t(i) GROUP BY ALL) GROUP BY author),
+    c2 AS (SELECT u.doc AS q, c.author AS label, list_cosine_similarity(u.vec, c.vec) AS score FROM u, c), m1 AS (SELECT avg(score) AS m, stddev_pop(score) AS d FROM s), m2 AS (SELECT avg(score) AS m, stddev_pop(score) AS d FROM c2)
+    SELECT s.q, s.label, round((s.score - m1.m) / m1.d + 0.5 * (c2.score - m2.m) / m2.d, 5) AS score FROM s JOIN c2 ON s.q = c2.q AND s.label = c2.label, m1, m2"""
+)
 def late_fusion(spark, d):
     k, u = sides(spark, d)
-    return K.late_fusion(A.nearest(k, u), A.centroid(k, u), 0.5)
+    return K.late_fusion(A.nearest(k, u), A.centroid(k, u), 0.5).withColumn("score", F.round("score", 5))
 
 
 @query(

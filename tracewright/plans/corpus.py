@@ -15,6 +15,9 @@ from ..sources import readers as R
 from ..sources import sinks as S
 from .registry import query
 
+#: White space, as a class of the SQL's regular expressions.
+_WS = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
 _ws = lambda c: f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace({c}, '\\n', chr(10)), '\\r\\n?', chr(10), 'g'), '[ \\t]+\\n', chr(10), 'g'), '\\n{{3,}}', chr(10)||chr(10), 'g'), '^\\s+', ''), '\\s+$', '')"
 
 
@@ -45,14 +48,15 @@ def scrub_identifiers(spark, d):
 
 
 @query(
-    r"""SELECT doc_id, length(coalesce(text,'')) AS n_chars_found, round(length(regexp_replace(coalesce(text,''), '[^\p{Lu}]', '', 'g')) / greatest(length(coalesce(text,'')),1)::DOUBLE, 9) AS upper_ratio,
-    round(length(regexp_replace(coalesce(text,''), '[^\p{Nd}]', '', 'g')) / greatest(length(coalesce(text,'')),1)::DOUBLE, 9) AS digit_ratio,
-    round(length(regexp_replace(coalesce(text,''), '[^!-/:-@\[-`{-~]', '', 'g')) / greatest(length(coalesce(text,'')),1)::DOUBLE, 9) AS punct_ratio FROM documents"""
+    rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, t, greatest(length(t), 1)::DOUBLE AS n, list_filter(regexp_split_to_array(t, '{_WS}+'), lambda x: x <> '') AS w FROM t)
+    SELECT doc_id, length(t) AS n_chars_found, round(length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) / n, 9) AS upper_ratio, round(length(regexp_replace(t, '[^\p{{Nd}}]', '', 'g')) / n, 9) AS digit_ratio,
+    round((length(t) - length(regexp_replace(t, '{_WS}', '', 'g'))) / n, 9) AS space_ratio, round(length(regexp_replace(t, '[^!-/:-@\[-`{{-~]', '', 'g')) / n, 9) AS punct_ratio,
+    round(CASE WHEN len(w) > 0 THEN list_sum(list_transform(w, lambda x: length(x))) / len(w)::DOUBLE ELSE 0 END, 9) AS mean_word_length, len(w)::BIGINT AS n_words FROM w"""
 )
 def char_statistics(spark, d):
     s = table(spark, d, "documents").select("doc_id", *T.character_statistics("text"))
     r = lambda c: F.round(c, 9).alias(c)
-    return s.select("doc_id", "n_chars_found", r("upper_ratio"), r("digit_ratio"), r("punct_ratio"))
+    return s.select("doc_id", "n_chars_found", *map(r, ("upper_ratio", "digit_ratio", "space_ratio", "punct_ratio", "mean_word_length")), "n_words")
 
 
 @query()
@@ -60,13 +64,13 @@ def char_statistics_full(spark, d):
     return table(spark, d, "documents").select("doc_id", *T.character_statistics("text"))
 
 
-@query(
-    r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text,'')), '[\pL\pN_\pM]+') AS w FROM documents)
-    SELECT doc_id, round(len(list_filter(w, lambda x: x = 'the')) / greatest(len(w),1)::DOUBLE, 9) AS fw_the, round(len(list_filter(w, lambda x: x = 'that')) / greatest(len(w),1)::DOUBLE, 9) AS fw_that FROM t"""
-)
+_FW = ", ".join(f"round(len(list_filter(w, lambda x: x = '{w}')) / greatest(len(w), 1)::DOUBLE, 9) AS fw_{w}" for w in T.FUNCTION_WORDS)
+
+
+@query(rf"WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\pL\p{{Nl}}\pM\p{{Nd}}\p{{Pc}}\x{{200c}}\x{{200d}}]+') AS w FROM documents) SELECT doc_id, {_FW} FROM t")
 def function_words(spark, d):
     f = table(spark, d, "documents").select("doc_id", *T.function_word_frequencies("text"))
-    return f.select("doc_id", F.round("fw_the", 9).alias("fw_the"), F.round("fw_that", 9).alias("fw_that"))
+    return f.select("doc_id", *[F.round(f"fw_{w}", 9).alias(f"fw_{w}") for w in T.FUNCTION_WORDS])
 
 
 @query(
@@ -95,16 +99,11 @@ def model_owner_counts(spark, d):
     return table(spark, d, "chat_docs").groupBy(T.model_owner("model").alias("owner")).agg(F.count(F.lit(1)).alias("docs"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN lower(trim(language_primary)) IN ('', 'nan', 'none') THEN NULL ELSE upper(substr(trim(language_primary),1,1)) || lower(substr(trim(language_primary),2)) END AS lang
- FROM (SELECT DISTINCT doc_id, language_primary FROM chat_docs WHERE NOT contains(trim(language_primary), ' '))""")
+@query(
+    """WITH t AS (SELECT DISTINCT doc_id, trim(language_primary) AS l FROM chat_docs)
+    SELECT doc_id, CASE WHEN l IS NULL OR lower(l) IN ('', 'nan', 'none') THEN NULL ELSE array_to_string(list_transform(string_split(lower(l), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') END AS lang FROM t"""
+)
 def language_title(spark, d):
-    c = table(spark, d, "chat_docs").where(~F.trim("language_primary").contains(" ")).select("doc_id", "language_primary").distinct()
-    return c.select("doc_id", T.normalize_language("language_primary").alias("lang"))
-
-
-@query()
-def language_title_full(spark, d):
-    """Every label, also null ones and those of several words, for which SQL has no title case."""
     return table(spark, d, "chat_docs").select("doc_id", T.normalize_language("language_primary").alias("lang")).distinct()
 
 
@@ -127,14 +126,17 @@ def detection_text(spark, d):
     return table(spark, d, "documents").select("doc_id", T.strip_for_detection("text").alias("text"), F.round(T.script_share("text", "Han"), 6).alias("han"), F.round(T.script_share("text", "Cyrillic"), 6).alias("cyrillic"))
 
 
-@query(
-    """SELECT turn_type, CASE WHEN coalesce(content,'') = '' THEN 'empty' WHEN length(content) >= 8000 THEN 'too-long' WHEN (starts_with(ltrim(content, ' ' || chr(9) || chr(10) || chr(13)), '#') OR starts_with(ltrim(content, ' ' || chr(9) || chr(10) || chr(13)), '**')) AND contains(content, chr(10)||chr(10)) THEN 'markdown-body' ELSE 'other' END AS reason, count(*) AS n
-    FROM turn_log GROUP BY ALL"""
-)
+def _sql_reasons() -> str:
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    t, s = "t", "s"
+    how = {"begins": f"starts_with({s}, {{}})", "begins in any case": f"starts_with(lower({s}), {{}})", "holds": f"contains({t}, {{}})"}
+    lines = [f"WHEN {' OR '.join(how[k].format(q(x)) for x in texts)} THEN '{reason}'" for reason, k, texts in T.INJECTED]
+    return " ".join(["CASE WHEN t = '' THEN 'empty'", *lines, f"WHEN regexp_matches(s, {q(T._SCAFFOLD)}) THEN 'scaffolding' WHEN (starts_with(s, '#') OR starts_with(s, '**')) AND contains(s, chr(10) || chr(10)) THEN 'markdown-body' WHEN length(t) >= 8000 THEN 'too-long' END"])
+
+
+@query(f"WITH x AS (SELECT turn_type, coalesce(content, '') AS t, regexp_replace(coalesce(content, ''), '^{_WS}+', '') AS s FROM turn_log) SELECT turn_type, {_sql_reasons()} AS reason, count(*) AS n FROM x GROUP BY ALL")
 def human_turn_classes(spark, d):
-    r = T.nonhuman_reason("content")
-    r = F.when(r.isin("empty", "too-long", "markdown-body"), r).otherwise("other")
-    return table(spark, d, "turn_log").groupBy("turn_type", r.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "turn_log").groupBy("turn_type", T.nonhuman_reason("content").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- deduplication and filters ------------------------------------------------------------------------------------------
@@ -166,7 +168,11 @@ def dedup_pipeline(spark, d):
     return B.deduplicate(_texts(spark, d), "author_id", "text", "created_at", "doc_id").select("doc_id")
 
 
-@query()
+@query(
+    """WITH x AS (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY created_at NULLS FIRST, doc_id) AS r FROM documents WHERE text IS NOT NULL QUALIFY r = 1),
+    a AS (SELECT doc_id, CASE WHEN length(text) >= 100 THEN substr(text, 1, 100) END AS p, CASE WHEN length(text) >= 100 THEN substr(text, length(text) - 99, 100) END AS s FROM x)
+    SELECT doc_id FROM a WHERE coalesce(p NOT IN (SELECT p FROM a WHERE p IS NOT NULL GROUP BY p HAVING count(*) > 1), true) AND coalesce(s NOT IN (SELECT s FROM a WHERE s IS NOT NULL GROUP BY s HAVING count(*) > 1), true)"""
+)
 def dedup_unidentified(spark, d):
     return B.deduplicate_unidentified(_texts(spark, d), "doc_id", "text", "created_at", "doc_id").select("doc_id")
 
@@ -176,7 +182,11 @@ def min_docs_filter(spark, d):
     return B.min_docs(table(spark, d, "orders"), "o_custkey", 12).select("o_orderkey")
 
 
-@query()
+@query(
+    r"""WITH c AS (SELECT author_id, num_turns, array_to_string(list_filter(turns, lambda t: t IS NOT NULL), chr(10)) AS t FROM chat_docs WHERE author_id IS NOT NULL),
+    r AS (SELECT author_id FROM c GROUP BY author_id HAVING sum(coalesce(regexp_matches(t, '(?i)^\s*(?:System|Assistant|AI|ChatGPT|Bot)\s*:\s') OR regexp_matches(t, '(?i)(?:^|\n)\s*(?:Assistant|AI|ChatGPT|Bot)\s*:\s*$'), false)::INT) >= 2 AND bool_and(coalesce(num_turns = 1, false)))
+    SELECT DISTINCT doc_id, author_id FROM chat_docs WHERE author_id IS NULL OR author_id NOT IN (SELECT author_id FROM r)"""
+)
 def relay_author_drop(spark, d):
     return B.drop_relays(table(spark, d, "chat_docs")).select("doc_id", "author_id").distinct()
 
@@ -212,12 +222,8 @@ _LOG = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER
     f"""WITH l AS ({_LOG}) SELECT turn_id, coalesce(sum(CASE WHEN turn_type = 'agent_message' OR turn_type = 'tool_call' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY turn_number, turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS cum_agent FROM l"""
 )
 def cum_agent_before(spark, d):
-    from pyspark.sql.window import Window
-
     log = B.latest_delivery(table(spark, d, "turn_log")).where(F.col("turn_id").isNotNull())
-    w = Window.partitionBy("session_id").orderBy("turn_number", "turn_id").rowsBetween(Window.unboundedPreceding, -1)
-    agent = F.col("turn_type").isin("agent_message", "tool_call").cast("int")
-    return log.select("turn_id", F.coalesce(F.sum(agent).over(w), F.lit(0)).cast("bigint").alias("cum_agent"))
+    return B.agent_turns_before(log).select("turn_id", "cum_agent")
 
 
 @query()
@@ -275,7 +281,10 @@ def nearest_time_merge(spark, d):
     return B.nearest_time_pairs(e, "key", "user_id", "ts").withColumn("seconds", F.round("seconds", 6))
 
 
-@query()
+@query(
+    """WITH s AS (SELECT session_id, min(user_id) AS u0, min(repo_id) AS r FROM turn_log WHERE session_id IS NOT NULL GROUP BY session_id), v AS (SELECT session_id, CASE WHEN lower(u0) <> 'nan' THEN u0 END AS u, r FROM s),
+    p AS (SELECT r, min(u) AS lo, max(u) AS hi FROM v WHERE u IS NOT NULL AND r IS NOT NULL GROUP BY r) SELECT session_id, coalesce(u, CASE WHEN lo IS NULL THEN v.r WHEN lo = hi THEN lo END) AS identity FROM v LEFT JOIN p USING (r)"""
+)
 def recovered_identities(spark, d):
     s = table(spark, d, "turn_log").where(F.col("session_id").isNotNull()).groupBy("session_id").agg(F.min("user_id").alias("user_id"), F.min("repo_id").alias("repo_id"))
     return B.recover_identity(s).select("session_id", "identity")
@@ -374,11 +383,10 @@ def _chat(spark, d):
 
 
 @query(
-    r"""SELECT DISTINCT doc_id, list_transform(turns, lambda t: trim(regexp_replace(regexp_replace(lower(coalesce(t, '')), '[!-/:-@\[-`{-~]', '', 'g'), '\s+', ' ', 'g'))) AS turns FROM chat_docs WHERE turns IS NOT NULL AND NOT list_contains(list_transform(turns, lambda t: regexp_matches(coalesce(t,''), '[^\x00-\x7f]')), true)"""
+    rf"""SELECT DISTINCT doc_id, list_transform(turns, lambda t: trim(regexp_replace(regexp_replace(lower(coalesce(t, '')), '[!-/:-@\[-`{{-~]', '', 'g'), '{_WS}+', ' ', 'g'))) AS turns FROM chat_docs WHERE doc_id IS NOT NULL AND turns IS NOT NULL"""
 )
 def normalise_defense(spark, d):
-    ascii_only = ~F.exists("turns", lambda t: F.coalesce(t, F.lit("")).rlike(r"[^\x00-\x7f]"))
-    return D.apply("normalise", _chat(spark, d).where(ascii_only)).select("doc_id", "turns")
+    return D.apply("normalise", _chat(spark, d)).select("doc_id", "turns")
 
 
 @query()

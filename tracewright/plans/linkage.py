@@ -126,9 +126,12 @@ def loss_decomposition_split(spark, d):
     return Z.oracle_split(contingency(spark, d)).select(F.col("precision").cast("double").alias("precision"), F.round("recall", 6).alias("recall"), F.round("f1", 6).alias("f1"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_T}, mn AS (SELECT cluster, arg_max(author, struct_pack(n := n, a := author)) AS main FROM t GROUP BY cluster), r AS (SELECT main, author, sum(n) AS n FROM t JOIN mn USING (cluster) GROUP BY ALL),
+    w AS (SELECT *, sum(n) OVER (PARTITION BY main) AS c, sum(n) OVER (PARTITION BY author) AS a FROM r), b AS (SELECT sum(n * n / c) / sum(n) AS p, sum(n * n / a) / sum(n) AS r FROM w) SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1 FROM b"""
+)
 def loss_decomposition_merge(spark, d):
-    return Z.oracle_merge(contingency(spark, d))
+    return Z.oracle_merge(contingency(spark, d)).select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query(
@@ -180,9 +183,9 @@ def collection_shape(spark, d):
     return Z.shape_of_collection(truth(spark, d)).select("docs", "authors", F.col("true_links").cast("double").alias("true_links"), F.round("prevalence", 9).alias("prevalence"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_T} SELECT c.id, round(n / in_cluster, 6) AS precision, round(n / by_author, 6) AS recall FROM c JOIN embeddings l ON c.id = l.vec_id JOIN t ON t.cluster = c.cluster AND t.author = l.label")
 def per_document_bcubed(spark, d):
-    return Z.per_document(parts(spark, d), truth(spark, d))
+    return Z.per_document(parts(spark, d), truth(spark, d)).select("id", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
 @query()
@@ -349,10 +352,10 @@ def slice_diagnostics(spark, d):
     return W.slice_diagnostics("all", knn(spark, d), truth(spark, d))
 
 
-@query()
+@query(f"WITH RECURSIVE {_T} SELECT author < 5 AS seen, sum(n)::BIGINT AS docs, round(sum(n * n / in_cluster) / sum(n), 6) AS precision, round(sum(n * n / by_author) / sum(n), 6) AS recall FROM t GROUP BY 1")
 def seen_unseen_bcubed(spark, d):
     t = truth(spark, d)
-    return W.seen_and_unseen(parts(spark, d), t, t.where("author < 5"))
+    return W.seen_and_unseen(parts(spark, d), t, t.where("author < 5")).select("seen", "docs", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
 @query()

@@ -46,16 +46,23 @@ def spread(df: DataFrame, *keys: str, task_bytes: int = TASK_BYTES) -> DataFrame
     return df.repartition(int(n), *keys)
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Materialise ``df`` in the folder all executors share and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the session's ``spark.checkpoint.dir``; only where that is unset, on one machine, a temporary one.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, one machine) is a
-    temporary folder chosen.
+    On a cluster without the setting it is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="tracewright-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Materialise ``df`` in the folder all executors share (:func:`shared_folder`) and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=eager)
 
 
