@@ -409,6 +409,19 @@ def ngram_reuse(original, rewritten, n: int = 8) -> Column:
     return F.when(F.size(a) > 0, F.size(F.array_intersect(a, grams(rewritten))) / F.size(a)).otherwise(0.0)
 
 
+def code_kept(original, rewritten) -> Column:
+    """Whether every piece of code of the original, fenced or in backticks, stands in the rewritten text byte for byte; null without code."""
+    spans = F.regexp_extract_all(F.coalesce(_c(original), F.lit("")), F.lit(r"(?s)```.*?```|`[^`\n]+`"), F.lit(0))
+    return F.when(F.size(spans) > 0, F.forall(spans, lambda x: F.coalesce(_c(rewritten), F.lit("")).contains(x)))
+
+
+def token_summary(df, turns: str = "turns"):
+    """``docs, mean, median, p95, most, total`` of the estimated tokens of documents: a corpus' size before it is sent anywhere."""
+    t = token_estimate(turns)
+    q = lambda x: F.percentile("_t", F.lit(x))
+    return df.select(t.alias("_t")).agg(F.count("_t").alias("docs"), F.avg("_t").alias("mean"), q(0.5).alias("median"), q(0.95).alias("p95"), F.max("_t").alias("most"), F.sum("_t").alias("total"))
+
+
 def parse_score(reply, field: str = "score") -> Column:
     """A judge's score from 1 to 5: the JSON field, else the last labelled number; else null."""
     json_ = F.get_json_object(strip_fence(reply), f"$.{field}")

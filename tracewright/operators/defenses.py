@@ -141,3 +141,18 @@ def spans(docs: DataFrame) -> DataFrame:
 
 
 from . import frames, habits  # noqa: E402, F401  (they register defenses of their own)
+
+
+def _searches() -> None:
+    """The search defenses under their names, with their budgets and targets."""
+    from .search import footprint_loop
+    from .unlink import unlink
+
+    for name, budget in {"loo_unlink": 0.2, **{f"loo_unlink_b{b:02d}": b / 100 for b in (5, 10, 20, 30, 50)}}.items():
+        defense(name)(lambda docs, budget=budget: unlink(docs, budget).select("doc_id", "author_id", "turns"))
+    for name, alpha in {"afr": 0.5, **{f"afr_a{a:02d}": a / 100 for a in (0, 25, 50, 75)}}.items():
+        defense(name)(lambda docs, alpha=alpha: footprint_loop(docs, "doc_id", alpha=alpha).select("doc_id", "author_id", "turns"))
+    defense("afr_stage1")(lambda docs: footprint_loop(docs, "doc_id", most_probes=0).select("doc_id", "author_id", "turns"))
+
+
+_searches()

@@ -56,6 +56,22 @@ def summary(table: DataFrame) -> DataFrame:
     return a.crossJoin(b).crossJoin(pw).withColumn("amplification", F.col("link_precision") / prevalence).drop("true_links")  # single rows
 
 
+def full_report(table: DataFrame) -> DataFrame:
+    """One row with everything about a partition: shape, sizes, BCubed and link metrics, authors, ceilings, baselines, amplification."""
+    one = lambda d, prefix: d.select(*[F.col(c).alias(f"{prefix}_{c}") for c in d.columns])
+    sizes = table.select("cluster", "in_cluster").distinct().agg(
+        F.max("in_cluster").alias("largest"), F.avg("in_cluster").alias("mean_size"), F.percentile("in_cluster", F.lit(0.5)).alias("median_size"), F.sum((F.col("in_cluster") > 1).cast("bigint")).alias("linked_clusters")
+    )
+    au = per_author(table).agg(
+        F.avg("largest_share").alias("mean_largest_share"), F.avg(F.when(F.col("n") > 1, F.col("any_link").cast("double"))).alias("any_link_rate"), F.avg(F.col("reassembled").cast("double")).alias("reassembled_rate"), F.avg("clusters").alias("clusters_per_author")
+    )
+    by = table.select("author", "by_author").distinct()
+    n = F.sum("by_author")
+    base = by.agg((F.count(F.lit(1)) / n).alias("singleton_recall"), (F.sum(F.col("by_author") * F.col("by_author")) / (n * n)).alias("single_precision"))
+    pw = pairwise(table)
+    return summary(table).drop("link_precision").crossJoin(sizes).crossJoin(au).crossJoin(base).crossJoin(bcubed(table)).crossJoin(one(pw, "link")).crossJoin(one(oracle_split(table).select("recall", "f1"), "split")).crossJoin(one(oracle_merge(table).select("precision", "f1"), "merge"))  # single rows
+
+
 def singleton_baseline(truth: DataFrame) -> DataFrame:
     """Every document alone: precision 1, recall the mean of one over the author's number."""
     n = F.count(F.lit(1)).over(Window.partitionBy("author"))

@@ -110,3 +110,33 @@ def link_bound(margins: DataFrame, sigma: float) -> DataFrame:
         return x.map(lambda v: 0.5 * math.erfc(v / math.sqrt(2)))
 
     return margins.groupBy("q").agg(F.greatest(F.lit(0.0), 1 - F.sum(phi(F.col("margin") / sigma))).alias("bound"))
+
+
+def joint_bounds(margins: DataFrame, sigma: float, k: int = 2) -> DataFrame:
+    """``q, bound``: the union bound over impostors, each of which must outscore the k nearest own documents at once.
+
+    ``margins`` has ``q, label, margins`` (k of them, nearest first) and ``rhos``, the correlations of the noise in two of
+    them (for three documents those of 01, 02, 12). A joint term is at most the single one, so the bound only tightens.
+    """
+    from ..functions import normal
+
+    @F.pandas_udf("double")
+    def term(m: pd.Series, r: pd.Series) -> pd.Series:
+        import numpy as np
+
+        if not len(m):
+            return pd.Series([], dtype=float)
+        h = -np.stack(m.to_numpy()).astype(float)[:, :k] / sigma
+        single = normal.phi(h[:, 0])
+        rho = np.stack(r.to_numpy()).astype(float)
+        joint = normal.bivariate(h[:, 0], h[:, 1], rho[:, 0]) if k == 2 else normal.trivariate(h[:, :3], rho[:, :3])
+        return pd.Series(np.minimum(single, joint))
+
+    return margins.groupBy("q").agg(F.greatest(F.lit(0.0), 1 - F.sum(term("margins", "rhos"))).alias("bound"))
+
+
+def author_bound(bounds: DataFrame, truth: DataFrame) -> DataFrame:
+    """``mean_bound, author_bound``: mean over documents, and mean over authors of the chance that one document at least is linked."""
+    b = bounds.join(truth.select("q", "author"), "q")
+    per = b.groupBy("author").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("bound"), F.lit(1e-300)))))).alias("a"), F.sum("bound").alias("s"), F.count(F.lit(1)).alias("n"))
+    return per.agg((F.sum("s") / F.sum("n")).alias("mean_bound"), F.avg("a").alias("author_bound"))

@@ -40,9 +40,10 @@ def footprint_loop(
     """
     d = docs.where("doc_id is not null and turns is not null").withColumn("_text", F.array_join("turns", "\n\n"))
     before = Window.partitionBy("author_id").orderBy(*order).rowsBetween(-priors, -1)
-    earlier = F.when(F.col("author_id").isNotNull(), F.collect_list("_text").over(before)).otherwise(F.array().cast("array<string>"))
     some = d.orderBy(F.xxhash64("doc_id", F.lit(seed))).limit(pool).agg(F.collect_list(F.struct("author_id", "_text")).alias("_pool"))  # one row of a fixed number of texts
-    rows = d.withColumn("_prior", earlier).crossJoin(F.broadcast(some)).select("doc_id", "author_id", "turns", "_prior", "_pool")
+    # documents without an author have no earlier ones and stay out of the exchange
+    rows = d.where("author_id is not null").withColumn("_prior", F.collect_list("_text").over(before))
+    rows = rows.unionByName(d.where("author_id is null").withColumn("_prior", F.array().cast("array<string>"))).crossJoin(F.broadcast(some)).select("doc_id", "author_id", "turns", "_prior", "_pool")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -371,10 +371,11 @@ def tfidf_cosine_search(spark, d):
 
 @query()
 def fragment_lift(spark, d):
-    docs = table(spark, d, "chat_docs").where("author_id is not null").select("author_id", F.array_join("turns", "\n").alias("text"))
-    c = X.char_ngrams(docs.distinct(), "author_id", "text")
+    docs = table(spark, d, "chat_docs").where("author_id is not null").select("author_id", F.array_join("turns", "\n").alias("text")).distinct()
+    c = docs.select(F.col("author_id").alias("id"), F.explode(X.word_bounded(F.col("text"))).alias("gram")).groupBy("id", "gram").agg(F.count(F.lit(1)).alias("tf"))
+    c = cut(X.sublinear(c))
     pairs = B.interval_pairs(table(spark, d, "identity_intervals"), ["accept_language", "device_info", "country"])
-    return X.author_lift(pairs, X.tfidf(c, X.vocabulary(c)))
+    return X.author_lift(pairs, X.tfidf(c, X.vocabulary(c, ids=docs.select(F.col("author_id").alias("id")))))
 
 
 # --- defenses -----------------------------------------------------------------------------------------------------------
@@ -494,3 +495,19 @@ def evolved_turn(spark, d):
 
     best = evolve_turn(_chat(spark, d), ["Thanks for all of it.", "The harbour is quiet and the lighthouse is dark tonight.", "0 1 2 3 4 5 6 7 8 9"], generations=1, children=4)
     return spark.createDataFrame(best, "turn string, fitness double").withColumn("fitness", F.round("fitness", 6))
+
+
+@query("SELECT source, language_primary AS language, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, language_primary) AS rank FROM (SELECT source, language_primary, count(*) AS n FROM chat_docs WHERE language_primary IS NOT NULL GROUP BY ALL)) WHERE rank <= 12")
+def language_report(spark, d):
+    return B.language_table(table(spark, d, "chat_docs"))
+
+
+@query("SELECT count(t) AS docs, round(avg(t), 6) AS mean, quantile_cont(t, 0.5)::DOUBLE AS median, quantile_cont(t, 0.95)::DOUBLE AS p95, max(t) AS most, sum(t)::BIGINT AS total FROM (SELECT CAST(round_even(list_sum(list_transform(turns, lambda x: length(coalesce(x, '')))) / 4.0, 0) AS BIGINT) AS t FROM chat_docs WHERE len(turns) > 0)")
+def token_report(spark, d):
+    return T.token_summary(table(spark, d, "chat_docs").where(F.size("turns") > 0)).withColumn("mean", F.round("mean", 6))
+
+
+@query("WITH c AS (SELECT doc_id, text, regexp_extract_all(text, '(?s)```.*?```|`[^`\n]+`') AS s FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN len(s) > 0 THEN len(list_filter(s, lambda x: NOT contains(lower(text), x))) = 0 END AS kept FROM c")
+def code_kept_lowered(spark, d):
+    t = table(spark, d, "documents").where("text is not null")
+    return t.select("doc_id", T.code_kept("text", F.lower("text")).alias("kept"))

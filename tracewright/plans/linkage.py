@@ -383,3 +383,13 @@ def contrastive_scores(spark, d):
     k, u = sides(spark, d)
     m = W.contrastive_projection(k)
     return A.centroid(A.project(k, m), A.project(u, m)).withColumn("score", F.round("score", 6))
+
+
+@query(
+    f"""WITH RECURSIVE {_T}, c2 AS (SELECT DISTINCT cluster, in_cluster FROM t), a2 AS (SELECT author, max(by_author) AS n, count(*) AS k, max(n) AS top, bool_or(n = by_author AND n = in_cluster) AS whole FROM t GROUP BY author)
+    SELECT (SELECT count(*) FROM c2) AS clusters, (SELECT max(in_cluster) FROM c2)::BIGINT AS largest, (SELECT quantile_cont(in_cluster, 0.5) FROM c2)::DOUBLE AS median_size, round(avg(top / n::DOUBLE), 6) AS mean_largest_share, round(avg(CASE WHEN n > 1 THEN (top > 1)::INT END), 6) AS any_link_rate,
+    round(avg(whole::INT), 6) AS reassembled_rate, round(count(*) / sum(n), 6) AS singleton_recall, round(sum(n * n) / (sum(n) * sum(n)), 6) AS single_precision FROM a2"""
+)
+def clustering_report(spark, d):
+    r = Z.full_report(contingency(spark, d))
+    return r.select("clusters", "largest", "median_size", *[F.round(c, 6).alias(c) for c in ("mean_largest_share", "any_link_rate", "reassembled_rate", "singleton_recall", "single_precision")])

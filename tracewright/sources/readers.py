@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as P
 
 from ..functions import text as T
+from ..runtime import cut
 
 #: Canonical document table; the order is part of the contract.
 DOCUMENT = P.StructType(
@@ -103,3 +104,60 @@ def sample_by_hash(df: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:
 def shard(df: DataFrame, key: str, index: int, shards: int) -> DataFrame:
     """One of several disjoint parts; an author's rows stay together where the key is the author."""
     return df.where(F.pmod(F.xxhash64(key), F.lit(shards)) == index)
+
+
+def two_passes(spark, path: str, id_col: str, small: list[str], wide: list[str], choose) -> DataFrame:
+    """Rows of a wide table that a choice on its small columns keeps: the first pass reads only those, the second the rest.
+
+    ``choose`` maps the small columns to a frame with ``id_col`` and what else is to be kept of them. The text columns of
+    rows that aren't chosen are read, but never leave their scan.
+    """
+    kept = choose(spark.read.parquet(path).select(id_col, *small))
+    return spark.read.parquet(path).select(id_col, *[c for c in wide if c not in kept.columns]).join(kept, id_col)
+
+
+#: Categories of image conversations, as flags of the document table.
+CATEGORIES = ("captioning", "code", "creative_writing", "diagram", "entity_recognition", "homework", "humor", "is_code", "ocr")
+
+
+def image_documents(spark, path: str, source: str = "vision-arena", least_docs: int = 2, merge: bool = True, window: float = 600.0) -> DataFrame:
+    """Image conversations as documents: preset images dropped, split identities merged, authors with too few documents left out.
+
+    Small columns decide in a first pass; the texts of what is kept are read in a second one. The table has ``conversation_id,
+    user_id, image_name, tstamp, is_preset, conversation (array of role, content), model, language, categories (map of flags)``.
+    Identities that share an image, at most three of them and within ``window`` seconds, are one; a chain of more than five
+    stays apart.
+    """
+    from ..operators import build as B
+    from ..operators.graph import components
+
+    def choose(small: DataFrame) -> DataFrame:
+        rows = cut(small.where(~F.coalesce("is_preset", F.lit(False)) & F.col("user_id").isNotNull()))
+        ids = rows.select(F.col("user_id").alias("id")).distinct()
+        if merge:
+            pairs = B.nearest_time_pairs(rows, "image_name", "user_id", "tstamp", window)
+            c = components(ids, pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+            n = c.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+            c = c.join(n, "component").select(F.col("id").alias("user_id"), F.when(F.col("n") <= 5, F.col("component")).otherwise(F.col("id")).alias("identity_id"))
+        else:
+            c = ids.select(F.col("id").alias("user_id"), F.col("id").alias("identity_id"))
+        rows = rows.join(c, "user_id")
+        per = rows.groupBy("identity_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").cast("int").alias("n_upstream_ids")).where(F.col("n") >= max(1, least_docs))
+        return rows.join(per.drop("n"), "identity_id").select("conversation_id", "identity_id", "n_upstream_ids", "image_name", "tstamp")
+
+    got = two_passes(spark, path, "conversation_id", ["user_id", "image_name", "tstamp", "is_preset"], ["conversation", "model", "language", "categories"], choose)
+    users = F.transform(F.filter("conversation", lambda t: (t["role"] == "user") & (T.strip(t["content"]) != "")), lambda t: t["content"])
+    iso = F.date_format("tstamp", "yyyy-MM-dd'T'HH:mm:ssXXX")
+    flags = [F.coalesce(F.col("categories")[c], F.lit(False)).alias(c) for c in CATEGORIES]
+    out = got.select(
+        F.concat(F.lit("va-"), "conversation_id").alias("doc_id"), F.lit(source).alias("source"), T.hash_author_id(F.lit(source), F.concat(F.lit("user:"), F.col("identity_id").cast("string"))).alias("author_id"), users.alias("turns"),
+        F.when(F.lower("language") != "unknown", T.normalize_language("language")).alias("language_primary"), "model", T.model_owner("model").alias("model_owner"), iso.alias("started_at"), iso.alias("ended_at"), "image_name", "n_upstream_ids", *flags,
+    )
+    return out.where(F.size("turns") > 0).withColumn("num_turns", F.size("turns"))
+
+
+def rows_at(df: DataFrame, places: DataFrame, *order: str) -> DataFrame:
+    """Rows at given places (``pos``) of a total order, by a join on the place; places beyond the table give none."""
+    from ..operators.timeline import positions
+
+    return positions(df, *order).join(places.select("pos").distinct(), "pos", "left_semi")
