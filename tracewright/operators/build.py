@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -256,40 +258,50 @@ def summarize(df: DataFrame, source: str = "source", author: str = "author_id",
 def violations(df: DataFrame) -> DataFrame:
     """``rule, n``: rows of a document table that break a rule of the canonical schema."""
     n_turns = F.size(F.coalesce("turns", F.array().cast("array<string>")))
-    rules = {
-        "doc_id is null": F.col("doc_id").isNull(),
-        "turns are null or empty": n_turns == 0,
-        "num_turns isn't the number of turns": ~F.coalesce(F.col("num_turns") == n_turns, F.lit(False)),
-        "a turn is null or blank": F.coalesce(F.exists("turns", lambda t: t.isNull() | (T.strip(t) == "")), F.lit(False)),
-        "language_primary is null": F.col("language_primary").isNull(),
-        "ended before started": F.coalesce(F.col("ended_at") < F.col("started_at"), F.lit(False)),
-        "started_at isn't a time": F.col("started_at").isNotNull() & F.col("started_at").try_cast("timestamp").isNull(),
-        "ended_at isn't a time": F.col("ended_at").isNotNull() & F.col("ended_at").try_cast("timestamp").isNull(),
-        "only one of both times": F.col("started_at").isNull() != F.col("ended_at").isNull(),
-        "source is null or blank": F.coalesce(T.strip("source") == "", F.lit(True)),
-        "author_id is blank": F.coalesce(T.strip("author_id") == "", F.lit(False)),
-        "author_id isn't of its source": F.coalesce(~F.col("author_id").startswith(F.concat(F.col("source"), F.lit("-"))), F.lit(False)),
-        "languages are equal": F.coalesce(F.col("language_primary") == F.col("language_secondary"), F.lit(False)),
-        "a second language without a first": F.col("language_primary").isNull() & F.col("language_secondary").isNotNull(),
-        "language_primary isn't in title case": F.coalesce(F.col("language_primary") != F.initcap("language_primary"), F.lit(False)),
-        "model is null or blank": F.coalesce(T.strip("model") == "", F.lit(True)),
-        "model_owner isn't the model's": ~F.coalesce(F.col("model_owner") == T.model_owner("model"), F.lit(False)),
-        "a turn holds an address": F.coalesce(F.exists("turns", lambda t: t.rlike(r"https?://\S")), F.lit(False)),
-        "a turn holds an email": F.coalesce(F.exists("turns", lambda t: t.rlike(r"[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}")), F.lit(False)),
-        "a turn ends in blanks": F.coalesce(F.exists("turns", lambda t: t.rlike(r"[ \t](?:\n|$)")), F.lit(False)),
-        "a turn has three empty lines": F.coalesce(F.exists("turns", lambda t: t.contains("\n\n\n")), F.lit(False)),
-        "a turn is a tool's text": F.coalesce(F.exists("turns", lambda t: T.is_scaffolding(t)), F.lit(False)),
-        "a turn repeats the one before": F.coalesce(F.size(F.filter(F.arrays_zip(F.slice("turns", 1, F.greatest(n_turns - 1, F.lit(0))).alias("a"), F.slice("turns", 2, F.greatest(n_turns - 1, F.lit(0))).alias("b")), lambda x: x["a"] == x["b"])) > 0, F.lit(False)),
-        "chat labels in the turns": T.has_chat_scaffolding("turns"),
+    rules: dict[str, Callable[[], Column]] = {
+        "doc_id is null": lambda: F.col("doc_id").isNull(),
+        "turns are null or empty": lambda: n_turns == 0,
+        "num_turns isn't the number of turns": lambda: ~F.coalesce(F.col("num_turns") == n_turns, F.lit(False)),
+        "a turn is null or blank": lambda: F.coalesce(F.exists("turns", lambda t: t.isNull() | (T.strip(t) == "")), F.lit(False)),
+        "language_primary is null": lambda: F.col("language_primary").isNull(),
+        "ended before started": lambda: F.coalesce(F.col("ended_at") < F.col("started_at"), F.lit(False)),
+        "started_at isn't a time": lambda: F.col("started_at").isNotNull() & F.col("started_at").try_cast("timestamp").isNull(),
+        "ended_at isn't a time": lambda: F.col("ended_at").isNotNull() & F.col("ended_at").try_cast("timestamp").isNull(),
+        "only one of both times": lambda: F.col("started_at").isNull() != F.col("ended_at").isNull(),
+        "source is null or blank": lambda: F.coalesce(T.strip("source") == "", F.lit(True)),
+        "author_id is blank": lambda: F.coalesce(T.strip("author_id") == "", F.lit(False)),
+        "author_id isn't of its source": lambda: F.coalesce(~F.col("author_id").startswith(F.concat(F.col("source"), F.lit("-"))), F.lit(False)),
+        "languages are equal": lambda: F.coalesce(F.col("language_primary") == F.col("language_secondary"), F.lit(False)),
+        "a second language without a first": lambda: F.col("language_primary").isNull() & F.col("language_secondary").isNotNull(),
+        "language_primary isn't in title case": lambda: F.coalesce(F.col("language_primary") != F.initcap("language_primary"), F.lit(False)),
+        "model is null or blank": lambda: F.coalesce(T.strip("model") == "", F.lit(True)),
+        "model_owner isn't the model's": lambda: ~F.coalesce(F.col("model_owner") == T.model_owner("model"), F.lit(False)),
+        "a turn holds an address": lambda: F.coalesce(F.exists("turns", lambda t: t.rlike(r"https?://\S")), F.lit(False)),
+        "a turn holds an email": lambda: F.coalesce(F.exists("turns", lambda t: t.rlike(r"[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}")), F.lit(False)),
+        "a turn ends in blanks": lambda: F.coalesce(F.exists("turns", lambda t: t.rlike(r"[ \t](?:\n|$)")), F.lit(False)),
+        "a turn has three empty lines": lambda: F.coalesce(F.exists("turns", lambda t: t.contains("\n\n\n")), F.lit(False)),
+        "a turn is a tool's text": lambda: F.coalesce(F.exists("turns", lambda t: T.is_scaffolding(t)), F.lit(False)),
+        "a turn repeats the one before": lambda: F.coalesce(F.size(F.filter(F.arrays_zip(F.slice("turns", 1, F.greatest(n_turns - 1, F.lit(0))).alias("a"), F.slice("turns", 2, F.greatest(n_turns - 1, F.lit(0))).alias("b")), lambda x: x["a"] == x["b"])) > 0, F.lit(False)),
+        "chat labels in the turns": lambda: T.has_chat_scaffolding("turns"),
     }
+    # a rule over a column that isn't there is left out
+    needs = {
+        "num_turns": ("num_turns",), "language": ("language_primary",), "second language": ("language_secondary",), "are equal": ("language_secondary",), "started": ("started_at",), "ended": ("ended_at", "started_at"),
+        "both times": ("started_at", "ended_at"), "source": ("source",), "model is": ("model",), "model_owner": ("model", "model_owner"), "author": ("author_id",), "isn't of its source": ("source", "author_id"),
+    }
+    here = lambda rule: all(c in df.columns for words, cols in needs.items() if words in rule for c in cols)
+    rules = {r: f() for r, f in rules.items() if here(r)}
     one = df.agg(*[F.sum(c.cast("bigint")).alias(r) for r, c in rules.items()])
     repeated = df.groupBy("doc_id").count().where("count > 1").agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n"))
     listed = one.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.coalesce(F.col(f"`{r}`"), F.lit(0)).alias("n")) for r in rules])).alias("x")).select("x.rule", "x.n")
-    alone = df.where(F.col("author_id").isNotNull()).groupBy("author_id").agg(F.countDistinct("doc_id").alias("c")).where("c < 2").agg(F.count(F.lit(1)).alias("n"))
-    shared = df.where(F.col("author_id").isNotNull()).groupBy("author_id").agg(F.countDistinct("source").alias("c")).where("c > 1").agg(F.count(F.lit(1)).alias("n"))
-    twice = df.where(n_turns > 0).groupBy("author_id", F.xxhash64("turns").alias("h")).agg(F.countDistinct("doc_id").alias("c")).where("c > 1").agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("n"))
+    has = lambda *c: all(x in df.columns for x in c)
+    alone = None if not has("author_id") else df.where(F.col("author_id").isNotNull()).groupBy("author_id").agg(F.countDistinct("doc_id").alias("c")).where("c < 2").agg(F.count(F.lit(1)).alias("n"))
+    shared = None if not has("author_id", "source") else df.where(F.col("author_id").isNotNull()).groupBy("author_id").agg(F.countDistinct("source").alias("c")).where("c > 1").agg(F.count(F.lit(1)).alias("n"))
+    twice = None if not has("author_id") else df.where(n_turns > 0).groupBy("author_id", F.xxhash64("turns").alias("h")).agg(F.countDistinct("doc_id").alias("c")).where("c > 1").agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("n"))
     more = {"doc_id is repeated": repeated, "an author has one document": alone, "an author has several sources": shared, "an author's turns are repeated": twice}
     for rule, d in more.items():
+        if d is None:
+            continue
         listed = listed.unionByName(d.select(F.lit(rule).alias("rule"), "n"))
     return listed
 

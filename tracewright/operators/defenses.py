@@ -148,11 +148,16 @@ def _searches() -> None:
     from .search import footprint_loop
     from .unlink import unlink
 
+    def put_back(docs: DataFrame, out: DataFrame) -> DataFrame:
+        """All documents, those the search leaves out (without an id or turns) as they were."""
+        new = out.select("doc_id", F.col("turns").alias("_new"))
+        return docs.join(new, "doc_id", "left").withColumn("turns", F.coalesce("_new", "turns")).select(*docs.columns)
+
     for name, budget in {"loo_unlink": 0.2, **{f"loo_unlink_b{b:02d}": b / 100 for b in (5, 10, 20, 30, 50)}}.items():
-        defense(name)(lambda docs, budget=budget: unlink(docs, budget).select("doc_id", "author_id", "turns"))
+        defense(name)(lambda docs, budget=budget: put_back(docs, unlink(docs, budget)))
     for name, alpha in {"afr": 0.5, **{f"afr_a{a:02d}": a / 100 for a in (0, 25, 50, 75)}}.items():
-        defense(name)(lambda docs, alpha=alpha: footprint_loop(docs, "doc_id", alpha=alpha).select("doc_id", "author_id", "turns"))
-    defense("afr_stage1")(lambda docs: footprint_loop(docs, "doc_id", most_probes=0).select("doc_id", "author_id", "turns"))
+        defense(name)(lambda docs, alpha=alpha: put_back(docs, footprint_loop(docs, "doc_id", alpha=alpha)))
+    defense("afr_stage1")(lambda docs: put_back(docs, footprint_loop(docs, "doc_id", most_probes=0)))
 
 
 _searches()

@@ -107,6 +107,12 @@ def language_title(spark, d):
     return table(spark, d, "chat_docs").select("doc_id", T.normalize_language("language_primary").alias("lang")).distinct()
 
 
+@query()
+def language_title_full(spark, d):
+    """Every label, also those in scripts for which SQL has another title case."""
+    return language_title(spark, d)
+
+
 @query(
     r"""SELECT DISTINCT doc_id, len(list_filter(coalesce(turns, []), lambda t: t IS NOT NULL AND regexp_replace(t, '^\s+|\s+$', '', 'g') <> '')) AS kept,
     CAST(round_even(list_sum(list_transform(coalesce(turns, []), lambda t: length(coalesce(t,'')))) / 4.0, 0) AS BIGINT) AS tokens FROM chat_docs WHERE len(turns) > 0"""
@@ -507,7 +513,8 @@ def token_report(spark, d):
     return T.token_summary(table(spark, d, "chat_docs").where(F.size("turns") > 0)).withColumn("mean", F.round("mean", 6))
 
 
-@query("WITH c AS (SELECT doc_id, text, regexp_extract_all(text, '(?s)```.*?```|`[^`\n]+`') AS s FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN len(s) > 0 THEN len(list_filter(s, lambda x: NOT contains(lower(text), x))) = 0 END AS kept FROM c")
+@query("WITH c AS (SELECT doc_id, text, regexp_extract_all(text, '(?s)```.*?```|`[^`\n]+`') AS s FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN len(s) = 0 THEN 'no code' WHEN len(list_filter(s, lambda x: NOT contains(lower(text), x))) = 0 THEN 'kept' ELSE 'changed' END AS code FROM c")
 def code_kept_lowered(spark, d):
     t = table(spark, d, "documents").where("text is not null")
-    return t.select("doc_id", T.code_kept("text", F.lower("text")).alias("kept"))
+    kept = T.code_kept("text", F.lower("text"))
+    return t.select("doc_id", F.when(kept.isNull(), "no code").when(kept, "kept").otherwise("changed").alias("code"))
