@@ -66,13 +66,16 @@ LOREM = frozenset(
     " exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur"
     " excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum vitae porta massa nunc vestibulum pellentesque".split()
 )
-_ERROR = regex.compile(
+_ERROR_START = regex.compile(
     r"^\W*(?:(?:http|api|server|fatal|internal|runtime)\s+)?(?:error|erreur|fehler|errore|erro|fout|ошибка|错误)\W*(?:[45]\d\d\b|[:#]\s*\d{2,}|$)"
     r"|^\W*(?:[45]\d\d)\b\W*(?:$|not found|bad |internal|service|gateway|forbidden|unauthori[sz]ed|too many|request|error|page|seite|página|pagina|страница)"
     r"|^\W*(?:api error\b|bad gateway|gateway time-?out|service (?:temporarily )?unavailable|internal server error|access denied|forbidden$|not found$|too many requests|rate limit exceeded"
     r"|(?:page|file|site|resource)\s+not\s+found|seite nicht gefunden|zugriff verweigert|p[aá]gina (?:no encontrada|n[aã]o encontrada|non trovata)|page (?:non trouvée|introuvable)|acc[eè]s (?:refusé|interdit)|acceso denegado|acesso negado|accesso negato|pagina niet gevonden|toegang geweigerd|страница не найдена|доступ (?:запрещ[её]н|закрыт)|找不到(?:页面|该页)|页面不存在|拒绝访问|oops\b|whoops\b)"
-    r"|^\W*\{\s*\"(?:error|errors|status|code|message|detail)\"\s*:"
-    r"|\b(?:something went wrong|an error (?:has )?occurred|etwas ist schief|une erreur (?:s'est produite|est survenue)|algo sali[oó] mal|ha ocurrido un error|ocorreu um erro|si è verificato un errore|er is iets misgegaan|произошла ошибка|出错了)\b"
+    r"|^\W*\{\s*\"(?:error|errors|status|code|message|detail)\"\s*:",
+    _I,
+)
+_ERROR_INSIDE = regex.compile(
+    r"\b(?:something went wrong|an error (?:has )?occurred|etwas ist schief|une erreur (?:s'est produite|est survenue)|algo sali[oó] mal|ha ocurrido un error|ocorreu um erro|si è verificato un errore|er is iets misgegaan|произошла ошибка|出错了)\b"
     r"|\b(?:page|resource|link|url) (?:you (?:asked for|requested)|(?:no longer|does not) exists?)\b|\b(?:do not|don't) have (?:permission|access)\b.{0,20}\b(?:page|resource|site)"
     r"|\b(?:server|host|upstream|gateway)\b.{0,40}\b(?:could not|did not|gave no|failed|closed|refused|timed out)\b|\bconnection (?:was )?(?:closed|reset|refused|timed out)\b",
     _I,
@@ -86,6 +89,13 @@ _NOTICE = regex.compile(
     r"|启用.{0,6}(?:脚本|cookie)|включите.{0,12}(?:скрипт|javascript)",
     _I,
 )
+#: One of these stands in every text that a pattern above can match inside; looked for once in a turn.
+_ERROR_HINTS = (
+    "wrong", "occurred", "schief", "erreur", "algo", "ocurrido", "ocorreu", "verificato", "misgegaan", "произошла", "出错", "you asked for", "you requested", "no longer", "does not exist", "have permission", "have access", "server", "host", "upstream",
+    "gateway", "connection",
+)
+_NOTICE_HINTS = ("script", "cookie", "browser", "navigateur", "navegador", "connection", "please wait", "without", "just a moment", "脚本", "скрипт")
+_FILLER_HINTS = ("text", "content", "copy", "paragraph", "inhalt", "testo", "tekst", "lorem", "contenido", "bla", "占位", "示例", "текст")
 _ASKS = regex.compile(
     r"[?？]\s*$|^\W*(?:how|why|what|who|when|where|which|is|are|do|does|can|could|should|would|wie|warum|was|wer|wieso|weshalb|comment|pourquoi|qu[e']|qui|cómo|como|por qu|qué|quién|perch|come|cosa|chi|hoe|waarom|wat|wie|как|почему|что|кто|怎么|为什么|什么)\b",
     _I,
@@ -104,20 +114,22 @@ def placeholder(text: str) -> bool:
     return any(rx.search(body) for rx in _PLACEHOLDERS)
 
 
-def _filler(segment: str, words: list[str]) -> bool:
+def _filler(segment: str, words: list[str], named: bool = True) -> bool:
     if len(words) >= 4 and sum(w in LOREM for w in words) >= 0.6 * len(words):
         return True
     if len(words) >= 3 and len(set(words)) <= max(1, len(words) // 4):
         return True
     if len(words) >= 3 and all(len(set(w)) == 1 and not w.isdigit() for w in words) and sum(map(len, words)) >= 2 * len(words):
         return True  # xxxx xxx xx
-    return bool(_FILLER.search(segment)) and len(words) <= 14
+    return named and len(words) <= 14 and bool(_FILLER.search(segment))
 
 
 def _marks(text: str, patterns: bool = True) -> list[tuple[str, int, int, list[str]]]:
     """Skeleton, number of words, mark and words of each segment of a turn."""
     body = without_code(text)
-    notice = patterns and "<noscript" in body.lower()
+    low = body.lower()
+    notice = patterns and "<noscript" in low
+    inside, notices, fillers = (patterns and any(h in low for h in hints) for hints in (_ERROR_HINTS, _NOTICE_HINTS, _FILLER_HINTS))
     out = []
     for part in _CUT.split(body):
         part = (part or "").strip()
@@ -126,12 +138,12 @@ def _marks(text: str, patterns: bool = True) -> list[tuple[str, int, int, list[s
             continue
         skeleton = _NAMES.sub("#", part)
         skeleton = " ".join(_WORD.findall(_NUM.sub("0", skeleton.lower())))
-        error = patterns and _ERROR.search(part)
+        error = patterns and (_ERROR_START.match(part) or inside and _ERROR_INSIDE.search(part))
         if not error and (_CODE.match(part) or part.startswith(("{", '"')) and len(words) <= 3):
             mark = 2
         elif _ASKS.search(part):
             mark = 0
-        elif patterns and (notice or error or _filler(part, words) or _NOTICE.search(part)):
+        elif patterns and (notice or error or _filler(part, words, fillers) or notices and _NOTICE.search(part)):
             mark = 1
         else:
             mark = 2 if len(words) <= 2 and not part.endswith((".", "!")) else 0
