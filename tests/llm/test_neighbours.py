@@ -71,3 +71,74 @@ def test_small_tables(spark):
 def test_probe_order_is_by_score():
     sets = N.probe_order(6, 20)
     assert sets[0] == (0,) and len(set(sets)) == 20 and all(2 * 6 - 1 - a not in s for s in sets for a in s)
+
+
+def test_each_meeting_in_a_bucket_is_sent_once_in_rounds_of_bounded_size(clustered):
+    x = N._unit(clustered.ravel(), 96).astype(np.float32)
+    tab = N.Tables(96, 6, 2.5, 1, 9, 7)
+    ids = np.arange(len(x)) * 8_589_934_592 + 5
+    for cap in (40, 150, 4000):
+        region = N.Regions(tab, 0, x, 1.0, cap, 500)
+        assert region.rounds > 1 and (cap == 4000 or region.blocks or len(region.split) > 1)
+        met, stored_at = set(), {}
+        for turn in range(region.rounds):
+            row, cell, store, size, bucket = region.sent(x, ids, turn)
+            assert len(row) <= 500 + 4 * cap or cap == 4000
+            ends = np.append(0, np.cumsum(size))
+            by: dict = {}
+            for r, c, s, i, j in zip(row, cell, store, ends[:-1], ends[1:]):
+                for q, b in enumerate(bucket[i:j]):
+                    by.setdefault((c, b), ([], []))[0 if s and not q else 1].append(r)
+            for (_, b), (s, v) in by.items():
+                met |= {(p, q, b) for p in s for q in [*v, *s] if p != q}
+        own = tab.buckets(0, *tab.cells(x, 0))
+        for i in range(len(x)):
+            stored_at.setdefault(own[i, 0], []).append(i)
+        assert met == {(p, i, b) for i in range(len(x)) for b in own[i].tolist() for p in stored_at.get(b, []) if p != i}
+
+
+def test_hot_region_in_blocks(spark, clustered):
+    df = frame(spark, clustered[:300])
+    a = {tuple(r) for r in N.nearest(df, bucket=1000).collect()}
+    assert a == {tuple(r) for r in N.nearest(df, bucket=1000, block=1).collect()}
+
+
+def test_disk_does_not_follow_the_probes(spark, tmp_path):
+    import threading
+    import time
+    from pathlib import Path
+
+    from tracewright.runtime import shared_folder
+
+    n, sc = 30_000, spark.sparkContext
+    folders = [shared_folder(spark).removeprefix("file:"), *map(str, (f.getPath() for f in sc._jsc.sc().env().blockManager().diskBlockManager().localDirs()))]
+
+    def used():
+        total = 0
+        for p in (p for f in folders for p in Path(f).rglob("*")):
+            try:
+                total += p.stat().st_size
+            except OSError:
+                pass
+        return total
+
+    x = np.random.default_rng(5).normal(size=(n, 96)).astype(np.float32)
+    import pandas as pd
+
+    pd.DataFrame({"doc_id": [f"d{i}" for i in range(n)], "features": list(x)}).to_parquet(tmp_path / "v.parquet")
+    at, most, over = used(), [0], threading.Event()
+
+    def watch():
+        while not over.is_set():
+            most[0] = max(most[0], used() - at)
+            time.sleep(0.1)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        assert N.nearest(spark.read.parquet(str(tmp_path / "v.parquet")), probes=20).count() > 4 * n
+    finally:
+        over.set()
+        watcher.join()
+    # 63 buckets a vector at 400 bytes are 750 MB
+    assert most[0] < 250e6
