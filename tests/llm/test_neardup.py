@@ -81,3 +81,67 @@ def test_long_text_whole(spark):
     t = " ".join(f"q{i}" for i in range(30_000))
     got = D.found_pairs(frame(spark, [("a", [t]), ("b", [t.replace("q29999", "changed")])])).collect()
     assert [tuple(r) for r in got] == [("a", "b")]
+
+
+def test_rounds_lose_nothing(spark, monkeypatch):
+    docs = corpus(n=8)
+    monkeypatch.setattr(D, "_tables_a_round", lambda count: 13)
+    monkeypatch.setattr(D, "_rounds_of_shingles", lambda *a: 3)
+    assert {tuple(r) for r in D.found_pairs(frame(spark, docs)).collect()} == brute(docs)
+
+
+def test_rounds_follow_the_classes():
+    for n in (1_000_000, 10_000_000):
+        assert D._tables_a_round(n) * 6 * n <= 36 * n
+        # each set in ten pairs: what a round exchanges stays a fixed number of shingles a class
+        assert 12 * 150 * n / D._rounds_of_shingles(n, 150 * n, n, 10 * n) <= 64 * n
+
+
+def test_repeated_id_and_copies(spark):
+    docs = corpus(n=3)
+    copies = [(f"b{i}", t) for i, t in docs if t]
+    assert {tuple(r) for r in D.found_pairs(frame(spark, docs + copies + docs)).collect()} == brute(docs + copies)
+
+
+def test_disk_of_the_keys_is_bounded(spark, tmp_path):
+    import threading
+    import time
+    from pathlib import Path
+
+    import pandas as pd
+
+    from tracewright.runtime import shared_folder
+
+    n, sc = 30_000, spark.sparkContext
+    folders = [shared_folder(spark).removeprefix("file:"), *map(str, (f.getPath() for f in sc._jsc.sc().env().blockManager().diskBlockManager().localDirs()))]
+
+    def used():
+        total = 0
+        for p in (p for f in folders for p in Path(f).rglob("*")):
+            try:
+                total += p.stat().st_size
+            except OSError:
+                pass
+        return total
+
+    words = np.random.default_rng(5).integers(0, 50_000, (n, 75))
+    words[1] = words[0]
+    words[1, 74] = 50_001
+    pd.DataFrame({"doc_id": [f"d{i}" for i in range(n)], "turns": [[" ".join(f"w{j}" for j in w)] for w in words]}).to_parquet(tmp_path / "t.parquet")
+    at, most, over = used(), [0], threading.Event()
+
+    def watch():
+        while not over.is_set():
+            most[0] = max(most[0], used() - at)
+            time.sleep(0.1)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        got = D.found_pairs(spark.read.parquet(str(tmp_path / "t.parquet"))).collect()
+    finally:
+        over.set()
+        watcher.join()
+    assert [tuple(r) for r in got] == [("d0", "d1")]
+    # the keys of all tables are 7.6 million rows, as arrays and as rows more than 150 MB
+    assert most[0] < 130e6, most

@@ -11,6 +11,10 @@
 4. Classes with a key in common are joined, sifted by 128 further one-bit min-hashes (a pair at J = 0.6 passes at four
    standard deviations) and verified exactly on the whole shingle sets.
 
+What is kept of a class is a signature of fixed size, from which a table's keys are made when its turn comes: tables are
+worked through in rounds of about 32 keys a class, each round's files are let go, and of its pairs only those that the sieve
+passes are kept. Shingle sets are made again for the classes of these pairs, from one text of each.
+
 A key that more than ``block`` classes share is not gathered: its rows go to a second exchange in which pairs of blocks are
 tasks of their own, all of them, so no pair is lost and no task gets an unbounded group.
 """
@@ -26,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut, spread
+from ..runtime import cut, release, spread
 from . import golay
 
 #: Maximal runs of letters and digits.
@@ -80,48 +84,83 @@ class Keys:
         self.segment = np.arange(tables) % segments
         self.salt = rng.integers(0, 1 << 63, tables, dtype=np.uint64)
 
-    def of(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of a set, and its sketch as two words of 64 bits."""
+    def signature(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Anchors, segments and sketch (two words of 64 bits) of a set."""
         with np.errstate(over="ignore"):
             low = np.full(self.total, _MASK, np.uint64)
             for at in range(0, len(s), 2048):  # long texts in pieces, all of them
                 part = s[at : at + 2048]
                 low = np.minimum(low, (part[:, None] * self.mult[None, :]).min(0))
             mixed = _mix(low ^ self.mult)
-            bits = (mixed[self.anchors :] & np.uint64(1)).astype(np.int64)
-            seg = bits[: golay.BITS * self.segments].reshape(self.segments, golay.BITS) @ (1 << np.arange(golay.BITS))
-            index, new = golay.indices(seg)
-            a, b = mixed[self.pairs[:, 0]], mixed[self.pairs[:, 1]]
-            base = _mix(a * np.uint64(0x9E3779B97F4A7C15) + b + self.salt)
-            keys = _mix(base[:, None] + index[self.segment].astype(np.uint64))[new[self.segment]]
+        bits = (mixed[self.anchors :] & np.uint64(1)).astype(np.int64)
+        seg = bits[: golay.BITS * self.segments].reshape(self.segments, golay.BITS) @ (1 << np.arange(golay.BITS))
         sketch = np.packbits(bits[golay.BITS * self.segments :].astype(np.uint8)).view(np.int64)
-        return keys.view(np.int64), sketch
+        return mixed[: self.anchors].astype(np.uint32), seg.astype(np.uint32), sketch
+
+    def keys(self, anchors: np.ndarray, segments: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the tables from ``first`` to before ``last``, and the number of the row each belongs to."""
+        with np.errstate(over="ignore"):
+            index, new = golay.indices(segments[:, self.segment[first:last]].astype(np.int64).ravel())
+            a, b = (anchors[:, self.pairs[first:last, i]].astype(np.uint64) for i in (0, 1))
+            base = _mix(a * np.uint64(0x9E3779B97F4A7C15) + b + self.salt[first:last]).ravel()
+            keys = _mix(base[:, None] + index.astype(np.uint64))
+        row = np.repeat(np.arange(len(anchors)), last - first)
+        return keys[new].view(np.int64), np.broadcast_to(row[:, None], new.shape)[new]
+
+
+def _texts(df: DataFrame, id_col: str, turns_col: str) -> DataFrame:
+    rows = df.where(F.col(id_col).isNotNull() & F.col(turns_col).isNotNull())
+    return spread(rows.select(F.col(id_col).cast("string").alias("id"), F.col(turns_col).alias("turns")), "id")
+
+
+def _shingled(batch: pa.RecordBatch, hasher: Hasher, min_words: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Row, class and shingle set of the texts with enough words."""
+    for i, turns in enumerate(batch.column("turns").to_pylist()):
+        words = _WORDS("\n\n".join(t for t in turns if t is not None).lower())
+        if len(words) >= max(min_words, hasher.n):
+            s = hasher.shingles(words)
+            yield i, int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)), s
+
+
+def _signatures(n: int, min_words: int, maker):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, keys = Hasher(n), maker.value
+        seen: dict[int, tuple] = {}  # copies are signed once, where they meet in a task
+        for b in batches:
+            at, cls, made = [], [], []
+            for i, c, s in _shingled(b, hasher, min_words):
+                if c not in seen:
+                    if len(seen) > 20_000:
+                        seen.clear()
+                    x, y, z = keys.signature(s)
+                    seen[c] = np.concatenate([x, y]).tobytes(), int(z[0]), int(z[1])
+                at.append(i)
+                cls.append(c)
+                made.append(seen[c])
+            if at:
+                sign, s0, s1 = zip(*made)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("id").take(pa.array(at)), pa.array(cls, pa.int64()), pa.array(sign, pa.binary()), pa.array(s0, pa.int64()), pa.array(s1, pa.int64())],
+                    ["id", "cls", "sign", "s0", "s1"],
+                )
 
+    return run
 
-def _sets(df: DataFrame, id_col: str, turns_col: str, n: int, min_words: int) -> DataFrame:
-    """``id, cls, shingles`` of the texts with enough words."""
 
+def _sets(n: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts ``id, turns, cls`` to ``cls, shingles``, where the text is of the class."""
         hasher = Hasher(n)
         for b in batches:
-            ids, cls, sets = [], [], []
-            for i, turns in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = _WORDS("\n\n".join(t for t in turns if t is not None).lower())
-                if len(words) >= max(min_words, n):
-                    s = hasher.shingles(words)
-                    ids.append(i)
-                    cls.append(xxhash.xxh3_64_intdigest(s.tobytes()))
-                    sets.append(s.view(np.int64))
-            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.string()), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                ["id", "cls", "shingles"],
-            )
+            want = b.column("cls").to_numpy()
+            got = [(c, s) for i, c, s in _shingled(b, hasher, min_words) if c == want[i]]
+            if got:
+                cls, sets = zip(*got)
+                ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+                flat = pa.array(np.concatenate(sets).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["cls", "shingles"])
 
-    rows = df.where(F.col(id_col).isNotNull() & F.col(turns_col).isNotNull())
-    rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(turns_col).alias("turns"))
-    return spread(rows, "id").mapInArrow(run, "id string, cls bigint, shingles array<bigint>")
+    return run
 
 
 def _pairs_of_groups(block: int):
@@ -208,6 +247,16 @@ def candidates(keys: DataFrame, block: int, parts: int) -> DataFrame:
     return pairs.unionByName(more).distinct()
 
 
+def _tables_a_round(count: int) -> int:
+    """Tables whose keys of ``count`` classes are exchanged at once: about 32 keys a class, or three million rows."""
+    return max(1, int(max(32 * count, 3_000_000) / (5.5 * max(count, 1))))
+
+
+def _rounds_of_shingles(count: int, shingles: int, sets: int, pairs: int) -> int:
+    """Rounds in which the sets of both sides and of the pairs are exchanged, about 64 shingles a class or eight million each."""
+    return max(1, -(-int((2 + pairs / max(sets, 1)) * shingles) // max(64 * count, 8_000_000)))
+
+
 def near_classes(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -229,40 +278,69 @@ def near_classes(
     gives empty ones.
     """
     spark = df.sparkSession
-    sets = cut(_sets(df, id_col, turns_col, n, min_words))
-    members = sets.select("id", "cls").distinct()
-    reps = cut(sets.groupBy("cls").agg(F.first("shingles").alias("shingles")))
     maker = spark.sparkContext.broadcast(Keys(tables, segments, anchors, seed))
+    texts = _texts(df, id_col, turns_col)
+    signed = cut(texts.mapInArrow(_signatures(n, min_words, maker), "id string, cls bigint, sign binary, s0 bigint, s1 bigint"))
+    release(spark)
+    members = cut(signed.select("id", "cls").distinct())
+    reps = cut(signed.dropDuplicates(["cls"]).drop("id"))
+    del signed
+    release(spark)
+    count = reps.count()
+
+    def make(first: int, last: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            k = maker.value
+            for b in batches:
+                if b.num_rows:
+                    sign = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(b.num_rows, -1)
+                    keys, row = k.keys(sign[:, :anchors], sign[:, anchors:], first, last)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(b.column(0).to_numpy()[row])], ["key", "cls"])
+
+        return run
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = maker.value
-        for b in batches:
-            flat, ends = b.column(1).flatten().to_numpy().view(np.uint64), b.column(1).offsets.to_numpy()
-            ends = ends - (ends[0] if len(ends) else 0)
-            got = [k.of(flat[i:j]) for i, j in zip(ends[:-1], ends[1:])]
-            size = np.cumsum([0, *(len(g[0]) for g in got)], dtype=np.int32)
-            keys = np.concatenate([g[0] for g in got]) if got else np.empty(0, np.int64)
-            sketch = np.stack([g[1] for g in got]) if got else np.empty((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.ListArray.from_arrays(pa.array(size), pa.array(keys)), pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy())],
-                ["cls", "keys", "s0", "s1"],
-            )
-
-    made = cut(spread(reps, "cls").mapInArrow(make, "cls bigint, keys array<bigint>, s0 bigint, s1 bigint"))
-    count = made.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, count * tables * 5 // 1_500_000)
-    pairs = candidates(made.select(F.explode("keys").alias("key"), "cls"), block, parts)
     # a one-bit min-hash differs with probability (1 - J) / 2: mean plus four standard deviations
     p = (1 - numerator / denominator) / 2
     most = int(_SKETCH_BITS * p + 4 * (_SKETCH_BITS * p * (1 - p)) ** 0.5 + 1)
-    sk = made.select("cls", "s0", "s1")
-    l, r = sk.toDF("a", "l0", "l1"), sk.toDF("b", "r0", "r1")
+    l, r = reps.select("cls", "s0", "s1").toDF("a", "l0", "l1"), reps.select("cls", "s0", "s1").toDF("b", "r0", "r1")
     apart = F.bit_count(F.col("l0").bitwiseXOR(F.col("r0"))) + F.bit_count(F.col("l1").bitwiseXOR(F.col("r1")))
-    near = pairs.join(l, "a").join(r, "b").where(apart <= most).select("a", "b")
-    x, y = reps.toDF("a", "x"), reps.toDF("b", "y")
-    links = near.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("sizes"))
-    links = links.select("a", "b", "common", (F.col("sizes") - F.col("common")).alias("total"))
-    return members, cut(links.where(F.col("common") * denominator >= F.col("total") * numerator))
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    # rounds of tables, a table has up to six keys a class
+    step = _tables_a_round(count)
+    near = None
+    for first in range(0, tables, step):
+        last = min(first + step, tables)
+        parts = max(least, count * (last - first) * 5 // 1_500_000)
+        keys = reps.select("cls", "sign").mapInArrow(make(first, last), "key bigint, cls bigint")
+        pairs = candidates(keys, block, parts).join(l, "a").join(r, "b").where(apart <= most).select("a", "b")
+        near = cut(pairs if near is None else near.unionByName(pairs).distinct())
+        del keys, pairs
+        release(spark)
+    del reps, l, r
+    # the whole sets of the classes in pairs, from the text of the smallest id
+    wanted = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    wanted = members.join(wanted, "cls").groupBy("cls").agg(F.min("id").alias("id"))
+    sets = texts.join(wanted.hint("shuffle_hash"), "id").select("id", "turns", "cls").mapInArrow(_sets(n, min_words), "cls bigint, shingles array<bigint>")
+    sets = cut(sets.dropDuplicates(["cls"]))
+    release(spark)
+    # rounds of shingles: what two sets have in common is the sum over the rounds
+    w, k = sets.agg(F.sum(F.size("shingles")), F.count(F.lit(1))).first()
+    turns = _rounds_of_shingles(count, w or 0, k, near.count())
+    common = None
+    for turn in range(turns):
+        part = sets.withColumn("shingles", F.filter("shingles", lambda v: F.pmod(v, F.lit(turns)) == turn)) if turns > 1 else sets
+        both = near.join(part.toDF("a", "x"), "a").join(part.toDF("b", "y"), "b")
+        both = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("bigint").alias("common"))
+        common = cut(both if common is None else common.unionByName(both).groupBy("a", "b").agg(F.sum("common").alias("common")))
+        del part, both
+        release(spark)
+    size = sets.select("cls", F.size("shingles").cast("bigint").alias("size"))
+    links = common.join(size.toDF("a", "m"), "a").join(size.toDF("b", "n"), "b")
+    links = links.select("a", "b", "common", (F.col("m") + F.col("n") - F.col("common")).alias("total"))
+    links = cut(links.where(F.col("common") * denominator >= F.col("total") * numerator))
+    del near, sets, common, size
+    release(spark)
+    return members, links
 
 
 def found_pairs(df: DataFrame, id_col: str = "doc_id", turns_col: str = "turns", expand: int = 64, **parameters) -> DataFrame:
@@ -272,7 +350,6 @@ def found_pairs(df: DataFrame, id_col: str = "doc_id", turns_col: str = "turns",
     representative (its smallest id) with each member, and by its representative in pairs with other classes.
     """
     members, links = near_classes(df, id_col, turns_col, **parameters)
-    members = cut(members)
     stat = members.groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     large = stat.where(F.col("n") > expand)
     several = members.join(stat.where(F.col("n") > 1), "cls")
