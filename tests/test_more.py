@@ -1,4 +1,5 @@
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -162,3 +163,25 @@ def test_rendered_conversations_are_whole(spark, tmp_path):
     spark.createDataFrame([("a", "x", turns)], "doc_id string, author_id string, turns array<string>").write.parquet(str(tmp_path / "chat_docs.parquet"))
     text = catalogue.QUERIES["rendered_conversations"](spark, str(tmp_path)).first().text
     assert all(t in text for t in turns) and "omitted" not in text
+
+
+def test_unlink_by_counts_is_unlink_by_vectors(spark):
+    rng = np.random.default_rng(3)
+    words = ["grüße", "日本", "report", "sofa", "howdy", "partner", "monday", "x", "strange", "window", "things", "it's", "quite"]
+    say = lambda n: " ".join(rng.choice(words, n)) + ". "
+    rows = [(f"d{i}", "a", ["".join(say(int(rng.integers(1, 9))) for _ in range(int(rng.integers(1, 6)))), None if i % 7 else "", say(2)]) for i in range(330)]
+    rows += [("e", "b", ["", None]), ("f", "b", []), ("g", "b", ["a b"]), ("h", "b", ["Same text here, same text. Same text here, same text. Same text here, same text."]), ("i", None, ["z"])]
+    df = spark.createDataFrame(rows, "doc_id string, author_id string, turns array<string>")
+    old = {r.doc_id: r for r in N.unlink(df, block=200, embed=lambda t: N.hashed_ngrams(t)).collect()}
+    new = {r.doc_id: r for r in N.unlink(df, block=200).collect()}
+    assert set(new) == set(old) == {r[0] for r in rows} and sum(r.dropped for r in new.values()) > 300
+    assert all(new[k].turns == old[k].turns and new[k].before == pytest.approx(old[k].before) and new[k].after == pytest.approx(old[k].after) for k in old if k != "i")
+    texts = ["".join(say(12) for _ in range(8)) for _ in range(2000)]
+    docs = [([t], [{"turn_no": 0, "span_no": i, "text": p + ". ", "editable": True} for i, p in enumerate(t.split(". ")[:-1])]) for t in texts[:25]]
+    took, got = [], []
+    for how in (N._by_counts, lambda *a: N._by_vectors(*a, N.hashed_ngrams)):
+        list(how(texts, [0], docs[:1], 0.2, 1))
+        at = time.process_time()
+        got.append(list(how(texts, list(range(25)), docs, 0.2, 10)))
+        took.append(time.process_time() - at)
+    assert [x[0] for x in got[0]] == [x[0] for x in got[1]] and took[0] < took[1] / 2, took

@@ -2,7 +2,9 @@
 
 The vectors of texts come from a function of texts, hashed character n-grams where no model is plugged in. A document is
 measured against all of its author's other documents. A prolific author's documents are rewritten in blocks, each of which
-holds the vectors of all the author's documents.
+holds the vectors of all the author's documents; the others' authors are put together into groups of about 2,048 documents.
+With hashed n-grams a text without a span isn't made into a vector again: its counts are those of the text less those of
+the n-grams in the span (:class:`Counts`).
 """
 
 from __future__ import annotations
@@ -15,17 +17,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _bins(grams: np.ndarray, bits: int = 12) -> np.ndarray:
+    """Hash of each n-gram of bytes; ``grams`` holds its n bytes along the last axis."""
+    h = np.zeros(grams.shape[:-1], np.uint64)
+    for k in range(grams.shape[-1]):
+        h = h * np.uint64(0x100000001B3) + grams[..., k] + np.uint64(1)
+    return ((h ^ h >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _grams(raw: np.ndarray, n: int = 4) -> np.ndarray:
+    """The n-grams of bytes, one in a row."""
+    return np.lib.stride_tricks.sliding_window_view(raw, n) if len(raw) >= n else np.zeros((0, n), np.uint8)
+
+
 def hashed_ngrams(texts: list[str], n: int = 4, bits: int = 12) -> np.ndarray:
     """Unit vectors of counts of hashed character n-grams."""
     out = np.zeros((len(texts), 1 << bits))
     for i, t in enumerate(texts):
-        raw = np.frombuffer(t.encode("utf-8"), np.uint8).astype(np.uint64)
-        if len(raw) >= n:
-            h = np.zeros(len(raw) - n + 1, np.uint64)
-            for k in range(n):
-                h = h * np.uint64(0x100000001B3) + raw[k : k + len(h)] + np.uint64(1)
-            h = (h ^ h >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)
-            out[i] = np.bincount(h.astype(np.int64), minlength=1 << bits)
+        out[i] = np.bincount(_bins(_grams(np.frombuffer(t.encode("utf-8"), np.uint8), n), bits), minlength=1 << bits)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
@@ -73,7 +82,182 @@ class Siblings:
         return np.sort(got, axis=1)[:, -self.m :].mean(axis=1)
 
 
-def unlink(docs: DataFrame, budget: float = 0.2, block: int = 512, most_steps: int = 10, embed: Callable[[list[str]], np.ndarray] = hashed_ngrams, seed: int = 1) -> DataFrame:
+class Counts:
+    """Counts of the hashed 4-grams of all of an author's texts, for :class:`Spans`.
+
+    Products of counts are whole numbers, exact in the float type chosen, so that equal texts are equally near.
+    """
+
+    bits = 12
+
+    def __init__(self, texts: list[str]):
+        size = 1 << self.bits
+        rows = np.zeros((len(texts), size), np.uint8)
+        square = np.zeros(len(texts))
+        for i, t in enumerate(texts):
+            c = np.bincount(_bins(_grams(np.frombuffer(t.encode("utf-8"), np.uint8)), self.bits), minlength=size)
+            if c.max() > np.iinfo(rows.dtype).max:
+                rows = rows.astype(np.min_scalar_type(int(c.max())))
+            rows[i], square[i] = c, c @ c
+        self.columns = np.ascontiguousarray(rows.T)
+        self.norm = np.maximum(np.sqrt(square), 1e-12)
+        self.float = np.float32 if square.max(initial=0) < 1 << 22 else np.float64
+
+    def products(self, counts: np.ndarray) -> np.ndarray:
+        """Rows of counts times the counts of every text."""
+        out = np.empty((len(counts), self.columns.shape[1]))
+        for k in range(0, out.shape[1], 1024):
+            out[:, k : k + 1024] = counts.astype(self.float) @ self.columns[:, k : k + 1024].astype(self.float)
+        return out
+
+
+class Spans:
+    """Linkage of a text of spans to an author's other texts as its spans are left out one by one.
+
+    A text without a span has at most the product of the text with a row, and what the n-grams over the gap add. Only the
+    ``first`` rows nearest to the text are multiplied out for all spans, which gives each span's linkage or less than it;
+    a span that may be the best by this is compared with all rows unless no other row can come among its m largest, so
+    that the result is that of comparing all.
+    """
+
+    def __init__(self, counts: Counts, own: int, parts: list[bytes], gaps: list[int], products: np.ndarray, m: int = 3, first: int = 256):
+        """``parts``: the text in pieces; ``gaps``: bytes between turns before each piece and after the last."""
+        self.counts, self.own, self.m, self.first = counts, own, m, first
+        self.parts, self.gaps, self.near = parts, gaps, products
+        self._read()
+
+    def _read(self) -> None:
+        joined, at = [], 0
+        self.start = np.zeros(len(self.parts), np.int64)
+        for i, p in enumerate(self.parts):
+            joined += [b"\n" * self.gaps[i], p]
+            self.start[i] = at = at + self.gaps[i]
+            at += len(p)
+        self.raw = np.frombuffer(b"".join(joined) + b"\n" * self.gaps[-1], np.uint8)
+        self.hash = _bins(_grams(self.raw), self.counts.bits)
+        self.norm = float(np.linalg.norm(np.bincount(self.hash))) if len(self.hash) else 1e-12
+
+    def _top(self, near: np.ndarray) -> np.ndarray:
+        m = min(self.m, near.shape[-1])
+        return np.sort(np.partition(near, near.shape[-1] - m, axis=-1)[..., near.shape[-1] - m :], axis=-1)
+
+    def _others(self, x: np.ndarray) -> np.ndarray:
+        x = x.copy()
+        x[self.own] = -np.inf
+        return x
+
+    def now(self) -> float:
+        """Mean of the m largest cosines of the text."""
+        if len(self.counts.norm) < 2:
+            return 0.0
+        x = np.delete(self.near, self.own) / np.delete(self.counts.norm, self.own) / self.norm
+        return float(self._top(x).mean())
+
+    def changes(self, tries: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes in question, and of each span their counts in the text less those without it, the square without it, the norm added."""
+        s = self.start[tries]
+        e = s + np.array([len(self.parts[i]) for i in tries])
+        a, b = np.maximum(s - 3, 0), np.minimum(e, len(self.hash))
+        n = np.maximum(b - a, 0)
+        at = np.arange(n.sum()) + np.repeat(a - np.cumsum(n) + n, n)
+        k = np.arange(3)
+        over = np.concatenate([s[:, None] - 3 + k, e[:, None] + k], axis=1)
+        valid = (s[:, None] - 3 + k >= 0) & (e[:, None] + k < len(self.raw))
+        new = _bins(np.lib.stride_tricks.sliding_window_view(self.raw[np.clip(over, 0, len(self.raw) - 1)], 4, axis=1), self.counts.bits)[valid]
+        u, inv = np.unique(np.concatenate([self.hash, new]), return_inverse=True)
+        whole, new = inv[: len(self.hash)], inv[len(self.hash) :]
+        less = np.bincount(np.repeat(np.arange(len(tries)), n) * len(u) + whole[at], minlength=len(tries) * len(u)).reshape(len(tries), len(u))
+        more = np.bincount(np.nonzero(valid)[0] * len(u) + new, minlength=len(tries) * len(u)).reshape(len(tries), len(u))
+        rest = np.bincount(whole, minlength=len(u)) - less + more
+        return u, less - more, np.maximum(np.sqrt((rest * rest).sum(axis=1)), 1e-12), np.sqrt((more * more).sum(axis=1))
+
+    def best(self, tries: list[int], now: float) -> tuple[int, float]:
+        """Position among ``tries`` of the span with the most linkage for its length (of characters), and the linkage without it."""
+        c = self.counts
+        u, change, norm, added = self.changes(tries)
+        near = self._others(self.near / c.norm)
+        if len(near) - 1 > self.first:
+            part = np.argpartition(-near, self.first)
+            rows, beyond = part[: self.first], near[part[self.first]]
+        else:
+            rows, beyond = np.delete(np.arange(len(near)), self.own), -np.inf
+        cos = (self.near[rows] - change.astype(c.float) @ c.columns[np.ix_(u, rows)].astype(c.float)) / c.norm[rows] / norm[:, None]
+        top = self._top(cos)
+        sims, done = top.mean(axis=1), (beyond + added) / norm < top[:, 0] - 1e-9
+        length = [max(len(self.parts[i].decode("utf-8")) / 100, 0.05) for i in tries]
+        gain = (now - sims) / length
+        while not done[i := int(np.argmax(gain))]:
+            sims[i] = self._top(self._others((self.near - self._product(u, change[i])) / c.norm / norm[i])).mean()
+            gain[i], done[i] = (now - sims[i]) / length[i], True
+        self._last = (u, change)
+        return i, float(sims[i])
+
+    def _product(self, u: np.ndarray, change: np.ndarray) -> np.ndarray:
+        use = np.nonzero(change)[0]
+        return change[use].astype(self.counts.float) @ self.counts.columns[u[use]].astype(self.counts.float)
+
+    def drop(self, part: int, place: int) -> None:
+        """Leave a span out that stood at ``place`` of the last tries."""
+        u, change = self._last
+        self.near = self.near - self._product(u, change[place])
+        self.parts = [b"" if i == part else p for i, p in enumerate(self.parts)]
+        self._read()
+
+
+def _by_counts(texts: list[str], at: list[int], docs: list[tuple[list[str], list[dict]]], budget: float, most_steps: int):
+    """``keep, before, after`` of each document: its place among the author's texts, its turns and spans."""
+    c = Counts(texts)
+    for k in range(0, len(docs), 128):
+        made = []
+        for turns, parts in docs[k : k + 128]:
+            pieces = [p["text"].encode("utf-8") for p in parts] if parts else ["\n\n".join(turns).encode("utf-8")]
+            no = [p["turn_no"] for p in parts] if parts else [0]
+            made.append((pieces, [2 * (x - y) for x, y in zip([*no, (len(turns) if parts else 1) - 1], [0, *no])]))
+        whole = [b"".join(x for p, g in zip([b"", *pieces], gaps) for x in (p, b"\n" * g)) for pieces, gaps in made]
+        rows = np.stack([np.bincount(_bins(_grams(np.frombuffer(x, np.uint8)), c.bits), minlength=1 << c.bits) for x in whole])
+        for (_, parts), (pieces, gaps), own, near in zip(docs[k : k + 128], made, at[k : k + 128], c.products(rows)):
+            s = Spans(c, own, pieces, gaps, near)
+            keep = [True] * len(parts)
+            before = now = s.now()
+            for _ in range(most_steps):
+                if now <= (1 - budget) * before:
+                    break
+                tries = [i for i, (p, x) in enumerate(zip(parts, keep)) if x and p["editable"]]
+                if len(tries) < 2:
+                    break
+                best, sim = s.best(tries, now)
+                if sim >= now:
+                    break
+                s.drop(tries[best], best)
+                keep[tries[best]], now = False, sim
+            yield keep, before, now
+
+
+def _by_vectors(texts: list[str], at: list[int], docs: list[tuple[list[str], list[dict]]], budget: float, most_steps: int, embed: Callable[[list[str]], np.ndarray]):
+    """As :func:`_by_counts`, for any function of texts."""
+    vectors = np.concatenate([embed(texts[k : k + 256]) for k in range(0, len(texts), 256)])
+    for own, (turns, parts) in zip(at, docs):
+        keep = [True] * len(parts)
+        full = lambda k: "\n\n".join("".join(p["text"] for p, x in zip(parts, k) if x and p["turn_no"] == t) for t in range(len(turns)))  # noqa: B023, E731
+        v = embed([full(keep) if parts else "\n\n".join(turns)])[0]
+        sib = Siblings(vectors, own, v)
+        before = now = float(sib.top(v[None])[0])
+        for _ in range(most_steps):
+            if now <= (1 - budget) * before:
+                break
+            tries = [i for i, (p, x) in enumerate(zip(parts, keep)) if x and p["editable"]]
+            if len(tries) < 2:
+                break
+            sims = sib.top(embed([full([x and j != i for j, x in enumerate(keep)]) for i in tries]))
+            gain = [(now - s) / max(len(parts[i]["text"]) / 100, 0.05) for i, s in zip(tries, sims)]
+            best = int(np.argmax(gain))
+            if sims[best] >= now:
+                break
+            keep[tries[best]], now = False, float(sims[best])
+        yield keep, before, now
+
+
+def unlink(docs: DataFrame, budget: float = 0.2, block: int = 512, most_blocks: int = 32, most_steps: int = 10, embed: Callable[[list[str]], np.ndarray] = hashed_ngrams, seed: int = 1) -> DataFrame:
     """``doc_id, author_id, turns, before, after, dropped``: spans dropped until the linkage has fallen by the share ``budget``.
 
     In each step the span with the most linkage for its length goes; documents without siblings stay. Protected spans and
@@ -83,42 +267,30 @@ def unlink(docs: DataFrame, budget: float = 0.2, block: int = 512, most_steps: i
 
     d = docs.where("doc_id is not null and turns is not null").select("doc_id", "author_id", "turns")
     sp = spans(d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("turn_no", "span_no", "text", "editable"))).alias("spans"))
-    blocks = d.where("author_id is not null").groupBy("author_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("author_id", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    n = d.where("author_id is not null").groupBy("author_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    few = F.col("n") <= block
+    groups = n.agg(F.coalesce(F.ceil(F.sum(F.when(few, F.col("n"))) / 2048), F.lit(1)).cast("int").alias("groups"))
+    blocks = n.crossJoin(F.broadcast(groups)).select("author_id", F.when(few, "").otherwise(F.col("author_id").cast("string")).alias("owner"), F.when(few, F.lit(1)).otherwise(F.least(F.ceil(F.col("n") / block), F.lit(most_blocks))).cast("int").alias("blocks"), F.when(few, -1 - F.pmod(F.xxhash64("author_id", F.lit(seed)), F.col("groups"))).cast("int").alias("group"))  # a single row
     rows = d.join(blocks, "author_id", "left").join(sp, "doc_id", "left")
     alone = rows.where("blocks is null").select("doc_id", "author_id", F.transform("turns", lambda t: F.coalesce(t, F.lit(""))).alias("turns"), F.lit(None).cast("double").alias("before"), F.lit(None).cast("double").alias("after"), F.lit(0).alias("dropped"))
-    work = rows.where("blocks is not null").select("doc_id", "author_id", "turns", "spans", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")).cast("int").alias("block"))
-    every = d.join(blocks, "author_id").select(F.col("doc_id").alias("other"), F.col("author_id").alias("owner"), F.array_join("turns", "\n\n").alias("text"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    work = rows.where("blocks is not null").select("doc_id", "author_id", "turns", "spans", "owner", F.coalesce("group", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")).cast("int")).alias("block"))
+    every = d.join(blocks, "author_id").select(F.col("doc_id").alias("other"), F.col("author_id").alias("author"), F.array_join("turns", "\n\n").alias("text"), F.col("owner").alias("to"), F.explode(F.when(F.col("group").isNotNull(), F.array("group")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("part"))
 
     def run(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        texts = list(others["text"]) if len(mine) else []
-        vectors = np.concatenate([embed(texts[k : k + 256]) for k in range(0, len(texts), 256)]) if texts else np.zeros((0, 1))
-        at = {x: i for i, x in enumerate(others["other"])}
-        for r in mine.itertuples():
-            turns = ["" if t is None else t for t in r.turns]
-            parts = [] if r.spans is None else [dict(s) if isinstance(s, dict) else s.asDict() for s in r.spans]
-            keep = [True] * len(parts)
-            full = lambda k: "\n\n".join("".join(p["text"] for p, x in zip(parts, k) if x and p["turn_no"] == t) for t in range(len(turns)))  # noqa: B023, E731
-            v = embed([full(keep) if parts else "\n\n".join(turns)])[0]
-            sib = Siblings(vectors, at[r.doc_id], v)
-            before = now = float(sib.top(v[None])[0])
-            for _ in range(most_steps):
-                if now <= (1 - budget) * before:
-                    break
-                tries = [i for i, (p, x) in enumerate(zip(parts, keep)) if x and p["editable"]]
-                if len(tries) < 2:
-                    break
-                sims = sib.top(embed([full([x and j != i for j, x in enumerate(keep)]) for i in tries]))
-                gain = [(now - s) / max(len(parts[i]["text"]) / 100, 0.05) for i, s in zip(tries, sims)]
-                best = int(np.argmax(gain))
-                if sims[best] >= now:
-                    break
-                keep[tries[best]], now = False, float(sims[best])
-            new = ["".join(p["text"] for p, x in zip(parts, keep) if x and p["turn_no"] == t) for t in range(len(turns))] if parts else turns
-            out.append((r.doc_id, r.author_id, new, before, now, keep.count(False)))
+        out, texts, at = [], {}, {}
+        for x, a, t in zip(others["other"], others["author"], others["text"]) if len(mine) else ():
+            texts.setdefault(a, []).append(t)
+            at[a, x] = len(texts[a]) - 1
+        for a, own in mine.groupby("author_id", sort=False):
+            docs = [(["" if t is None else t for t in r.turns], [] if r.spans is None else [dict(s) if isinstance(s, dict) else s.asDict() for s in r.spans]) for r in own.itertuples()]
+            places = [at[a, x] for x in own["doc_id"]]
+            how = _by_counts(texts[a], places, docs, budget, most_steps) if embed is hashed_ngrams else _by_vectors(texts[a], places, docs, budget, most_steps, embed)
+            for x, (turns, parts), (keep, before, now) in zip(own["doc_id"], docs, how):
+                new = ["".join(p["text"] for p, x in zip(parts, keep) if x and p["turn_no"] == t) for t in range(len(turns))] if parts else turns
+                out.append((x, a, new, before, now, keep.count(False)))
         return pd.DataFrame(out, columns=["doc_id", "author_id", "turns", "before", "after", "dropped"])
 
-    done = work.groupBy("author_id", "block").cogroup(every.groupBy("owner", "block")).applyInPandas(
+    done = work.groupBy("owner", "block").cogroup(every.groupBy("to", "part")).applyInPandas(
         run, "doc_id string, author_id string, turns array<string>, before double, after double, dropped int"
     )
     return done.unionByName(alone)
