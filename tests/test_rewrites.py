@@ -195,3 +195,19 @@ def test_requests(spark):
     d = spark.createDataFrame([("2024-01-01 00:00:00", 5), ("2024-01-01 00:00:30", 5), ("2024-01-01 00:01:10", 5), (None, 1)], "ts string, tokens int").withColumn("ts", F.to_timestamp("ts"))
     got = [(r.in_window, r.wait) for r in U.requests_in_window(d, limit=9).orderBy("ts").collect()]
     assert got == [(5, False), (10, True), (10, True)]
+
+
+def test_words_are_drawn_where_the_rows_are(spark):
+    odd = ["Good good GOOD make's don'tmake make", None, "", "see https://good.make/good good,`make good` <GOOD> [x](make) make ```good\nmake``` good", "x" * 30 + "good make", "ΟΔΟΣ.Α ΟΔΟΣ İstanbul good日本 " + "-- " * 3000 + "make " + "a b " * 900]
+    docs = spark.createDataFrame([("a", "x", odd), ("b", "x", []), ("c", None, None), ("d", "y", ["nothing of these"])], "doc_id string, author_id string, turns array<string>")
+    words = [("good", "fine", 1.0), ("Good", "nice", 0.9), ("make", "build", 1.0), ("make", None, 0.9), ("ΟΔΟΣ", "δρόμος", 1.0), ("a", "", None), ("b", "nan", float("nan")), ("`make good`", "no", 1.0), (None, "n", 1.0), ("İstanbul", "I", 1.0)]
+    c = spark.createDataFrame(words, "word string, candidate string, score double")
+    for how in ({"epsilon": 2.0}, {"epsilon": 2.0, "add": 0.3, "drop": 0.2}):
+        here = R.word_mechanism(docs, c, **how)
+        got = {r.doc_id: (r.author_id, r.turns) for r in here.collect()}
+        assert got == {r.doc_id: (r.author_id, r.turns) for r in R.word_mechanism(docs, c, few=3, **how).collect()}
+        assert got["b"] == ("x", []) and got["c"] == (None, []) and got["a"][1][1:3] == ["", ""] and "https://good.make/good" in got["a"][1][3] and "`make good` <GOOD> [x](make)" in got["a"][1][3]
+        assert got["a"][1][0] != odd[0] and got["d"] == ("y", ["nothing of these"])
+        plan = here._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "SortMergeJoin" not in plan
+    assert R.word_mechanism(docs, c.limit(0)).where("doc_id = 'a'").first().turns == [t or "" for t in odd]

@@ -196,23 +196,53 @@ def guarded(name: str, rewrite: Callable[[pd.Series], pd.Series], bounds: tuple[
     D.model_defense(name, run, least)
 
 
-def word_mechanism(docs: DataFrame, candidates: DataFrame, epsilon: float = 100.0, sensitivity: float = 1.0, add: float = 0.0, drop: float = 0.0, seed: int = 1) -> DataFrame:
+#: What is protected, else a word, else what is between words; these one after the other are the text.
+_PIECES = rf"{D._PROTECTED}|(?:(?!{D._PROTECTED})[\p{{L}}'])++|(?:(?!{D._PROTECTED})[^\p{{L}}'])++"
+#: A word among the pieces; longer ones are protected.
+_WORD = r"^'*\p{L}[\p{L}']*\z"
+
+
+def word_mechanism(docs: DataFrame, candidates: DataFrame, epsilon: float = 100.0, sensitivity: float = 1.0, add: float = 0.0, drop: float = 0.0, seed: int = 1, few: int = 256) -> DataFrame:
     """Every word of the free text drawn anew by the exponential mechanism over its candidates (``word, candidate, score``).
 
     Words without candidates stay, as do code, placeholders, links and what is between words. ``drop`` and ``add`` are the
-    chances that a drawn word is left out, or said twice with another draw. Draws are Gumbel noise from a keyed hash.
+    chances that a drawn word is left out, or said twice with another draw. Draws are Gumbel noise from a keyed hash. Up to
+    ``few`` candidates go to every row, which is rewritten where it is; more are joined to the words of the text.
     """
+    c = candidates.select(F.lower("word").alias("_word"), "candidate", "score").where("_word is not null")
+    share = lambda *key: (F.pmod(F.xxhash64(F.lit(seed), "doc_id", *key), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    noisy = lambda score, candidate, s, *at: score * epsilon / (2 * sensitivity) - F.log(-F.log(share(*at, candidate, F.lit(s))))
+    new = lambda w, one, more, *at: F.when(one.isNull(), w).when(share(*at, F.lit("drop")) < drop, "").when(share(*at, F.lit("add")) < add, F.concat_ws(" ", one, more)).otherwise(one)
+    if c.limit(few + 1).count() > few:
+        return _drawn_by_join(docs, c, noisy, new)
+    plain = lambda x: F.translate(F.lower(x), "ς", "σ")  # noqa: E731  (at a word's end there may be the other one)
+    table = c.groupBy("_word").agg(F.collect_list(F.struct("candidate", "score")).alias("_of")).agg(F.map_from_entries(F.collect_list(F.struct("_word", "_of"))).alias("_of"), F.transform(F.collect_list("_word"), plain).alias("_words"))
+
+    def piece(x: Column, *at: Column) -> Column:
+        draw = lambda s: F.array_max(F.transform(x["c"], lambda k: F.struct(noisy(k["score"], k["candidate"], s, *at).alias("noisy"), k["candidate"].alias("candidate"))))["candidate"]
+        return F.when(x["c"].isNull() | (F.length(x["w"]) >= 25) | ~x["w"].rlike(_WORD), x["w"]).otherwise(new(x["w"], draw("a"), draw("b"), *at))
+
+    def turn(t: Column, no: Column) -> Column:
+        some = F.exists(F.array(plain(t)), lambda x: F.exists("_words", lambda w: F.contains(x, w)))
+        pieces = F.transform(F.regexp_extract_all(t, F.lit(_PIECES), F.lit(0)), lambda w: F.struct(w.alias("w"), F.try_element_at("_of", F.lower(w)).alias("c")))
+        return F.when(some, F.array_join(F.transform(pieces, lambda x, at: piece(x, no, at)), "")).otherwise(F.coalesce(t, F.lit("")))
+
+    rows = docs.select("doc_id", "author_id", F.coalesce("turns", F.array().cast("array<string>")).alias("turns"))
+    return rows.crossJoin(F.broadcast(table)).select("doc_id", "author_id", F.transform("turns", turn).alias("turns"))  # a single row
+
+
+def _drawn_by_join(docs: DataFrame, c: DataFrame, noisy: Callable[..., Column], new: Callable[..., Column]) -> DataFrame:
+    """:func:`word_mechanism` for any number of candidates."""
     t = D.flatten(docs)
     pieces = F.flatten(F.transform(D.protected_chunks("text"), lambda x: F.when(x["free"], F.transform(F.regexp_extract_all(x["chunk"], F.lit(r"(?U)[\p{L}']+|[^\p{L}']+"), F.lit(0)), lambda w: F.struct(w.alias("w"), F.lit(True).alias("free")))).otherwise(F.array(F.struct(x["chunk"].alias("w"), F.lit(False).alias("free"))))))
     each = t.select("doc_id", "author_id", "turn_no", F.posexplode_outer(pieces).alias("at", "p")).select("doc_id", "author_id", "turn_no", "at", F.coalesce("p.w", F.lit("")).alias("w"), F.coalesce("p.free", F.lit(False)).alias("free"))
     word = each.where(F.col("free") & F.col("w").rlike(r"\p{L}"))
-    c = candidates.select(F.lower("word").alias("_word"), "candidate", "score")
-    u = lambda *salt: (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "turn_no", "at", *salt), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    noisy = lambda s: F.col("score") * epsilon / (2 * sensitivity) - F.log(-F.log(u("candidate", F.lit(s))))
-    drawn = word.join(c, F.lower("w") == F.col("_word")).groupBy("doc_id", "turn_no", "at").agg(F.max_by("candidate", F.struct(noisy("a"), "candidate")).alias("new"), F.max_by("candidate", F.struct(noisy("b"), "candidate")).alias("more"))
-    out = each.join(drawn, ["doc_id", "turn_no", "at"], "left")
-    new = F.when(F.col("new").isNull(), F.col("w")).when(u(F.lit("drop")) < drop, "").when(u(F.lit("add")) < add, F.concat_ws(" ", "new", "more")).otherwise(F.col("new"))
-    done = out.groupBy("doc_id", "author_id", "turn_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", new.alias("x")))), lambda x: x["x"]), "").alias("text"))
+    draw = lambda s: F.max_by("candidate", F.struct(noisy(F.col("score"), F.col("candidate"), s, "turn_no", "at"), "candidate"))
+    drawn = word.join(c, F.lower("w") == F.col("_word")).groupBy("doc_id", "turn_no", "at").agg(draw("a").alias("new"), draw("b").alias("more"))
+    # never broadcast, as would be tried where its files are small
+    out = each.join(drawn.hint("merge"), ["doc_id", "turn_no", "at"], "left")
+    text = new(F.col("w"), F.col("new"), F.col("more"), "turn_no", "at")
+    done = out.groupBy("doc_id", "author_id", "turn_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", text.alias("x")))), lambda x: x["x"]), "").alias("text"))
     return D.regroup(done)
 
 
