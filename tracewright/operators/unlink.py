@@ -2,7 +2,7 @@
 
 The vectors of texts come from a function of texts, hashed character n-grams where no model is plugged in. A document is
 measured against all of its author's other documents. A prolific author's documents are rewritten in blocks, each of which
-holds the vectors of all the author's documents; the others' authors are put together into groups of about 2,048 documents.
+holds the vectors of all the author's documents; other authors are put together into groups of about 2,048 documents.
 With hashed n-grams a text without a span isn't made into a vector again: its counts are those of the text less those of
 the n-grams in the span (:class:`Counts`).
 """
@@ -17,24 +17,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _bins(grams: np.ndarray, bits: int = 12) -> np.ndarray:
-    """Hash of each n-gram of bytes; ``grams`` holds its n bytes along the last axis."""
-    h = np.zeros(grams.shape[:-1], np.uint64)
-    for k in range(grams.shape[-1]):
-        h = h * np.uint64(0x100000001B3) + grams[..., k] + np.uint64(1)
+def _bins(raw: np.ndarray, n: int = 4, bits: int = 12) -> np.ndarray:
+    """Hash of each n-gram of bytes along the last axis."""
+    raw = raw.astype(np.uint64)
+    size = max(raw.shape[-1] - n + 1, 0)
+    h = np.zeros((*raw.shape[:-1], size), np.uint64)
+    for k in range(n if size else 0):
+        h = h * np.uint64(0x100000001B3) + raw[..., k : k + size] + np.uint64(1)
     return ((h ^ h >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _grams(raw: np.ndarray, n: int = 4) -> np.ndarray:
-    """The n-grams of bytes, one in a row."""
-    return np.lib.stride_tricks.sliding_window_view(raw, n) if len(raw) >= n else np.zeros((0, n), np.uint8)
-
-
 def hashed_ngrams(texts: list[str], n: int = 4, bits: int = 12) -> np.ndarray:
     """Unit vectors of counts of hashed character n-grams."""
     out = np.zeros((len(texts), 1 << bits))
     for i, t in enumerate(texts):
-        out[i] = np.bincount(_bins(_grams(np.frombuffer(t.encode("utf-8"), np.uint8), n), bits), minlength=1 << bits)
+        out[i] = np.bincount(_bins(np.frombuffer(t.encode("utf-8"), np.uint8), n, bits), minlength=1 << bits)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
@@ -95,7 +92,7 @@ class Counts:
         rows = np.zeros((len(texts), size), np.uint8)
         square = np.zeros(len(texts))
         for i, t in enumerate(texts):
-            c = np.bincount(_bins(_grams(np.frombuffer(t.encode("utf-8"), np.uint8)), self.bits), minlength=size)
+            c = np.bincount(_bins(np.frombuffer(t.encode("utf-8"), np.uint8), bits=self.bits), minlength=size)
             if c.max() > np.iinfo(rows.dtype).max:
                 rows = rows.astype(np.min_scalar_type(int(c.max())))
             rows[i], square[i] = c, c @ c
@@ -120,21 +117,23 @@ class Spans:
     that the result is that of comparing all.
     """
 
-    def __init__(self, counts: Counts, own: int, parts: list[bytes], gaps: list[int], products: np.ndarray, m: int = 3, first: int = 256):
+    def __init__(self, counts: Counts, own: int, parts: list[bytes], gaps: list[int], products: np.ndarray, m: int = 3, first: int = 64):
         """``parts``: the text in pieces; ``gaps``: bytes between turns before each piece and after the last."""
         self.counts, self.own, self.m, self.first = counts, own, m, first
         self.parts, self.gaps, self.near = parts, gaps, products
+        self.length = np.maximum(np.array([len(p.decode("utf-8")) for p in parts]) / 100, 0.05)
         self._read()
 
     def _read(self) -> None:
         joined, at = [], 0
         self.start = np.zeros(len(self.parts), np.int64)
+        self.size = np.array([len(p) for p in self.parts])
         for i, p in enumerate(self.parts):
             joined += [b"\n" * self.gaps[i], p]
             self.start[i] = at = at + self.gaps[i]
             at += len(p)
         self.raw = np.frombuffer(b"".join(joined) + b"\n" * self.gaps[-1], np.uint8)
-        self.hash = _bins(_grams(self.raw), self.counts.bits)
+        self.hash = _bins(self.raw, bits=self.counts.bits)
         self.norm = float(np.linalg.norm(np.bincount(self.hash))) if len(self.hash) else 1e-12
 
     def _top(self, near: np.ndarray) -> np.ndarray:
@@ -156,16 +155,18 @@ class Spans:
     def changes(self, tries: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Hashes in question, and of each span their counts in the text less those without it, the square without it, the norm added."""
         s = self.start[tries]
-        e = s + np.array([len(self.parts[i]) for i in tries])
+        e = s + self.size[tries]
         a, b = np.maximum(s - 3, 0), np.minimum(e, len(self.hash))
         n = np.maximum(b - a, 0)
         at = np.arange(n.sum()) + np.repeat(a - np.cumsum(n) + n, n)
         k = np.arange(3)
         over = np.concatenate([s[:, None] - 3 + k, e[:, None] + k], axis=1)
         valid = (s[:, None] - 3 + k >= 0) & (e[:, None] + k < len(self.raw))
-        new = _bins(np.lib.stride_tricks.sliding_window_view(self.raw[np.clip(over, 0, len(self.raw) - 1)], 4, axis=1), self.counts.bits)[valid]
-        u, inv = np.unique(np.concatenate([self.hash, new]), return_inverse=True)
-        whole, new = inv[: len(self.hash)], inv[len(self.hash) :]
+        new = _bins(self.raw[np.clip(over, 0, len(self.raw) - 1)], bits=self.counts.bits)[valid]
+        u = np.flatnonzero(np.bincount(np.concatenate([self.hash, new])))
+        place = np.zeros(1 << self.counts.bits, np.int64)
+        place[u] = np.arange(len(u))
+        whole, new = place[self.hash], place[new]
         less = np.bincount(np.repeat(np.arange(len(tries)), n) * len(u) + whole[at], minlength=len(tries) * len(u)).reshape(len(tries), len(u))
         more = np.bincount(np.nonzero(valid)[0] * len(u) + new, minlength=len(tries) * len(u)).reshape(len(tries), len(u))
         rest = np.bincount(whole, minlength=len(u)) - less + more
@@ -184,7 +185,7 @@ class Spans:
         cos = (self.near[rows] - change.astype(c.float) @ c.columns[np.ix_(u, rows)].astype(c.float)) / c.norm[rows] / norm[:, None]
         top = self._top(cos)
         sims, done = top.mean(axis=1), (beyond + added) / norm < top[:, 0] - 1e-9
-        length = [max(len(self.parts[i].decode("utf-8")) / 100, 0.05) for i in tries]
+        length = self.length[tries]
         gain = (now - sims) / length
         while not done[i := int(np.argmax(gain))]:
             sims[i] = self._top(self._others((self.near - self._product(u, change[i])) / c.norm / norm[i])).mean()
@@ -204,6 +205,15 @@ class Spans:
         self._read()
 
 
+def _turns(turns: list[str], parts: list[dict], keep: list[bool]) -> list[str]:
+    """The turns of the spans that are kept; a turn without spans is empty."""
+    out = [""] * len(turns)
+    for p, x in zip(parts, keep):
+        if x:
+            out[p["turn_no"]] += p["text"]
+    return out
+
+
 def _by_counts(texts: list[str], at: list[int], docs: list[tuple[list[str], list[dict]]], budget: float, most_steps: int):
     """``keep, before, after`` of each document: its place among the author's texts, its turns and spans."""
     c = Counts(texts)
@@ -214,7 +224,7 @@ def _by_counts(texts: list[str], at: list[int], docs: list[tuple[list[str], list
             no = [p["turn_no"] for p in parts] if parts else [0]
             made.append((pieces, [2 * (x - y) for x, y in zip([*no, (len(turns) if parts else 1) - 1], [0, *no])]))
         whole = [b"".join(x for p, g in zip([b"", *pieces], gaps) for x in (p, b"\n" * g)) for pieces, gaps in made]
-        rows = np.stack([np.bincount(_bins(_grams(np.frombuffer(x, np.uint8)), c.bits), minlength=1 << c.bits) for x in whole])
+        rows = np.stack([np.bincount(_bins(np.frombuffer(x, np.uint8), bits=c.bits), minlength=1 << c.bits) for x in whole])
         for (_, parts), (pieces, gaps), own, near in zip(docs[k : k + 128], made, at[k : k + 128], c.products(rows)):
             s = Spans(c, own, pieces, gaps, near)
             keep = [True] * len(parts)
@@ -257,7 +267,7 @@ def _by_vectors(texts: list[str], at: list[int], docs: list[tuple[list[str], lis
         yield keep, before, now
 
 
-def unlink(docs: DataFrame, budget: float = 0.2, block: int = 512, most_blocks: int = 32, most_steps: int = 10, embed: Callable[[list[str]], np.ndarray] = hashed_ngrams, seed: int = 1) -> DataFrame:
+def unlink(docs: DataFrame, budget: float = 0.2, block: int = 1024, most_blocks: int = 16, most_steps: int = 10, embed: Callable[[list[str]], np.ndarray] = hashed_ngrams, seed: int = 1) -> DataFrame:
     """``doc_id, author_id, turns, before, after, dropped``: spans dropped until the linkage has fallen by the share ``budget``.
 
     In each step the span with the most linkage for its length goes; documents without siblings stay. Protected spans and
@@ -267,27 +277,35 @@ def unlink(docs: DataFrame, budget: float = 0.2, block: int = 512, most_blocks:
 
     d = docs.where("doc_id is not null and turns is not null").select("doc_id", "author_id", "turns")
     sp = spans(d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("turn_no", "span_no", "text", "editable"))).alias("spans"))
-    n = d.where("author_id is not null").groupBy("author_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    few = F.col("n") <= block
-    groups = n.agg(F.coalesce(F.ceil(F.sum(F.when(few, F.col("n"))) / 2048), F.lit(1)).cast("int").alias("groups"))
-    blocks = n.crossJoin(F.broadcast(groups)).select("author_id", F.when(few, "").otherwise(F.col("author_id").cast("string")).alias("owner"), F.when(few, F.lit(1)).otherwise(F.least(F.ceil(F.col("n") / block), F.lit(most_blocks))).cast("int").alias("blocks"), F.when(few, -1 - F.pmod(F.xxhash64("author_id", F.lit(seed)), F.col("groups"))).cast("int").alias("group"))  # a single row
-    rows = d.join(blocks, "author_id", "left").join(sp, "doc_id", "left")
-    alone = rows.where("blocks is null").select("doc_id", "author_id", F.transform("turns", lambda t: F.coalesce(t, F.lit(""))).alias("turns"), F.lit(None).cast("double").alias("before"), F.lit(None).cast("double").alias("after"), F.lit(0).alias("dropped"))
-    work = rows.where("blocks is not null").select("doc_id", "author_id", "turns", "spans", "owner", F.coalesce("group", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")).cast("int")).alias("block"))
-    every = d.join(blocks, "author_id").select(F.col("doc_id").alias("other"), F.col("author_id").alias("author"), F.array_join("turns", "\n\n").alias("text"), F.col("owner").alias("to"), F.explode(F.when(F.col("group").isNotNull(), F.array("group")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("part"))
+    n = d.where("author_id is not null").groupBy("author_id").agg(F.count(F.lit(1)).alias("n"))
+    large = n.where(F.col("n") > block).select("author_id", F.least(F.ceil(F.col("n") / block), F.lit(most_blocks)).cast("int").alias("blocks"))  # a row for each `block` documents at most
+    groups = n.agg(F.coalesce(F.ceil(F.sum(F.when(F.col("n") <= block, F.col("n"))) / 2048), F.lit(1)).alias("groups"))
+    alone = d.where("author_id is null").select("doc_id", "author_id", F.transform("turns", lambda t: F.coalesce(t, F.lit(""))).alias("turns"), F.lit(None).cast("double").alias("before"), F.lit(None).cast("double").alias("after"), F.lit(0).alias("dropped"))
+    work = d.where("author_id is not null").join(sp, "doc_id", "left").join(F.broadcast(large), "author_id", "left").crossJoin(F.broadcast(groups))  # a single row
+    work = work.select(
+        "doc_id", "author_id", F.transform("turns", lambda t: t.isNull()).alias("absent"), "spans", F.when(F.col("blocks").isNull(), "").otherwise(F.col("author_id").cast("string")).alias("owner"),
+        F.when(F.col("blocks").isNull(), -1 - F.pmod(F.xxhash64("author_id", F.lit(seed)), F.col("groups"))).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks"))).cast("int").alias("block"),
+    )
+    every = d.join(F.broadcast(large), "author_id").select(F.col("doc_id").alias("other"), F.array_join("turns", "\n\n").alias("text"), F.col("author_id").cast("string").alias("to"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
 
     def run(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        out, texts, at = [], {}, {}
-        for x, a, t in zip(others["other"], others["author"], others["text"]) if len(mine) else ():
-            texts.setdefault(a, []).append(t)
-            at[a, x] = len(texts[a]) - 1
+        out = []
         for a, own in mine.groupby("author_id", sort=False):
-            docs = [(["" if t is None else t for t in r.turns], [] if r.spans is None else [dict(s) if isinstance(s, dict) else s.asDict() for s in r.spans]) for r in own.itertuples()]
-            places = [at[a, x] for x in own["doc_id"]]
-            how = _by_counts(texts[a], places, docs, budget, most_steps) if embed is hashed_ngrams else _by_vectors(texts[a], places, docs, budget, most_steps, embed)
+            docs = [([""] * len(r.absent), [] if r.spans is None else [dict(s) if isinstance(s, dict) else s.asDict() for s in r.spans]) for r in own.itertuples()]
+            if len(others):
+                texts, at = list(others["text"]), {x: i for i, x in enumerate(others["other"])}
+                places = [at[x] for x in own["doc_id"]]
+            else:  # all of the author's documents are here; turns that are null aren't in a text
+                places = list(range(len(own)))
+                texts = ["\n\n".join(t for t, no in zip(_turns(turns, parts, [True] * len(parts)), absent) if not no) for (turns, parts), absent in zip(docs, own["absent"])]
+            if len(texts) < 2:
+                how = [([True] * len(docs[0][1]), None, None)]
+            elif embed is hashed_ngrams:
+                how = _by_counts(texts, places, docs, budget, most_steps)
+            else:
+                how = _by_vectors(texts, places, docs, budget, most_steps, embed)
             for x, (turns, parts), (keep, before, now) in zip(own["doc_id"], docs, how):
-                new = ["".join(p["text"] for p, x in zip(parts, keep) if x and p["turn_no"] == t) for t in range(len(turns))] if parts else turns
-                out.append((x, a, new, before, now, keep.count(False)))
+                out.append((x, a, _turns(turns, parts, keep), before, now, keep.count(False)))
         return pd.DataFrame(out, columns=["doc_id", "author_id", "turns", "before", "after", "dropped"])
 
     done = work.groupBy("owner", "block").cogroup(every.groupBy("to", "part")).applyInPandas(
