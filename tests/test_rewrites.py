@@ -211,3 +211,14 @@ def test_words_are_drawn_where_the_rows_are(spark):
         plan = here._jdf.queryExecution().executedPlan().toString()
         assert "Generate" not in plan and "SortMergeJoin" not in plan
     assert R.word_mechanism(docs, c.limit(0)).where("doc_id = 'a'").first().turns == [t or "" for t in odd]
+
+
+def test_spans_of_a_row_are_the_spans(spark, data):
+    odd = ["One. Two is here! `code. x` Three", None, "", "just four words here", "two words", "a\n\nb c d e f ", "  ", "see https://a.b/c. And <NAME> said ```x\ny``` so. " + "z" * 30, "日本語。です. Ünï? “Q.” end"]
+    docs = spark.read.parquet(f"{data}/chat_docs.parquet").where("doc_id is not null and turns is not null").select("doc_id", "turns").dropDuplicates(["doc_id"])
+    docs = docs.union(spark.createDataFrame([("odd", odd), ("none", [])], "doc_id string, turns array<string>"))
+    want = {}
+    for r in D.spans(docs).orderBy("doc_id", "turn_no", "span_no").collect():
+        want.setdefault(r.doc_id, []).append((r.turn_no, r.text, r.editable))
+    got = {r.doc_id: [tuple(x) for x in r.s] for r in docs.select("doc_id", D.span_array("turns").alias("s")).collect()}
+    assert got["none"] == [] and all(got[k] == want.get(k, []) for k in got) and set(want) <= set(got)

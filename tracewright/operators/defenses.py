@@ -140,6 +140,21 @@ def spans(docs: DataFrame) -> DataFrame:
     return e.select("doc_id", "turn_no", "span_no", (F.col("x.stop") - F.length("x.p")).alias("start"), F.col("x.stop").alias("stop"), F.col("x.p").alias("text"), (free >= floor).alias("editable"), "granularity")
 
 
+def span_array(turns) -> Column:
+    """``array<struct<turn_no, text, editable>>``: the spans of a row's turns as :func:`spans` has them, in their order."""
+    sent = rf"{_PROTECTED}|(?:(?!```|~~~|`|<[A-Z]|https?://).)+?(?:[.!?…]+[\s\"')\]]*(?=\s|$|\S)|\n+|$|(?=```|~~~|`|<[A-Z]|https?://))|."
+    word = rf"{_PROTECTED}|(?s)\s*\S+(?:\s+$)?|\s+"
+
+    def of(turn: Column, no: Column) -> Column:
+        free = lambda x: F.length(F.regexp_replace(F.regexp_replace(x, _PROTECTED, ""), r"\s+", ""))
+        put = lambda pieces, floor: F.transform(F.filter(pieces, lambda x: x != ""), lambda x: F.struct(no.alias("turn_no"), x.alias("text"), (free(x) >= floor).alias("editable")))
+        cut = lambda s: F.when(F.size(F.filter(s, lambda x: F.length(F.trim(x)) > 0)) > 1, put(s, 12)).when(F.size(T.words(turn)) >= 4, put(F.regexp_extract_all(turn, F.lit(word), F.lit(0)), 2)).otherwise(put(F.array(turn), 12))
+        # an array of one, so that the sentences are looked for once
+        return F.flatten(F.transform(F.filter(F.array(turn), lambda x: x.isNotNull() & (x != "")), lambda x: F.flatten(F.transform(F.array(F.regexp_extract_all(x, F.lit(sent), F.lit(0))), cut))))
+
+    return F.flatten(F.transform(turns, of))
+
+
 from . import frames, habits  # noqa: E402, F401  (they register defenses of their own)
 
 

@@ -273,17 +273,16 @@ def unlink(docs: DataFrame, budget: float = 0.2, block: int = 1024, most_blocks:
     In each step the span with the most linkage for its length goes; documents without siblings stay. Protected spans and
     turns' number stay; a turn may become empty.
     """
-    from .defenses import spans
+    from .defenses import span_array
 
     d = docs.where("doc_id is not null and turns is not null").select("doc_id", "author_id", "turns")
-    sp = spans(d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("turn_no", "span_no", "text", "editable"))).alias("spans"))
     n = d.where("author_id is not null").groupBy("author_id").agg(F.count(F.lit(1)).alias("n"))
     large = n.where(F.col("n") > block).select("author_id", F.least(F.ceil(F.col("n") / block), F.lit(most_blocks)).cast("int").alias("blocks"))  # a row for each `block` documents at most
     groups = n.agg(F.coalesce(F.ceil(F.sum(F.when(F.col("n") <= block, F.col("n"))) / 2048), F.lit(1)).alias("groups"))
     alone = d.where("author_id is null").select("doc_id", "author_id", F.transform("turns", lambda t: F.coalesce(t, F.lit(""))).alias("turns"), F.lit(None).cast("double").alias("before"), F.lit(None).cast("double").alias("after"), F.lit(0).alias("dropped"))
-    work = d.where("author_id is not null").join(sp, "doc_id", "left").join(F.broadcast(large), "author_id", "left").crossJoin(F.broadcast(groups))  # a single row
+    work = d.where("author_id is not null").join(F.broadcast(large), "author_id", "left").crossJoin(F.broadcast(groups))  # a single row
     work = work.select(
-        "doc_id", "author_id", F.transform("turns", lambda t: t.isNull()).alias("absent"), "spans", F.when(F.col("blocks").isNull(), "").otherwise(F.col("author_id").cast("string")).alias("owner"),
+        "doc_id", "author_id", F.transform("turns", lambda t: t.isNull()).alias("absent"), span_array("turns").alias("spans"), F.when(F.col("blocks").isNull(), "").otherwise(F.col("author_id").cast("string")).alias("owner"),
         F.when(F.col("blocks").isNull(), -1 - F.pmod(F.xxhash64("author_id", F.lit(seed)), F.col("groups"))).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks"))).cast("int").alias("block"),
     )
     every = d.join(F.broadcast(large), "author_id").select(F.col("doc_id").alias("other"), F.array_join("turns", "\n\n").alias("text"), F.col("author_id").cast("string").alias("to"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
@@ -291,7 +290,7 @@ def unlink(docs: DataFrame, budget: float = 0.2, block: int = 1024, most_blocks:
     def run(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         out = []
         for a, own in mine.groupby("author_id", sort=False):
-            docs = [([""] * len(r.absent), [] if r.spans is None else [dict(s) if isinstance(s, dict) else s.asDict() for s in r.spans]) for r in own.itertuples()]
+            docs = [([""] * len(r.absent), [dict(s) if isinstance(s, dict) else s.asDict() for s in r.spans]) for r in own.itertuples()]
             if len(others):
                 texts, at = list(others["text"]), {x: i for i, x in enumerate(others["other"])}
                 places = [at[x] for x in own["doc_id"]]
